@@ -1,0 +1,42 @@
+"""Tables replaced as a whole without a table format."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+
+class VersionedTable:
+    """Each write makes a new folder, then appends a pointer row; readers follow the newest pointer.
+
+    A job that dies before the pointer leaves the old version in force.
+    """
+
+    _POINTER = T.StructType([T.StructField("sequence", T.LongType()), T.StructField("version", T.StringType())])
+
+    def __init__(self, spark: SparkSession, base: str, schema: T.StructType):
+        self.spark, self.base, self.schema = spark, base.rstrip("/"), schema
+
+    def _current(self) -> tuple[int, str | None]:
+        try:
+            pointers = self.spark.read.schema(self._POINTER).json(f"{self.base}/pointers")
+            newest = pointers.agg(F.max("sequence").alias("s"), F.max_by("version", "sequence").alias("v")).first()
+        except AnalysisException:
+            return 0, None
+        return (newest["s"] or 0), newest["v"]
+
+    def read(self) -> DataFrame:
+        _, version = self._current()
+        if version is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/{version}")
+
+    def replace(self, rows: DataFrame) -> None:
+        sequence, _ = self._current()
+        version = f"v-{uuid.uuid4().hex}"
+        rows.select(*self.schema.fieldNames()).write.parquet(f"{self.base}/{version}")
+        pointer = self.spark.range(1).select(
+            F.lit(sequence + 1).cast("bigint").alias("sequence"), F.lit(version).alias("version"))
+        pointer.write.mode("append").json(f"{self.base}/pointers")
