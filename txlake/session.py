@@ -18,6 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Wide scoring projections outgrow the size HotSpot compiles; Spark then splits them into methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
