@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txlake.catalog.registry import profiles, query, scored, stored, text_time
-from txlake.catalog.sqlparts import half_even, with_parts
+from txlake.catalog.sqlparts import exact_mean, half_even, steady, with_parts
 from txlake.functions.calendar import hour_from_iso
-from txlake.functions.values import round_half_even
-from txlake.functions.vocabulary import crosses_border, payment_name, plain_category, strip_accents
+from txlake.functions.values import integer_or, number_or
+from txlake.functions.vocabulary import (
+    crosses_border, payment_name, plain_category, profile_owner, strip_accents,
+)
 from txlake.operators import adapters, cleaning, enrich, merge, profiles as profile_ops, quality, ranking
 from txlake.operators.kpis import run_summary
 from txlake.plans.medallion import run_medallion
@@ -20,7 +22,6 @@ from txlake.sinks.publish import as_messages, with_envelope
 from txlake.sources import sample
 from txlake.sources.landing import read_by_format, read_landing_json
 from txlake.sources.oltp import as_oltp_transactions, with_profiles
-from txlake.functions.vocabulary import profile_owner
 
 # Rows before this moment play the stored table, later ones the incoming batch.
 SPLIT = "1998-01-01"
@@ -274,8 +275,6 @@ def iso_hour(spark, folder):
 select event_id, coalesce(try_cast(json_extract_string(props, '$.k') as double), 0.0::double) number,
   coalesce(try_cast(event_type as int), 12) "integer" from events""")
 def typed_fallback(spark, folder):
-    from txlake.functions.values import integer_or, number_or
-
     return sample.table(spark, folder, "events").select(
         "event_id", number_or(F.get_json_object("props", "$.k")).alias("number"),
         integer_or("event_type", 12).alias("integer"))
@@ -293,13 +292,14 @@ def profile_key(spark, folder):
 
 # -- silver and gold ------------------------------------------------------------
 
-_USER_STATS = """round(user_avg_amount, 6) user_avg_amount, user_total_transactions, round(user_amount_stddev, 6) user_amount_stddev"""
-_MERCHANT_STATS = "merchant_transaction_count, round(merchant_avg_amount, 6) merchant_avg_amount"
+_USER_STATS = (f"{steady('user_avg_amount')} user_avg_amount, user_total_transactions, "
+               f"{steady('user_amount_stddev')} user_amount_stddev")
+_MERCHANT_STATS = f"merchant_transaction_count, {steady('merchant_avg_amount')} merchant_avg_amount"
 
 
 def _rounded(rows: DataFrame) -> DataFrame:
     names = [n for n in ("user_avg_amount", "user_amount_stddev", "merchant_avg_amount") if n in rows.columns]
-    return rows.withColumns({n: F.round(n, 6) for n in names})
+    return rows.withColumns({n: F.floor(F.col(n) * 1e6 + 0.3) / 1e6 for n in names})
 
 
 @query("user_stats", with_parts("user_stats") + f"select user_id, {_USER_STATS} from user_stats")
@@ -326,9 +326,9 @@ def silver_merchant_join(spark, folder):
         "transaction_id", "merchant_id", "merchant_transaction_count", "merchant_avg_amount")
 
 
-_GOLD = """
+_GOLD = f"""
 select transaction_id, strftime(transaction_date, '%Y-%m-%d') transaction_date, f.user_id, amount, merchant_category, is_weekend, is_night,
-  round(user_avg_amount, 6) user_avg_amount, round(user_amount_stddev, 6) user_amount_stddev, merchant_transaction_count, is_fraud
+  {steady('user_avg_amount')} user_avg_amount, {steady('user_amount_stddev')} user_amount_stddev, merchant_transaction_count, is_fraud
 from featured f left join user_stats u on f.user_id = u.user_id left join merchant_stats m on f.merchant_id = m.merchant_id
 where is_fraud is not null"""
 
@@ -457,7 +457,7 @@ def run_summary_query(spark, folder):
 
 @query("upsert_profiles", with_parts("tx") + f"""
 select user_id, tx_count, avg_amount from (
-  select user_id, count(*) tx_count, {half_even('avg(coalesce(amount, 0.0::double))', 2)} avg_amount, late from (
+  select user_id, count(*) tx_count, {half_even(exact_mean('coalesce(amount, 0.0::double)'), 2)} avg_amount, late from (
     select *, ts >= timestamp '1998-01-01' late, max(ts) over (partition by user_id) >= timestamp '1998-01-01' has_late from tx)
   where late = has_late group by user_id, late)""")
 def upsert_profiles(spark, folder):

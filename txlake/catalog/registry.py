@@ -17,7 +17,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Session settings a query needs at run time; the rest of BASE_CONF is up to whoever built the session.
-_RUNTIME = ["spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"]
+_RUNTIME = [
+    "spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.adaptive.forceOptimizeSkewedJoin",
+]
 _paths: dict[tuple[str, str, str], str] = {}
 
 

@@ -14,6 +14,16 @@ def half_even(value: str, digits: int) -> str:
     return f"(format('{{:.{digits}f}}', ({value})::double)::double + 0.0)"
 
 
+def exact_mean(value: str) -> str:
+    return f"(sum(({value})::decimal(20,6))::double / count({value})::double)"
+
+
+def steady(value: str) -> str:
+    """Six decimals, cut off the grid that means of cents lie on, so that last-bit noise of a sum of
+    doubles does not decide the last digit."""
+    return f"(floor(({value}) * 1e6::double + 0.3::double) / 1e6::double)"
+
+
 def _plain(label: str) -> str:
     return (f"case when {label} is null or trim({label}) = '' then 'Outros' when {label} = 'Eletrônicos' then 'Eletronicos' "
             f"when {label} = 'Alimentação' then 'Alimentacao' when {label} = 'Vestuário' then 'Vestuario' "
@@ -102,7 +112,7 @@ select user_id, list(payment_method order by place) typical_payment_methods from
     "prof": (f"""
 select b.user_id, tx_count, avg_amount, std_amount, max_amount, p95_amount, min_amount, typical_categories, typical_payment_methods,
   pct_international, avg_hour, historical_fraud_rate from (
-  select user_id, count(*) tx_count, {half_even('avg(amount)', 2)} avg_amount, {half_even('stddev_pop(amount)', 2)} std_amount,
+  select user_id, count(*) tx_count, {half_even(exact_mean('amount'), 2)} avg_amount, {half_even('stddev_pop(amount)', 2)} std_amount,
     {half_even('max(amount)', 2)} max_amount, {half_even('min(amount)', 2)} min_amount, {half_even('avg(abroad)', 4)} pct_international,
     {half_even('avg(hour)', 1)} avg_hour, {half_even('avg(fraud)', 4)} historical_fraud_rate from prow group by user_id) b
 join p95 on b.user_id = p95.user_id join top_categories c on b.user_id = c.user_id join top_payments m on b.user_id = m.user_id""",

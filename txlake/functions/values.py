@@ -51,3 +51,9 @@ def round_half_even(value: Column | str, digits: int) -> Column:
 def only_existing(columns: list[str], wanted: list[str]) -> list[str]:
     """The wanted columns that the frame has, in wanted order."""
     return [name for name in wanted if name in columns]
+
+
+def exact_mean(value: Column | str) -> Column:
+    """Mean from an exact decimal sum: the same on every run, whatever order tasks finish in."""
+    value = as_column(value)
+    return F.sum(value.cast("decimal(20,6)")).cast("double") / F.count(value)

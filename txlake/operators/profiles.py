@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from txlake.functions.calendar import hour_from_iso
-from txlake.functions.values import number_or, or_default, round_half_even
+from txlake.functions.values import exact_mean, number_or, or_default, round_half_even
 from txlake.functions.vocabulary import (
     DEFAULT_CATEGORY, DEFAULT_PAYMENT, crosses_border, profile_owner,
 )
@@ -49,7 +49,7 @@ def user_top_payments(rows: DataFrame) -> DataFrame:
 def user_basics(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(
         F.count("*").alias("tx_count"),
-        round_half_even(F.avg("amount"), 2).alias("avg_amount"),
+        round_half_even(exact_mean("amount"), 2).alias("avg_amount"),
         round_half_even(F.stddev_pop("amount"), 2).alias("std_amount"),
         round_half_even(F.max("amount"), 2).alias("max_amount"),
         round_half_even(F.min("amount"), 2).alias("min_amount"),

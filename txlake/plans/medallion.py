@@ -27,7 +27,12 @@ def run_medallion(spark: SparkSession, landing: DataFrame | str, layout: LakeLay
     write_quality_report(quality.batch_counters(bronze), layout)
     quality.enforce(results, fail_on)
 
-    silver_path = save_layer(enrich(durable(clean(bronze), "clean")), layout, "silver")
-    silver = spark.read.parquet(silver_path)
-    gold_path = save_layer(gold(silver), layout, "gold")
-    return {"bronze": bronze, "silver": silver, "gold": spark.read.parquet(gold_path)}
+    enriched = enrich(durable(clean(bronze), "clean"))
+    silver = _read_layer(spark, save_layer(enriched, layout, "silver"), enriched)
+    wanted = gold(silver)
+    return {"bronze": bronze, "silver": silver, "gold": _read_layer(spark, save_layer(wanted, layout, "gold"), wanted)}
+
+
+def _read_layer(spark: SparkSession, path: str, written: DataFrame) -> DataFrame:
+    """A layer by the schema it was written with, so that no file is opened to infer one."""
+    return spark.read.schema(written.schema).parquet(path).select(*written.columns)

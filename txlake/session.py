@@ -13,6 +13,8 @@ BASE_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small shuffles keep all cores busy, as when one task would write thousands of date folders.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # A user or merchant may hold a third of all rows: let joins split that partition
     # even where the split costs one more exchange further up.
     "spark.sql.adaptive.skewJoin.enabled": "true",
