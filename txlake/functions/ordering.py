@@ -13,7 +13,7 @@ _EXPONENT_SHIFT = 1100
 def magnitude_bucket(value: Column | str, bits: int) -> Column:
     """Bucket number that never falls as ``value`` grows: 2^bits buckets per power of two.
 
-    It depends on the value alone, so partial aggregation can run before any shuffle, and the
+    Null falls in bucket zero. The bucket depends on the value alone, so partial aggregation can run before any shuffle, and the
     number of buckets has a bound that does not grow with the rows.
     """
     value = as_column(value).cast("double")
@@ -22,4 +22,6 @@ def magnitude_bucket(value: Column | str, bits: int) -> Column:
     steps = float(2**bits)
     within = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * steps)
     bucket = (exponent + _EXPONENT_SHIFT) * int(steps) + within
-    return F.when(value == 0, F.lit(0).cast("bigint")).when(value > 0, bucket).otherwise(-bucket)
+    signed = F.when(value > 0, bucket).when(value < 0, -bucket)
+    # Zero, like null, has no exponent.
+    return F.coalesce(signed, F.lit(0).cast("bigint"))

@@ -1,7 +1,7 @@
 """Exact ranks and order statistics that never gather one key's rows in one task.
 
-Each step counts rows per key and bucket (partial counts run before the shuffle), finds the bucket
-holding the wanted rank from the bounded bucket counts, and keeps only that bucket's rows.
+Values are counted per key and per bucket of values, with partial counts before each shuffle. The
+bounded bucket counts tell which bucket holds the wanted rank, and only that bucket is put in order.
 """
 
 from __future__ import annotations
@@ -26,25 +26,29 @@ def order_statistics(
     ``keys`` may be empty for statistics over all rows. Rows with a null value or key are left out.
     """
     keys = list(keys)
-    rows = rows.select(*keys, F.col(value).cast("double").alias("value")).dropna(subset=[*keys, "value"])
-    rows = rows.withColumn("_bucket", magnitude_bucket("value", BUCKET_BITS))
+    values = rows.select(*keys, F.col(value).cast("double").alias("value"))
+    # Spelled as plain null checks, so that both uses below are the same plan and share one shuffle.
+    for name in [*keys, "value"]:
+        values = values.filter(F.col(name).isNotNull())
+    # Equal values become one row before anything is shuffled by key: a user whose amounts are mostly
+    # the same leaves few rows.
+    counted = values.groupBy(*keys, "value").agg(F.count("*").alias("_copies")).withColumn(
+        "_bucket", magnitude_bucket("value", BUCKET_BITS))
     all_of_key, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")
 
-    histogram = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_copies")).withColumns({
-        "_before": F.sum("_copies").over(in_order) - F.col("_copies"),
-        "_total": F.sum("_copies").over(all_of_key),
+    histogram = counted.groupBy(*keys, "_bucket").agg(F.sum("_copies").alias("_held")).withColumns({
+        "_before": F.sum("_held").over(in_order) - F.col("_held"),
+        "_total": F.sum("_held").over(all_of_key),
     })
     places = F.array(*[
         F.struct(F.lit(name).alias("statistic"), (rank(F.col("_total")) - F.col("_before")).alias("_place"))
         for name, rank in ranks.items()])
-    wanted = histogram.select(*keys, "_bucket", "_copies", F.inline(places)).filter(
-        (F.col("_place") >= 1) & (F.col("_place") <= F.col("_copies"))).drop("_copies")
+    wanted = histogram.select(*keys, "_bucket", "_held", F.inline(places)).filter(
+        (F.col("_place") >= 1) & (F.col("_place") <= F.col("_held"))).drop("_held")
 
     group = [*keys, "statistic"]
-    kept = rows.join(wanted, [*keys, "_bucket"]).groupBy(*group, "value").agg(
-        F.count("*").alias("_copies"), F.max("_place").alias("_place"))
     upto = F.sum("_copies").over(Window.partitionBy(*group).orderBy("value"))
-    return kept.withColumn("_upto", upto).filter(
+    return counted.join(wanted, [*keys, "_bucket"]).withColumn("_upto", upto).filter(
         (F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_copies") < F.col("_place"))
     ).select(*group, "value")
 
