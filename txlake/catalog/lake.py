@@ -299,7 +299,7 @@ _MERCHANT_STATS = f"merchant_transaction_count, {steady('merchant_avg_amount')}
 
 def _rounded(rows: DataFrame) -> DataFrame:
     names = [n for n in ("user_avg_amount", "user_amount_stddev", "merchant_avg_amount") if n in rows.columns]
-    return rows.withColumns({n: F.floor(F.col(n) * 1e6 + 0.3) / 1e6 for n in names})
+    return rows.withColumns({n: F.floor(F.col(n) * 1e4 + 0.3) / 1e4 for n in names})
 
 
 @query("user_stats", with_parts("user_stats") + f"select user_id, {_USER_STATS} from user_stats")

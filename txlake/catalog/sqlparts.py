@@ -19,9 +19,9 @@ def exact_mean(value: str) -> str:
 
 
 def steady(value: str) -> str:
-    """Six decimals, cut off the grid that means of cents lie on, so that last-bit noise of a sum of
+    """Four decimals, cut off the grid that means of cents lie on, so that last-bit noise of a sum of
     doubles does not decide the last digit."""
-    return f"(floor(({value}) * 1e6::double + 0.3::double) / 1e6::double)"
+    return f"(floor(({value}) * 1e4::double + 0.3::double) / 1e4::double)"
 
 
 def _plain(label: str) -> str:
