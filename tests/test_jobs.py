@@ -200,16 +200,33 @@ def test_unseen_labels_and_constant_features(spark, labelled):
     assert state.encode(odd).first()["merchant_category_encoded"] == -1
 
 
-def test_forest_finds_the_outlier(spark, labelled):
+def test_forest_scores_match_a_walk_through_its_nodes(spark, labelled):
     state = features.fit_features(labelled)
-    odd = labelled.limit(1).withColumns({"amount": F.lit(5e6), "hour": F.lit(90), "transaction_id": F.lit("odd")})
+    # Many odd rows: a single one would be in the samples of few trees only.
+    odd = labelled.limit(60).withColumns({
+        "amount": F.lit(1e6) + F.col("amount") * 50, "hour": F.lit(90), "transaction_id": F.concat(F.lit("odd-"), "transaction_id")})
     scaled = state.transform(labelled.unionByName(odd))
-    trees = forest.fit_forest(scaled, trees=40)
-    assert trees.groupBy("tree").count().count() == 40
-    scored = scaled.select("transaction_id", forest.anomaly_score(trees).alias("a")).cache()
+    path = scratch_path(spark, "forest")
+    forest.fit_forest(scaled, trees=40).write.parquet(path)
+    trees = spark.read.parquet(path)
+    assert trees.select("tree").distinct().count() == 40
+    scored = scaled.select("transaction_id", "features", forest.anomaly_score(trees).alias("a")).cache()
     assert scored.filter("a <= 0 or a > 1").isEmpty()
-    odd_score = scored.filter("transaction_id = 'odd'").first()["a"]
-    assert scored.filter(F.col("a") > odd_score).count() < 0.01 * scored.count()
+
+    nodes = {(r["tree"], r["node"]): r for r in trees.collect()}
+
+    def walk(tree, point):
+        node = nodes[tree, 0]
+        while node["feature"] >= 0:
+            node = nodes[tree, node["left"] if point[node["feature"]] <= node["threshold"] else node["right"]]
+        return node["path"]
+
+    for row in scored.orderBy("transaction_id").limit(25).collect():
+        mean = sum(walk(t, row["features"]) for t in range(40)) / 40
+        assert abs(row["a"] - 2 ** (-mean / forest.usual_path(256))) < 1e-12
+    is_odd = F.col("transaction_id").startswith("odd-")
+    means = scored.agg(F.avg(F.when(is_odd, F.col("a"))).alias("odd"), F.avg(F.when(~is_odd, F.col("a"))).alias("rest")).first()
+    assert means["odd"] > means["rest"] + 0.05
 
 
 def test_model_round_trip(spark, labelled):
