@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
-from txlake.llm import bpe, warc_revisit
+from txlake.llm import bpe, substring_dedup, suffix_dedup, warc_revisit
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
 
@@ -33,3 +33,15 @@ def op5_warc_revisit(spark, folder):
     warc_revisit.write_archives(warc_revisit.resolve_revisits(table(spark, folder, "pages")), archives)
     headers = durable(warc_revisit.read_archives(spark, archives).drop("payload", "url"), "headers")
     return warc_revisit.resolved_lengths(headers)
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, folder):
+    cut = substring_dedup.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, folder):
+    cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

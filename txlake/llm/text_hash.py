@@ -26,6 +26,13 @@ def mix(values: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A scrambled 64-bit number for each byte."""
+    return _BYTE[data]
+
+
 _powers = np.ones(1, np.uint64)
 
 
