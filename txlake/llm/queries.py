@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
-from txlake.llm import bpe, substring_dedup, suffix_dedup, warc_revisit
+from txlake.llm import bpe, prob_minhash, substring_dedup, suffix_dedup, warc_revisit
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
 
@@ -22,6 +22,11 @@ def op1_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+@query("op4_prob_minhash")
+def op4_prob_minhash(spark, folder):
+    return prob_minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_warc_revisit", """
 with p as (select page_id, octet_length(encode(coalesce(html, ''))) payload_bytes, sha256(coalesce(html, '')) payload_digest from pages),
 f as (select payload_digest, min(page_id) head from p where payload_bytes >= 100 group by 1)
