@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
-from txlake.llm import bpe, prob_minhash, substring_dedup, suffix_dedup, warc_revisit
+from txlake.llm import bpe, line_dedup, prob_minhash, substring_dedup, suffix_dedup, warc_revisit
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
 
@@ -46,6 +46,12 @@ def op6_substring_dedup(spark, folder):
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op9_line_dedup")
+def op9_line_dedup(spark, folder):
+    cut = line_dedup.remove_lines(table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, folder):
     cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
