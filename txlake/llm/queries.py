@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
-from txlake.llm import bpe, line_dedup, prob_minhash, substring_dedup, suffix_dedup, warc_revisit
+from txlake.llm import (
+    bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, substring_dedup, suffix_dedup,
+    warc_revisit)
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
 
@@ -22,6 +24,26 @@ def op1_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+@query("op2_language_id")
+def op2_language_id(spark, folder):
+    return language_id.identify(table(spark, folder, "documents"))
+
+
+@query("op3_embedding_dedup", """
+with recursive v as (select vec_id, label, cast(embedding as double[]) e from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+r as (select vec_id id, vec_id low from embeddings union select l.b, r.low from r join l on l.a = r.id where r.low < l.b),
+c as (select id, min(low) component_id from r group by 1),
+n as (select a, count(*) n from l group by 1)
+select vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept
+from embeddings left join n on a = vec_id join c on id = vec_id""")
+def op3_embedding_dedup(spark, folder):
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 @query("op4_prob_minhash")
 def op4_prob_minhash(spark, folder):
     return prob_minhash.near_duplicates(table(spark, folder, "documents"))
@@ -40,12 +62,33 @@ def op5_warc_revisit(spark, folder):
     return warc_revisit.resolved_lengths(headers)
 
 
-@query("op6_substring_dedup")
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op6_substring_dedup", f"""
+with d as (select doc_id, {_WORDS} w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 12], chr(10)) g from (select doc_id, w, unnest(range(1, len(w) - 11)) i from d)),
+f as (select g, min(doc_id) low from g group by 1),
+h as (select distinct doc_id, i + k as place from (select doc_id, i, unnest(range(0, 13)) k from g join f using (g) where low < doc_id)),
+r as (select doc_id, list(place) gone from h group by 1)
+select d.doc_id, len(w) n_words, coalesce(len(gone), 0) n_removed,
+  sha256(coalesce(array_to_string(list_filter(list_transform(w, lambda x, i: case when not list_contains(coalesce(gone, []), i) then x end), lambda x: x is not null), ' '), '')) kept_sha256
+from d left join r on d.doc_id = r.doc_id""")
 def op6_substring_dedup(spark, folder):
     cut = substring_dedup.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op7_decontamination")
+def op7_decontamination(spark, folder):
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("tiles")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, folder):
+    return license_scan.licences(table(spark, folder, "documents"))
+
+
 @query("op9_line_dedup")
 def op9_line_dedup(spark, folder):
     cut = line_dedup.remove_lines(table(spark, folder, "documents"))
