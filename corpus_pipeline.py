@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txlake.catalog.registry import query
 from txlake.llm import bpe, decontaminate, language_id, line_dedup, prob_minhash, queries
-from txlake.llm.schema_guard import durable
+from txlake.llm.schema_guard import durable, fresh
 
 #: Training, similarity joins and fixpoints aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -29,8 +29,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    copies = prob_minhash.near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col("_copy"), "left_anti")
+    copy, = fresh(docs, "_copy")
+    copies = prob_minhash.near_duplicates(docs).where("class_id <> doc_id").select(F.col("doc_id").alias(copy)).distinct()
+    return docs.join(copies, F.col("doc_id").cast("long") == F.col(copy), "left_anti")
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from txlake.llm.schema_guard import pick, text_bytes
+from txlake.llm.schema_guard import fresh, pick, text_bytes
 from txlake.llm.text_hash import chunks, window_owner, windows, words
 
 MIN_TILE = 5
@@ -146,7 +146,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, lea
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents, with all their columns, in which no item is covered. Rows without an id stay."""
-    ids = leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("_leak")).where("_leak is not null").distinct()
-    return docs.join(ids, docs["`doc_id`"].cast("long") == ids["_leak"], "left_anti")
-
-
+    leak, = fresh(docs, "_leak")
+    ids = leaks(docs, benchmark, coverage).where("doc_id is not null").select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(leak), "left_anti")

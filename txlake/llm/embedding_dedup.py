@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.llm.components import components
-from txlake.llm.schema_guard import column, durable
+from txlake.llm.schema_guard import durable, pick
 
 COSINE = 0.98
 PROJECTIONS = 24
@@ -60,7 +60,7 @@ def _unit(rows: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id``, ``label``, ``embedding`` and its length of rows that may link: all given, finite, not zero."""
-    rows = vectors.select(column(vectors, "vec_id", "long"), column(vectors, "label", "string"), column(vectors, "embedding", "array<double>"))
+    rows = pick(vectors, vec_id="long", label="string", embedding="array<double>")
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where("vec_id is not null and label is not null and embedding is not null").where(
         ~bad & F.exists("embedding", lambda x: x != 0)).withColumn("size", F.size("embedding"))
@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     shared = copies.join(own, F.col("head") == F.col("a"), "left").select("vec_id", (F.coalesce(own["n"], F.lit(0)) + copies["n"] - 1).alias("n"))
     alone = own.join(copies.select("vec_id"), F.col("a") == F.col("vec_id"), "left_anti").select(F.col("a").alias("vec_id"), "n")
     counts = shared.unionByName(alone).groupBy(F.col("vec_id").alias("_vec")).agg(F.sum("n").alias("_n"))
-    result = vectors.select(column(vectors, "vec_id", "long")).join(counts, F.col("vec_id") == F.col("_vec"), "left").join(
+    result = pick(vectors, vec_id="long").join(counts, F.col("vec_id") == F.col("_vec"), "left").join(
         found, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return result.select(

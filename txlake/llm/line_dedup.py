@@ -13,9 +13,9 @@ first compared with the earliest that shares a run of prefix words; only lines w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from txlake.llm.schema_guard import durable, pick
+from txlake.llm.schema_guard import durable, fresh, pick
 
 SIMILARITY = 0.8
 RARITY = 1 << 20
@@ -26,9 +26,7 @@ _RUN = 3
 
 def line_table(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``line`` (from 0; rows of one id follow each other) and ``content`` of every line of every text."""
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        from pyspark.sql import Window
-
+    if _repeats(docs):
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1
         docs = docs.withColumn("copy", rank.cast("long"))
     else:
@@ -128,22 +126,25 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     null text stays null and rows without an id stay whole. Rows of one id are taken in the order of their texts. Columns
     named like the two added ones are replaced.
     """
-    gone = similar_lines(pick(docs, doc_id="long", text="string"), similarity).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list("line")).alias("_gone")).withColumnRenamed("doc_id", "_gone_id")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    gone_id, gone, mine, copy = fresh(docs, "_gone_id", "_gone", "_mine", "_copy")
+    found = similar_lines(pick(docs, doc_id="long", text="string"), similarity).groupBy(F.col("doc_id").alias(gone_id)).agg(
+        F.collect_list("line").alias(gone))
     rows = docs.select(*[f"`{c}`" for c in kept])
-    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        from pyspark.sql import Window
-
-        rows = rows.withColumn("_copy", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").cast("string"))) - 1).cast("long"))
-    else:
-        rows = rows.withColumn("_copy", F.lit(0).cast("long"))
-    joined = rows.join(gone, F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
-    mine = F.transform(F.filter("_gone", lambda line: F.shiftright(line, 32) == F.col("_copy")), lambda line: line.bitwiseAND(0xFFFFFFFF).cast("int"))
+    number = F.lit(0).cast("long")
+    if _repeats(docs):
+        number = (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").cast("string"))) - 1).cast("long")
+    joined = rows.withColumn(copy, number).join(found, F.col("doc_id").cast("long") == F.col(gone_id), "left")
+    at = F.transform(F.filter(gone, lambda line: F.shiftright(line, 32) == F.col(copy)), lambda line: line.bitwiseAND(0xFFFFFFFF).cast("int"))
+    joined = joined.withColumn(mine, F.when(F.col(gone).isNotNull(), at))
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("_mine"), at)), "\n")
-    joined = joined.withColumn("_mine", F.when(F.col("_gone").isNotNull(), mine))
-    some = F.coalesce(F.size("_mine") > 0, F.lit(False)) & F.col("text").isNotNull()
+    left = F.array_join(F.filter(lines, lambda _, n: ~F.array_contains(F.col(mine), n)), "\n")
+    some = F.coalesce(F.size(mine) > 0, F.lit(False)) & F.col("text").isNotNull()
     return joined.select(
         *[F.when(some, left).otherwise(F.col("text")).alias("text") if c == "text" else f"`{c}`" for c in kept],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.when(some, F.size("_mine")).otherwise(0).cast("long").alias("n_removed"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(some, F.size(mine)).otherwise(0).cast("long").alias("n_removed"))
+
+
+def _repeats(docs: DataFrame) -> bool:
+    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1))

@@ -13,10 +13,24 @@ def column(df: DataFrame, name: str, kind: str) -> Column:
 
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
-    """Only the named columns, cast; others, whatever their names, can't get in the way."""
+    """Only the named columns, cast; others, whatever their names, can't get in the way, also if they differ by case only."""
+    names = df.columns
+    if len({n.lower() for n in names}) < len(names):
+        df = df.toDF(*[n if n in kinds and names.index(n) == at else f"_{at}" for at, n in enumerate(names)])
     return df.select(*[column(df, name, kind) for name, kind in kinds.items()])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` is called so."""
+    taken = {n.lower() for n in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """``df`` written under the shared folder and read again: later steps don't depend on the executors that made it."""
     path = scratch_path(df.sparkSession, label)
