@@ -240,7 +240,7 @@ def test_lists(spark):
     rows = spark.range(30).select("id")
     assert [r[0] for r in ranking.last_rows(rows, ["id"], 3).collect()] == [27, 28, 29]
     assert [r[0] for r in ranking.page(rows, ["id"], 1, 4).collect()] == [4, 5, 6, 7]
-    assert ranking.first_rows(rows, ["id"], 0).count() == 30 and ranking.first_rows(rows, ["id"], 900, at_most=20).count() == 20
+    assert ranking.first_rows(rows, ["id"], 0).count() == 30 and ranking.first_rows(rows, ["id"], 900).count() == 30
 
 
 def test_review_context_marks_what_it_left_out(spark):
@@ -263,3 +263,70 @@ def test_mask_pii_never_shows_raw_values(spark):
     for value in (v for v in raw if isinstance(v, str)):
         assert value not in [c for c in got if isinstance(c, str)]
     assert privacy.mask_pii(frame).first()["card_holder_name"] == "Maria Souza"
+
+
+def test_chi_square_tail_of_many_labels():
+    from txlake.operators.drift import _chi2_tail
+
+    assert _chi2_tail(1500.0, 2000) > 0.999 and _chi2_tail(2200.0, 2000) < 0.01
+    assert abs(_chi2_tail(3.841458820694124, 1) - 0.05) < 1e-12 and abs(_chi2_tail(5.991464547107979, 2) - 0.05) < 1e-12
+    assert _chi2_tail(0.0, 3) == 1.0 and _chi2_tail(5.0, 0) == 1.0
+
+
+def test_accents_of_all_letters(spark):
+    from txlake.functions.vocabulary import strip_accents
+
+    row = spark.createDataFrame([("Őszi Škoda ćevap Việt — ά й Ação",)], "t string").select(strip_accents("t")).first()
+    assert row[0] == "Oszi Skoda cevap Viet — α и Acao"
+
+
+def test_drift_of_odd_columns(spark):
+    from txlake.operators import drift
+
+    one = spark.createDataFrame([(5.0, "a"), (5.0, None), (5.0, "null")], "x double, k string")
+    other = spark.createDataFrame([(5.0, "a"), (7.0, None)], "x double, k string")
+    assert {r["column"]: r["psi"] is not None for r in drift.psi(one, other, ["x"], ["k"]).collect()} == {"x": True, "k": True}
+    assert {r["bin"]: (r["reference_rows"], r["current_rows"]) for r in drift.category_bins(one, other, "k").collect()} == {
+        "a": (1, 1), None: (1, 1), "null": (1, 0)}
+    assert drift.ks(one.limit(0), other, ["x"]).first()["p_value"] is None
+    assert drift.psi(one.limit(0), other, ["x"], ["k"]).count() == 2
+    assert drift.chi_square(one, other.limit(0), ["k"]).count() == 1
+
+
+def test_buckets_and_means_of_odd_numbers(spark):
+    from txlake.functions.ordering import magnitude_bucket
+    from txlake.functions.values import exact_mean, number_or
+
+    inf, nan = float("inf"), float("nan")
+    values = [-inf, -3.0, -1e-300, 0.0, 1e-300, 2.0, 1e300, inf, nan]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(values)], "n int, v double")
+    buckets = [r["b"] for r in rows.select("n", magnitude_bucket("v", 16).alias("b")).orderBy("n").collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) == len(buckets)
+    assert rows.filter("n = 8").select(number_or("v", 4.0)).first()[0] == 4.0
+    means = rows.filter("n in (1, 5)").withColumn("big", F.lit(1e30)).agg(exact_mean("v"), exact_mean("big")).first()
+    assert means[0] == -0.5 and abs(means[1] - 1e30) < 1e15
+    assert rows.agg(exact_mean("v").alias("m")).selectExpr("isnan(m)").first()[0]
+
+
+def test_decisions_stay_whole(spark):
+    from txlake.operators import alerts
+
+    table = spark.createDataFrame([("a", "OPEN")], "id string, status string")
+    reviews = spark.createDataFrame([("a", "RESOLVED", "bob", 1), ("a", "FALSE_POSITIVE", "zoe", 2)], "id string, status string, reviewed_by string, decided_at int")
+    got = alerts.review_alerts(table, reviews).first()
+    assert (got["status"], got["reviewed_by"]) == ("FALSE_POSITIVE", "zoe")
+    got = alerts.review_alerts(table, reviews.drop("decided_at")).first()
+    assert (got["status"], got["reviewed_by"]) in {("RESOLVED", "bob"), ("FALSE_POSITIVE", "zoe")}
+
+
+def test_merges_of_repeated_keys(spark):
+    old = spark.createDataFrame([(1, 10, 0)], "k int, w int, at int")
+    new = spark.createDataFrame([(1, 20, 1), (1, 15, 2), (2, 5, 1), (2, 6, 0)], "k int, w int, at int")
+    for merged in (merge.replace_by_key(old, new, "k", ["at"]), merge.upsert_columns(old, new, "k", ["w"], order=["at"])):
+        assert sorted((r["k"], r["w"]) for r in merged.collect()) == [(1, 15), (2, 5)]
+
+
+def test_lookup_gives_all_rows_of_a_key(spark):
+    from txlake.operators import listing
+
+    assert listing.lookup(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string"), "k", 1).count() == 2

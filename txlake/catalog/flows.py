@@ -44,7 +44,7 @@ select transaction_id, user_id, amount, merchant_id, merchant_category, strftime
 def _ingested(spark: SparkSession, log: str) -> DataFrame:
     out = scratch_path(spark, "events")
     good = ingest.good_events(read_event_log(spark, log))
-    _drain(ingest.start(good, out, scratch_path(spark, "ckpt")))
+    _drain(ingest.start_unique(good, out, scratch_path(spark, "ckpt")))
     return spark.read.parquet(out)
 
 
@@ -84,6 +84,28 @@ def stream_publish(spark, folder):
                        (F.col("event_id").isNotNull() & F.col("event_timestamp").isNotNull()).alias("enveloped"))
 
 
+@query("stream_accounting", with_parts("ev") + """
+select count(*) + count(*) filter (merchant_category = 'purchase') sent, count(*) filter (merchant_category <> 'error') good,
+  count(*) filter (merchant_category = 'error') dead, count(*) filter (merchant_category = 'purchase') repeats from ev""")
+def stream_accounting(spark, folder):
+    """Every message sent is stored once, a dead letter, or a repeat, also when files arrive one by one, mornings after afternoons."""
+    log, out, dead = _published(spark, folder), scratch_path(spark, "events"), scratch_path(spark, "dead")
+    ordered = scratch_path(spark, "log")
+    afternoon = F.coalesce(F.get_json_object("value", "$.timestamp").substr(12, 2) >= "12", F.lit(True))
+    for late in (afternoon, ~afternoon):
+        spark.read.text(log).filter(late).coalesce(1).write.mode("append").text(ordered)
+    for _ in range(2):  # the second run, under a new checkpoint, adds nothing
+        _drain(ingest.start_unique(ingest.good_events(read_event_log(spark, ordered, maxFilesPerTrigger="1")), out, scratch_path(spark, "ckpt")))
+    _drain(ingest.start(ingest.dead_letters(read_event_log(spark, ordered)), dead, scratch_path(spark, "ckpt")))
+    good = spark.read.parquet(out).agg(F.count("*").alias("good"), F.count_distinct("transaction_id").alias("ids"))
+    sent = spark.read.text(log).agg(F.count("*").alias("sent"))
+    lost = spark.read.parquet(dead).agg(F.count("*").alias("dead"))
+    usable = ingest.decoded(spark.read.text(log)).filter("_usable").agg(F.count("*").alias("usable"))
+    counts = [f.withColumn("_one", F.lit(1)) for f in (sent, good, lost, usable)]
+    joined = counts[0].join(counts[1], "_one").join(counts[2], "_one").join(counts[3], "_one")
+    return joined.select("sent", F.col("ids").alias("good"), "dead", (F.col("usable") - F.col("good")).alias("repeats"))
+
+
 @query("replay", with_parts("ev") + _GOOD)
 def replay(spark, folder):
     """The same log read again from its start under a new checkpoint."""
@@ -153,7 +175,7 @@ def _quantile_sql() -> str:
     cases = " ".join(
         f"when le_{i} >= 0.95::double * n then {bounds[i - 1] if i else 0.0}::double + {bounds[i] - (bounds[i - 1] if i else 0.0)}::double "
         f"* ((0.95::double * n - {f'le_{i - 1}' if i else '0'}) / (le_{i} - {f'le_{i - 1}' if i else '0'}))" for i in range(len(bounds)))
-    return f"""select strftime(start, '%Y-%m-%d %H:%M:%S') window_start, n requests, round(case {cases} else {bounds[-1]}::double end, 6) quantile
+    return f"""select strftime(start, '%Y-%m-%d %H:%M:%S') window_start, n requests, round(case {cases} end, 6) quantile
 from (select start, count(*) n, {counts} from (
   select date_trunc('minute', ts) - to_minutes(cast(k as bigint)) start, value from events cross join range(0, 5) r(k)) group by start)"""
 

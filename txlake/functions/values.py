@@ -28,7 +28,9 @@ def or_default(value: Column | str, default: str) -> Column:
 
 
 def number_or(value: Column | str, default: float = 0.0) -> Column:
-    return F.coalesce(as_column(value).try_cast("double"), F.lit(default).cast("double"))
+    """The number, or ``default`` for what is none: null, other text, NaN."""
+    other = F.lit(default).cast("double")
+    return F.coalesce(F.nanvl(as_column(value).try_cast("double"), other), other)
 
 
 def integer_or(value: Column | str, default: int) -> Column:
@@ -54,6 +56,11 @@ def only_existing(columns: list[str], wanted: list[str]) -> list[str]:
 
 
 def exact_mean(value: Column | str) -> Column:
-    """Mean from an exact decimal sum: the same on every run, whatever order tasks finish in."""
+    """Mean from an exact decimal sum: the same on every run, whatever order tasks finish in.
+
+    Where a value is beyond 24 digits, infinite or NaN, the mean is that of the doubles.
+    """
     value = as_column(value)
-    return F.sum(value.cast("decimal(20,6)")).cast("double") / F.count(value)
+    exact = value.cast("double").try_cast("decimal(30,6)")
+    odd = F.count_if(value.isNotNull() & exact.isNull())
+    return F.when(odd > 0, F.avg(value.cast("double"))).otherwise(F.sum(exact).cast("double") / F.count(value))

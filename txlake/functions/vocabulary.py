@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 from txlake.functions.values import as_column, present
@@ -17,9 +19,18 @@ DEFAULT_CATEGORY = "Outros"
 DEFAULT_PAYMENT = "CREDIT_CARD"
 HOME_COUNTRY = "BR"
 
-# Latin letters with a mark and the letter below it.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _bare_letters() -> tuple[str, str]:
+    """Letters that decompose into one letter and marks, and that letter, by Unicode's own tables."""
+    marked, bare = [], []
+    for code in range(0x80, 0x10000):
+        parts = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
+        if len(parts) == 1 and parts[0] != chr(code) and unicodedata.category(chr(code)).startswith("L"):
+            marked.append(chr(code))
+            bare.append(parts[0])
+    return "".join(marked), "".join(bare)
+
+
+ACCENTED, UNACCENTED = _bare_letters()
 
 # Display labels of the model features, and the weights shown until a model is trained.
 FEATURE_LABELS = {
@@ -47,7 +58,7 @@ def literal_map(table: dict[str, str]) -> Column:
 
 
 def strip_accents(text: Column | str) -> Column:
-    """Drop diacritics of Latin letters, composed or as separate combining marks."""
+    """Drop diacritics of letters of any script, composed or as separate combining marks."""
     plain = F.translate(as_column(text), ACCENTED, UNACCENTED)
     return F.regexp_replace(plain, r"\p{Mn}+", "")
 

@@ -59,9 +59,20 @@ def missing_audit_events(events: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def _decisions(decisions: DataFrame, key: str, **fields: Column) -> DataFrame:
-    """One decision per key, columns prefixed for the join."""
-    picked = decisions.select(F.col(key), *[c.alias(f"_{n}") for n, c in fields.items()], F.lit(True).alias("_hit"))
-    return picked.groupBy(key).agg(*[F.min(c).alias(c) for c in picked.columns if c != key])
+    """One whole decision per key, columns prefixed for the join.
+
+    The latest by ``decided_at`` if the decisions have that column; of equally late ones the smallest by its fields.
+    """
+    names = [f"_{n}" for n in fields]
+    late = F.col("decided_at") if "decided_at" in decisions.columns else F.lit(0)
+    picked = decisions.select(F.col(key), *[c.alias(n) for n, c in zip(names, fields.values())], late.alias("_late"))
+    if names:
+        latest = picked.groupBy(key).agg(F.max("_late").alias("_latest"))
+        picked = picked.join(latest, key).filter(F.col("_late").eqNullSafe(F.col("_latest")))
+        picked = picked.groupBy(key).agg(F.min(F.struct(*names)).alias("_one")).select(key, "_one.*")
+    else:
+        picked = picked.select(key).distinct()
+    return picked.withColumn("_hit", F.lit(True))
 
 
 def _update(rows: DataFrame, decisions: DataFrame, key: str, changes: dict[str, Column]) -> DataFrame:

@@ -36,8 +36,9 @@ def bin_frequencies(both: DataFrame, bin_column: Column) -> DataFrame:
 
 def equal_width_bin(value: str, low: Column, high: Column, bins: int) -> Column:
     """Bin by the reference's range; values outside it fall into the end bins."""
-    position = F.floor((F.col(value) - low) / (high - low) * bins)
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), position))
+    position = F.floor(F.try_divide(F.col(value) - low, high - low) * bins)
+    # A reference of one value has no width: everything is in the first bin.
+    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(position, F.lit(0))))
 
 
 def _psi(frequencies: DataFrame, column: str) -> DataFrame:
@@ -46,8 +47,8 @@ def _psi(frequencies: DataFrame, column: str) -> DataFrame:
         F.collect_list(F.struct("reference_rows", "current_rows")).alias("_bins"))
 
     def term(cell: Column) -> Column:
-        r = F.greatest(cell["reference_rows"] / F.col("_r"), F.lit(EMPTY_SHARE))
-        c = F.greatest(cell["current_rows"] / F.col("_c"), F.lit(EMPTY_SHARE))
+        r = F.greatest(F.try_divide(cell["reference_rows"], F.col("_r")), F.lit(EMPTY_SHARE))
+        c = F.greatest(F.try_divide(cell["current_rows"], F.col("_c")), F.lit(EMPTY_SHARE))
         return (c - r) * F.log(c / r)
 
     psi = F.aggregate(F.transform("_bins", term), F.lit(0.0), lambda a, b: a + b)
@@ -64,8 +65,9 @@ def numeric_bins(reference: DataFrame, current: DataFrame, column: str, bins: in
 
 
 def category_bins(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    """Per label, rows of each side; missing labels are a bin of their own, whose label is null."""
     both = _tagged(reference, current, [column])
-    return bin_frequencies(both, F.coalesce(F.col(column).cast("string"), F.lit("null")))
+    return bin_frequencies(both, F.col(column).cast("string"))
 
 
 def psi(reference: DataFrame, current: DataFrame, numeric: list[str], categorical: list[str],
@@ -77,8 +79,8 @@ def psi(reference: DataFrame, current: DataFrame, numeric: list[str], categorica
         frequencies = category_bins(reference, current, c)
         r_total = frequencies.select(F.sum("reference_rows")).scalar()
         c_total = frequencies.select(F.sum("current_rows")).scalar()
-        r = F.greatest(F.col("reference_rows") / r_total, F.lit(EMPTY_SHARE))
-        k = F.greatest(F.col("current_rows") / c_total, F.lit(EMPTY_SHARE))
+        r = F.greatest(F.try_divide(F.col("reference_rows"), r_total), F.lit(EMPTY_SHARE))
+        k = F.greatest(F.try_divide(F.col("current_rows"), c_total), F.lit(EMPTY_SHARE))
         parts.append(frequencies.agg(F.sum((k - r) * F.log(k / r)).alias("psi"))
                      .select(F.lit(c).alias("column"), "psi"))
     return reduce(DataFrame.unionByName, parts)
@@ -92,11 +94,11 @@ def _ks_p(scaled: Column) -> Column:
 
     series = F.aggregate(F.sequence(F.lit(1), F.lit(_KS_TERMS)), F.lit(0.0), lambda total, j: total + term(j))
     # The series does not converge next to zero, where the probability is one.
-    return F.when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
+    return F.when(scaled.isNull(), F.lit(None).cast("double")).when(scaled < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), series)))
 
 
 def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact two-sample Kolmogorov-Smirnov statistic per column, with its asymptotic p-value."""
+    """Exact two-sample Kolmogorov-Smirnov statistic per column, with its asymptotic p-value; null if a side is empty."""
     parts = []
     for column in columns:
         both = _tagged(reference, current, [column])
@@ -104,35 +106,47 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
         # The last running count of each side is its size.
         sizes = counts.agg(F.max("r").cast("double").alias("n"), F.max("c").cast("double").alias("m"))
         n, m = sizes.select("n").scalar(), sizes.select("m").scalar()
-        gap = counts.agg(F.max(F.abs(F.col("r") / n - F.col("c") / m)).alias("ks")).select("ks", n.alias("n"), m.alias("m"))
-        scaled = gap.withColumn("scaled", F.col("ks") * F.sqrt(F.col("n") * F.col("m") / (F.col("n") + F.col("m"))))
+        gap = counts.agg(F.max(F.abs(F.try_divide(F.col("r"), n) - F.try_divide(F.col("c"), m))).alias("ks")).select("ks", n.alias("n"), m.alias("m"))
+        scaled = gap.withColumn("scaled", F.col("ks") * F.sqrt(F.try_divide(F.col("n") * F.col("m"), F.col("n") + F.col("m"))))
         parts.append(scaled.select(F.lit(column).alias("column"), "ks", _ks_p(F.col("scaled")).alias("p_value")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _chi2_tail(statistic: float, freedom: int) -> float:
-    """Upper tail of the chi-square distribution in closed form."""
-    half = statistic / 2.0
-    if freedom <= 0:
+    """Upper tail of the chi-square distribution: the regularized incomplete gamma function, scaled by its logarithm.
+
+    Left of the mean by the power series of the lower part, right of it by the continued fraction of the upper one.
+    """
+    x, a = statistic / 2.0, freedom / 2.0
+    if freedom <= 0 or x <= 0:
         return 1.0
-    if half > 700.0:
-        return 0.0
-    if freedom % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, freedom // 2):
-            term *= half / i
+    scale = math.exp(min(0.0, a * math.log(x) - x - math.lgamma(a)))
+    if x < a + 1:
+        term = total = 1.0 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
             total += term
-        return min(1.0, math.exp(-half) * total)
-    total, term = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
-    for i in range(1, (freedom + 1) // 2):
-        total += term
-        term *= half / (i + 0.5)
-    return min(1.0, total)
+        return max(0.0, 1.0 - scale * total)
+    tiny = 1e-300
+    b = x + 1 - a
+    c, d = 1 / tiny, 1 / b
+    fraction, i, change = d, 0, 0.0
+    while abs(change - 1) > 1e-15:
+        i += 1
+        step = -i * (i - a)
+        b += 2
+        d = 1 / (step * d + b or tiny)
+        c = b + step / c or tiny
+        change = c * d
+        fraction *= change
+    return min(1.0, scale * fraction)
 
 
 @F.pandas_udf(T.DoubleType())
 def chi2_p_value(statistic: pd.Series, freedom: pd.Series) -> pd.Series:
-    return pd.Series([_chi2_tail(float(s), int(k)) for s, k in zip(statistic, freedom)])
+    return pd.Series([None if pd.isna(s) else _chi2_tail(float(s), int(k)) for s, k in zip(statistic, freedom)], dtype="float64")
 
 
 def chi_square(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
@@ -145,8 +159,8 @@ def chi_square(reference: DataFrame, current: DataFrame, columns: list[str]) ->
         both = (F.col("reference_rows") + F.col("current_rows")).cast("double")
         share = both / (r_total + c_total)
         distance = (
-            F.pow(F.col("reference_rows") - share * r_total, 2) / (share * r_total)
-            + F.pow(F.col("current_rows") - share * c_total, 2) / (share * c_total)
+            F.try_divide(F.pow(F.col("reference_rows") - share * r_total, F.lit(2)), share * r_total)
+            + F.try_divide(F.pow(F.col("current_rows") - share * c_total, F.lit(2)), share * c_total)
         )
         one = cells.agg(F.sum(distance).alias("chi2"), (F.count("*") - 1).alias("freedom"))
         parts.append(one.select(F.lit(column).alias("column"), "chi2", "freedom"))

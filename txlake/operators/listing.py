@@ -39,8 +39,8 @@ def list_filter(scored: DataFrame, which: str | None = "all") -> DataFrame:
 
 
 def lookup(rows: DataFrame, key: str, value: Any) -> DataFrame:
-    """One row by key. For many keys, join instead."""
-    return rows.filter(F.col(key) == F.lit(value)).limit(1)
+    """All rows of a key. For many keys, join instead."""
+    return rows.filter(F.col(key) == F.lit(value))
 
 
 def public_view(scored: DataFrame) -> DataFrame:
@@ -79,8 +79,8 @@ def with_releasable(scored: DataFrame) -> DataFrame:
     return scored.withColumn("can_release", in_review & ~F.col("review_status").eqNullSafe("RELEASED"))
 
 
-def review_context(scored: DataFrame, order: list[str], limit: int = REVIEW_CONTEXT_LIMIT) -> DataFrame:
-    """Lines about the last open frauds, oldest first; beyond the cap one line says so.
+def review_context(scored: DataFrame, order: list[str], limit: int = REVIEW_CONTEXT_LIMIT, shown: int = REVIEW_CONTEXT_LIMIT) -> DataFrame:
+    """Lines about the last open frauds, oldest first; beyond ``shown`` of them one line says so.
 
     Holds at most ``limit`` rows before rendering, so one task numbers them.
     """
@@ -88,9 +88,8 @@ def review_context(scored: DataFrame, order: list[str], limit: int = REVIEW_CONT
     recent = public_view(last_rows(list_filter(scored, "fraud"), order, limit))
     lines = recent.select(*order, transaction_line().alias("line"))
     packed = lines.agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("_all"))
-    shown = F.slice("_all", 1, REVIEW_CONTEXT_LIMIT)
-    rendered = F.transform(shown, lambda x: x["line"])
+    rendered = F.transform(F.slice("_all", 1, shown), lambda x: x["line"])
     omitted = F.when(
-        F.size("_all") > REVIEW_CONTEXT_LIMIT,
+        F.size("_all") > shown,
         F.array_append(rendered, F.lit("... (mais transações omitidas)\n"))).otherwise(rendered)
     return packed.select(F.posexplode(omitted).alias("position", "line"))

@@ -4,19 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows replace existing rows of the same key whole; the others stay."""
+def last_of_key(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, then by all columns. Rows without a key stay.
+
+    Spark keeps one row per key and task before it shuffles.
+    """
+    rest = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}).desc() for c in sorted(rows.columns) if c not in (key, *order)]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order], *rest, F.lit(0)))
+    return rows.withColumn("_place", place).filter((F.col("_place") == 1) | F.col(key).isNull()).drop("_place")
+
+
+def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Incoming rows replace existing rows of the same key whole; the others stay. Of incoming rows of one key the last counts."""
+    incoming = last_of_key(incoming, key, order)
     return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 
 def upsert_columns(existing: DataFrame, incoming: DataFrame, key: str, update: Sequence[str],
-                   touched: dict[str, Column] | None = None) -> DataFrame:
+                   touched: dict[str, Column] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Insert new keys whole. For known keys take only the ``update`` columns from the incoming row,
-    nulls included, and set the ``touched`` columns."""
+    nulls included, and set the ``touched`` columns. Of incoming rows of one key the last by ``order`` counts."""
     touched = touched or {}
+    incoming = last_of_key(incoming, key, order)
     old, new = existing.alias("old"), incoming.alias("new")
     known, given = F.col(f"old.{key}").isNotNull(), F.col(f"new.{key}").isNotNull()
 

@@ -114,11 +114,10 @@ def last_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return tail.orderBy(*[F.asc_nulls_first(c) for c in order])
 
 
-def first_rows(rows: DataFrame, order: Sequence[str], n: int, at_most: int | None = None) -> DataFrame:
-    """The first ``n`` rows by ``order``; 0 means all. ``at_most`` caps what a caller may ask for."""
-    if n <= 0 and at_most is None:
+def first_rows(rows: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``; 0 means all."""
+    if n <= 0:
         return rows
-    n = n if at_most is None else min(at_most, max(1, n))
     return rows.orderBy(*[F.asc_nulls_first(c) for c in order]).limit(n)
 
 

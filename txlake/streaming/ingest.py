@@ -1,18 +1,21 @@
-"""Event log to clean events, with a dead-letter sink."""
+"""Event log to clean events, with a dead-letter sink.
+
+No event is lost: one that comes late is taken like any other, and one that comes again is recognized by the ids stored
+so far, however long ago and under whichever checkpoint, instead of by a state that forgets.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from txlake.functions.calendar import parse_instant
 from txlake.operators.adapters import CORRUPT, decode_messages
 from txlake.sinks.publish import as_messages, with_envelope
 
-# How late a repeated event may come and still be recognized; bounds the state.
-LATENESS = "1 hour"
-
-
 def _event_time() -> Column:
     return F.coalesce(parse_instant("timestamp"), parse_instant("event_timestamp")).cast("timestamp")
 
@@ -24,10 +27,43 @@ def decoded(messages: DataFrame) -> DataFrame:
     return rows.withColumn("_usable", usable)
 
 
-def good_events(messages: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Usable events, each transaction once within the lateness bound."""
-    usable = decoded(messages).filter("_usable").drop("_usable", CORRUPT)
-    return usable.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(["transaction_id"])
+def good_events(messages: DataFrame) -> DataFrame:
+    """Usable events, late and repeated ones included; the sinks keep each transaction once."""
+    return decoded(messages).filter("_usable").drop("_usable", CORRUPT)
+
+
+def batch_folder(base: str, checkpoint: str, batch_id: int) -> str:
+    """Where a micro-batch writes: one folder per checkpoint and batch, overwritten when the batch is retried."""
+    return f"{base}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}/batch_id={batch_id}"
+
+
+def new_events(events: DataFrame, stored: str, own: str) -> DataFrame:
+    """Each transaction of a micro-batch once, its earliest event, without those that other batches stored.
+
+    Only ids are read back. ``stored`` is the sink's folder, ``own`` this batch's, which an earlier try may have filled.
+    """
+    others = [c for c in sorted(events.columns) if c not in ("transaction_id", "event_time")]
+    order = Window.partitionBy("transaction_id").orderBy("event_time", *[F.to_json(F.struct(c)) for c in others])
+    first = events.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    try:
+        known = events.sparkSession.read.parquet(stored)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in (error.getCondition() or "") and "UNABLE_TO_INFER_SCHEMA" not in (error.getCondition() or ""):
+            raise
+        return first
+    run, batch = own.rstrip("/").split("/")[-2:]
+    elsewhere = (F.col("run").cast("string") != run.partition("=")[2]) | (F.col("batch_id") != int(batch.partition("=")[2]))
+    return first.join(known.filter(elsewhere).select("transaction_id"), "transaction_id", "left_anti")
+
+
+def start_unique(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write usable events to files, each transaction once over all runs and checkpoints that share ``path``."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = batch_folder(path, checkpoint, batch_id)
+        new_events(batch, path, own).select(*events.columns).write.mode("overwrite").parquet(own)
+
+    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def dead_letters(messages: DataFrame) -> DataFrame:

@@ -28,11 +28,11 @@ def bucket_counts(value: str, bounds: Sequence[float]) -> list[Column]:
 def quantile_from_buckets(bounds: Sequence[float], q: float) -> Column:
     """Quantile from cumulative bucket counts, linear inside its bucket.
 
-    Beyond the last bound the answer is the last bound.
+    Null where it lies beyond the last bound: the buckets don't know how far. ``bounds`` are the caller's to choose.
     """
     cells = [F.col(f"le_{i}") for i in range(len(bounds) + 1)]
     rank = q * cells[-1]
-    result = F.lit(float(bounds[-1]))
+    result = F.lit(None).cast("double")
     for i in reversed(range(len(bounds))):
         low = float(bounds[i - 1]) if i else 0.0
         below = cells[i - 1] if i else F.lit(0)

@@ -11,6 +11,7 @@ from txlake.operators.alerts import session_alerts
 from txlake.plans.scoring import analyze
 from txlake.sinks.history import history_rows
 from txlake.sinks.publish import as_messages, notifications
+from txlake.streaming.ingest import batch_folder, new_events
 
 logger = logging.getLogger(__name__)
 
@@ -20,24 +21,24 @@ def score_events(events: DataFrame, profiles: DataFrame) -> DataFrame:
     return analyze(events, profiles, F.col("event_time"))
 
 
-def _write_batch(rows: DataFrame, base: str, batch_id: int) -> None:
-    # One folder per micro-batch, overwritten when the batch is retried.
-    rows.write.mode("overwrite").parquet(f"{base}/batch_id={batch_id}")
+def fan_out(base: str, profiles: DataFrame, checkpoint: str):
+    """``foreachBatch`` function: the batch's new events are scored in a batch plan, whose joins adapt to skew, and go to
+    history, alerts and notifications. A failing notification is logged only."""
 
+    def write(events: DataFrame, batch_id: int) -> None:
+        def put(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(batch_folder(f"{base}/{name}", checkpoint, batch_id))
 
-def fan_out(base: str):
-    """``foreachBatch`` function: history, alerts, notifications. A failing notification is logged only."""
-
-    def write(scored: DataFrame, batch_id: int) -> None:
-        scored = scored.persist()
+        fresh = new_events(events, f"{base}/history", batch_folder(f"{base}/history", checkpoint, batch_id))
+        scored = score_events(fresh, profiles).persist()
         try:
-            _write_batch(history_rows(scored), f"{base}/history", batch_id)
-            _write_batch(session_alerts(scored), f"{base}/alerts", batch_id)
+            # History goes last: until it is there, a retry takes the same events again.
+            put(session_alerts(scored), "alerts")
             try:
-                messages = as_messages(notifications(scored), "transaction_id")
-                _write_batch(messages, f"{base}/notifications", batch_id)
+                put(as_messages(notifications(scored), "transaction_id"), "notifications")
             except Exception:
                 logger.warning("notifications of batch %s not published", batch_id, exc_info=True)
+            put(history_rows(scored), "history")
         finally:
             scored.unpersist()
 
@@ -46,6 +47,7 @@ def fan_out(base: str):
 
 def start_scoring(events: DataFrame, profiles: DataFrame, base: str, checkpoint: str,
                   once: bool = True) -> StreamingQuery:
-    writer = score_events(events, profiles).writeStream.foreachBatch(fan_out(base))
+    """Score a stream of usable events; each transaction is stored and alerted once, under any number of checkpoints."""
+    writer = events.writeStream.foreachBatch(fan_out(base, profiles, checkpoint))
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
