@@ -11,6 +11,9 @@ from txlake.functions import masking
 from txlake.functions.identity import cpf_from_base
 from txlake.operators import alerts as alert_ops, drift, listing, privacy, quality
 from txlake.functions.rendering import transaction_line
+from txlake.plans.medallion import run_medallion
+from txlake.session import scratch_path
+from txlake.sinks.layout import LakeLayout
 from txlake.sinks.publish import notifications
 from txlake.sources import sample
 
@@ -61,6 +64,17 @@ def dq_report(spark, folder):
     return report.withColumn("failed", F.array_join(names, ",")).drop("failed_expectations")
 
 
+@query("dq_advisory", with_parts("tx") + _RULES + """
+select bool_and(failed = 0) success, count(*) evaluated_expectations, count(*) filter (failed = 0) successful_expectations,
+  count(*) filter (failed <> 0) unsuccessful_expectations from rules""")
+def dq_advisory(spark, folder):
+    """What a lake run that no failure stops has stored about its rules."""
+    layout = LakeLayout(scratch_path(spark, "lake"))
+    run_medallion(spark, sample.transactions(spark, folder), layout)
+    return spark.read.json(layout.reports("rules_latest")).select(
+        "success", "evaluated_expectations", "successful_expectations", "unsuccessful_expectations")
+
+
 @query("dq_governance", with_parts("people") + """
 select 'regex' "rule", 'email' "column", 'warning' severity, count(*) evaluated,
   count(*) filter (not regexp_matches(email, '^[^@]+@[^@]+\\.[^@]+$')) failed,

@@ -17,14 +17,15 @@ def run_medallion(spark: SparkSession, landing: DataFrame | str, layout: LakeLay
                   fail_on: str | None = None) -> dict[str, DataFrame]:
     """Run the lake job and return the layers as read back.
 
-    Quality is advisory unless ``fail_on`` names a severity. The cleaned rows are stored once, because
+    Quality is advisory unless ``fail_on`` names a severity; what the rules found is stored either way. The cleaned rows are stored once, because
     silver reads them three times; gold is a projection of the written silver, not a second run.
     """
     rows = read_landing_json(spark, landing, array) if isinstance(landing, str) else landing
     bronze = spark.read.parquet(write_bronze(rows, layout))
 
-    results = quality.evaluate(bronze, quality.LANDING_RULES)
+    results = durable(quality.evaluate(bronze, quality.LANDING_RULES), "rules")
     write_quality_report(quality.batch_counters(bronze), layout)
+    write_quality_report(quality.report(results), layout, "rules")
     quality.enforce(results, fail_on)
 
     enriched = enrich(durable(clean(bronze), "clean"))

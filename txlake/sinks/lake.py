@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from txlake.session import durable
 from txlake.sinks.layout import DEFAULT_ENTITY, LakeLayout
 
 
@@ -35,11 +36,11 @@ def append_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_quality_report(report: DataFrame, layout: LakeLayout) -> None:
-    """The report as latest and in the history, with its time."""
-    timed = report.withColumn("validation_time", F.current_timestamp())
-    timed.write.mode("overwrite").json(layout.reports("dq_latest"))
-    timed.write.mode("append").json(layout.reports("dq_history"))
+def write_quality_report(report: DataFrame, layout: LakeLayout, name: str = "dq") -> None:
+    """The report as latest and in the history, with its time. It is made once, so the two can't disagree."""
+    timed = durable(report.withColumn("validation_time", F.current_timestamp()), "report")
+    timed.write.mode("overwrite").json(layout.reports(f"{name}_latest"))
+    timed.write.mode("append").json(layout.reports(f"{name}_history"))
 
 
 def run_record(spark: SparkSession, job: str, input_file: str, records_read: int, profiles_written: int,
