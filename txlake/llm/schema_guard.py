@@ -31,19 +31,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written under the shared folder and read again: later steps don't depend on the executors that made it."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of frames that are no longer referred to; it does so when the driver collects garbage."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def durable(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written under the shared folder and read again: later steps don't depend on the executors that made it.
+
+    The shuffle files that the write needed go as soon as it is done, so that steps don't add up on disk.
+    """
+    spark = df.sparkSession
+    path, before = scratch_path(spark, label), spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_bytes(df: DataFrame, name: str = "text") -> Column:
