@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.llm import blocks as B
-from txlake.llm.schema_guard import durable, pick, release
+from txlake.llm.schema_guard import durable, pick
 from txlake.llm.text_hash import chunks, mix, window_owner, windows, words
 
 MIN_WORDS = 13
@@ -47,8 +47,9 @@ class _Words:
         self.places, self.owners = window_owner(self.first, depth)
 
     def names(self, places: np.ndarray) -> np.ndarray:
-        """The suffixes at the places: their first ``depth`` words as 32-bit names."""
-        short = (self.hashes >> np.uint64(32)).astype("<u4")
+        """The suffixes at the places: their first ``depth`` words as 16-bit names, which order the tree; keys tell
+        suffixes of equal names apart."""
+        short = (self.hashes >> np.uint64(48)).astype("<u2")
         return np.lib.stride_tricks.sliding_window_view(short, self.depth)[places]
 
     def groups(self, places: np.ndarray, heavy: list[np.ndarray], lengths: list[int]) -> np.ndarray:
@@ -92,10 +93,10 @@ def _answer(messages: DataFrame, depth: int) -> DataFrame:
             return rows.select(["bucket", "block", "payload"])
         order = np.argsort(rows.column("block").to_numpy(), kind="stable")
         blocks, payloads = rows.column("block").to_numpy()[order], rows.column("payload")
-        parts = [np.frombuffer(payloads[int(n)].as_py(), "<u4").reshape(-1, depth + 2) for n in order]
+        parts = [np.frombuffer(payloads[int(n)].as_py(), "<u2").reshape(-1, depth + 4) for n in order]
         cuts = np.cumsum([0, *map(len, parts)])
         table = np.concatenate(parts)
-        keys = table[:, depth].astype(np.uint64) << np.uint64(32) | table[:, depth + 1]
+        keys = np.ascontiguousarray(table[:, depth:]).view("<u8").ravel()
         tree, shared = deep_nodes(table[:, :depth], keys)
         node = np.cumsum(shared < depth) - 1
         first = np.full(node[-1] + 1, len(table))
@@ -178,8 +179,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group_suffixes:
         keys, groups, sample, _, _ = ordered(at, *places_of(at, repeated), heavy)
         out = []
         if len(keys):
-            halves = np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype("<u4")
-            table = np.concatenate((at.names(sample), halves), 1)
+            table = np.concatenate((at.names(sample), keys.astype("<u8").view("<u2").reshape(-1, 4)), 1)
             out = [(bucket, texts.block, table[part].tobytes()) for bucket, part in B.split_buckets(groups, layout.bits)]
         return B.message_table([*out, (-1 - texts.block, texts.block, repeated.astype("<i8").tobytes())])
 
@@ -206,10 +206,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, group_suffixes:
             rows.append((doc, len(mine), int(mine.sum()), kept, spans))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
 
-    spark = docs.sparkSession
     shared = B.answer(B.per_block(blocks, fingerprints, B.MESSAGES), 3, earlier=False)
     heavy = _heavy(_prefix_counts(shared.where("bucket < 0")), lengths, group_suffixes)
-    release(spark)
     trees = _answer(B.with_answers(blocks, shared, lambda t, b: suffixes(t, b, heavy), B.MESSAGES), min_words)
-    release(spark)
     return B.with_answers(blocks, trees, lambda t, b: cut(t, b, heavy), _RESULT)
