@@ -8,6 +8,7 @@ holds at most one entry per block for the most frequent passage of the corpus.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,7 @@ from txlake.llm.schema_guard import durable, pick, text_bytes
 BLOCK_BYTES = 4 << 20
 MOST_BLOCK_BYTES = 64 << 20
 BUCKET_BYTES = 8 << 20
+EARLIER = 1 << 40
 MESSAGES = "bucket long, block long, payload binary"
 _MESSAGE = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("payload", pa.binary())])
 
@@ -124,7 +126,8 @@ def shortened(keys: np.ndarray, layout: Layout, width: int) -> np.ndarray:
 def answer(messages: DataFrame, width: int, earlier: bool) -> DataFrame:
     """A bit for each key sent, as messages to the blocks: another block has it, or with ``earlier`` one before it.
 
-    Messages with a negative bucket are notes of a block to itself; they come back as they are.
+    Messages with a negative bucket are notes of a block to itself; they come back as they are. Buckets from ``EARLIER``
+    on hold whole keys and always ask for earlier blocks.
     """
     def work(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
@@ -133,9 +136,10 @@ def answer(messages: DataFrame, width: int, earlier: bool) -> DataFrame:
         order = np.argsort(rows.column("block").to_numpy(), kind="stable")
         blocks = rows.column("block").to_numpy()[order]
         payloads = rows.column("payload")
-        parts = [unpack(payloads[int(n)].as_py(), width) for n in order]
+        whole = bucket >= EARLIER
+        parts = [unpack(payloads[int(n)].as_py(), 6 if whole else width) for n in order]
         cuts = np.cumsum([0, *map(len, parts)])
-        bits = marked(np.concatenate(parts), earlier)
+        bits = marked(np.concatenate(parts), earlier or whole)
         return message_table([(bucket, int(b), np.packbits(bits[x:y]).tobytes()) for b, x, y in zip(blocks, cuts[:-1], cuts[1:])])
 
     return durable(messages.groupBy("bucket").applyInArrow(work, MESSAGES), "answers")
@@ -155,12 +159,12 @@ def marked(values: np.ndarray, earlier: bool) -> np.ndarray:
     return out
 
 
-def received(rows: pa.Table, keys: np.ndarray, layout: Layout) -> np.ndarray:
-    """The bits that a block gets back, in the order of its sorted keys."""
+def received(rows: pa.Table, keys: np.ndarray, layout: Layout, first_bucket: int = 0) -> np.ndarray:
+    """The bits that a block gets back, in the order of its sorted keys. ``first_bucket``: that of the smallest keys."""
     by_bucket = dict(zip(rows.column("bucket").to_pylist(), rows.column("payload").to_pylist()))
     bits = np.zeros(len(keys), bool)
     for bucket, part in split_buckets(keys, layout.bits):
-        bits[part] = np.unpackbits(np.frombuffer(by_bucket[bucket], np.uint8), count=part.stop - part.start).astype(bool)
+        bits[part] = np.unpackbits(np.frombuffer(by_bucket[first_bucket + bucket], np.uint8), count=part.stop - part.start).astype(bool)
     return bits
 
 
@@ -169,6 +173,24 @@ def note(rows: pa.Table) -> bytes:
     return next(p for b, p in zip(rows.column("bucket").to_pylist(), rows.column("payload").to_pylist()) if b < 0)
 
 
+def document_keys(texts: Texts) -> np.ndarray:
+    """A 64-bit fingerprint of each whole document."""
+    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts.bytes], np.uint64)
+
+
+def sent_documents(texts: Texts, layout: Layout) -> list[tuple[int, int, bytes]]:
+    """Messages that ask which documents an earlier block has whole."""
+    keys, *_ = distinct(document_keys(texts), np.arange(len(texts.ids)))
+    return [(EARLIER + bucket, block, payload) for bucket, block, payload in sent(keys, layout, texts.block, 6)]
+
+
+def copies(texts: Texts, back: pa.Table, layout: Layout) -> np.ndarray:
+    """Which documents are exact copies of one with a smaller id."""
+    keys, which, first, _ = distinct(document_keys(texts), np.arange(len(texts.ids)))
+    ids = np.array(texts.ids, np.int64)
+    return received(back, keys, layout, EARLIER)[which] | (ids > ids[first[which]])
+
+
 def distinct(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys; which of them each entry has; the first and the last owner of each. Owners ascend."""
     order = np.argsort(keys, kind="stable")

@@ -5,7 +5,8 @@ into the cover: the places whose rest belongs to a difference cover. So it is en
 six of every 31, by their first ``length - 30`` bytes and to sort those names: a string that repeats contains a sampled
 name that repeats. As only prefixes of ``length`` bytes are ever compared, one round of names is deep enough and needs no
 recursion. What is left, the unsampled suffixes near a repeated name, is then merged: sorted by the name of all
-``length`` bytes, equal neighbours are repeats, and all but the earliest document's are removed.
+``length`` bytes, equal neighbours are repeats, and all but the earliest document's are removed. Documents that copy an
+earlier one whole are known before and send nothing.
 
 Names are 64-bit fingerprints (the sample's are cut to 32 bits and the bucket's, as a wrong hit there only costs work).
 """
@@ -127,7 +128,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             return B.message_table([])
         keys, owners, _ = _Places(texts, length).sampled()
         keys, *_ = B.distinct(B.shortened(keys, layout, 3), owners)
-        return B.message_table(B.sent(keys, layout, texts.block, 3))
+        return B.message_table([*B.sent(keys, layout, texts.block, 3), *B.sent_documents(texts, layout)])
 
     def strings(texts: B.Texts, back: pa.Table) -> pa.Table:
         if texts.block < 0:
@@ -135,24 +136,30 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         at = _Places(texts, length)
         keys, owners, places = at.sampled()
         keys, which, first, last = B.distinct(B.shortened(keys, layout, 3), owners)
-        repeated = (B.received(back, keys, layout) | (first != last))[which]
+        copied = B.copies(texts, back, layout)
+        repeated = (B.received(back, keys, layout) | (first != last))[which] & ~copied[owners]
         starts, ends = at.near(owners[repeated], places[repeated])
         keys, owners, _ = at.strings(starts, ends)
         keys, *_ = B.distinct(keys, owners)
-        ranges = np.concatenate((starts, ends)).astype("<i8").tobytes()
-        return B.message_table([*B.sent(keys, layout, texts.block, 6), (-1 - texts.block, texts.block, ranges)])
+        kept = np.concatenate(([len(starts)], starts, ends, np.flatnonzero(copied))).astype("<i8").tobytes()
+        return B.message_table([*B.sent(keys, layout, texts.block, 6), (-1 - texts.block, texts.block, kept)])
 
     def cut(texts: B.Texts, back: pa.Table) -> pa.Table:
         at = _Places(texts, length)
         if texts.block < 0:
             return _finish(texts, at.sizes, at.begins, np.zeros(0, np.int64), np.zeros(0, np.int64))
-        starts, ends = np.frombuffer(B.note(back), "<i8").reshape(2, -1)
+        kept = np.frombuffer(B.note(back), "<i8")
+        starts, ends, copied = np.split(kept[1:], (kept[0], 2 * kept[0]))
+        copied = copied[at.sizes[copied] >= length]
         keys, owners, places = at.strings(starts, ends)
         keys, which, first, _ = B.distinct(keys, owners)
         ids = np.array(texts.ids, np.int64)
         later = B.received(back, keys, layout)[which] | (ids[owners] > ids[first[which]])
-        places = places[later]
-        return _finish(texts, at.sizes, at.begins, *B.merged(places, places + length))
+        # A copy's strings all start in the document that it copies.
+        starts = np.concatenate((places[later], at.begins[copied]))
+        ends = np.concatenate((places[later] + length, (at.begins[:-1] + at.sizes)[copied]))
+        order = np.argsort(starts, kind="stable")
+        return _finish(texts, at.sizes, at.begins, *B.merged(starts[order], ends[order]))
 
     names = B.answer(B.per_block(blocks, sample, B.MESSAGES), 3, earlier=False)
     repeats = B.answer(B.with_answers(blocks, names, strings, B.MESSAGES), 6, earlier=True)
