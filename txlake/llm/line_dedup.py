@@ -37,7 +37,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def line_words(content: str = "content") -> Column:
     """Words of a line: runs without ASCII white space."""
-    return F.filter(F.split(F.translate(content, "\t\x0b\x0c\r", "    "), " ", -1), lambda word: word != "")
+    return F.array_remove(F.split(F.translate(content, "\t\x0b\x0c\r", "    "), " ", -1), "")
 
 
 def rarity(lines: DataFrame) -> DataFrame:
@@ -51,12 +51,13 @@ def rarity(lines: DataFrame) -> DataFrame:
 
 def word_keys(words: Column, counts: Column) -> Column:
     """Distinct words as sorted numbers: how frequent, then a fingerprint."""
-    def key(word: Column) -> Column:
-        hashed = F.xxhash64(word)
+    def key(hashed: Column) -> Column:
         often = F.get(counts, hashed.bitwiseAND(RARITY - 1).cast("int")).cast("long")
         return F.shiftleft(often, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(hashed, 64 - _HASH_BITS))
 
-    return F.sort_array(F.array_distinct(F.transform(words, key)))
+    # Two steps, as a function of an array's elements computes what it names twice twice.
+    hashes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def parity(keys: Column) -> Column:
@@ -69,15 +70,25 @@ def least_shared(a: Column, b: Column, similarity: float) -> Column:
     return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Ids of the later lines of pairs (``doc_id``, ``line``, ``other_doc``, ``other_line``) that are similar."""
-    wanted = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
-    wanted = durable(sets.select("doc_id", "line", "keys").join(wanted, ["doc_id", "line"], "left_semi"), "wanted")
-    later = pairs.join(wanted, ["doc_id", "line"])
+def _verified(pairs: DataFrame, lines: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """Ids of the later lines of pairs (``doc_id``, ``line``, ``other_doc``, ``other_line``) that are similar.
+
+    Whole sets are made anew for the few lines that pairs need, which takes less disk than to keep those of all lines.
+    """
+    key = ["doc_id", "line"]
+    wanted = pairs.select(*key).unionByName(pairs.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
+    # Merge: lines are shuffled at any size, so small inputs show what large ones cost.
+    wanted = durable(_keyed(lines.join(wanted.hint("merge"), key, "left_semi"), counts), "wanted")
+    later = pairs.join(wanted, key)
     other = wanted.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("keys").alias("other_keys"))
     shared = F.size(F.array_intersect("keys", "other_keys"))
     return later.join(other, ["other_doc", "other_line"]).where(
-        shared >= least_shared(F.size("keys"), F.size("other_keys"), similarity)).select("doc_id", "line").distinct()
+        shared >= least_shared(F.size("keys"), F.size("other_keys"), similarity)).select(*key).distinct()
+
+
+def _keyed(lines: DataFrame, counts: DataFrame) -> DataFrame:
+    # The optimizer puts the one row of counts, a scalar subquery, where the column stands.
+    return lines.withColumn("counts", counts.scalar()).select("doc_id", "line", word_keys(line_words(), F.col("counts")).alias("keys"))
 
 
 def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -85,17 +96,18 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     set of Jaccard similarity ``similarity`` or more. Judged on the input: the earlier line may itself be one of these."""
     lines = line_table(docs.where("doc_id is not null and text is not null"))
     counts = durable(rarity(lines), "rarity")
-    keyed = lines.withColumn("counts", counts.scalar()).select("doc_id", "line", word_keys(line_words(), F.col("counts")).alias("keys"))
-    sets = durable(keyed.where(F.size("keys") > 0), "sets")
-    order = F.struct("doc_id", "line")
-    digest = sets.select("doc_id", "line", F.xxhash64("keys", F.size("keys")).alias("set"), F.hash("keys").alias("check"))
-    heads = digest.groupBy("set", "check").agg(F.min(order).alias("head"), F.count("*").alias("n"))
-    twins = durable(digest.join(heads.where("n > 1"), ["set", "check"]).where(order != F.col("head")).select("doc_id", "line"), "twins")
-
     n = F.size("keys")
     prefix = F.slice("keys", 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
-    short = sets.select("doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"))
-    short = durable(short.join(twins, ["doc_id", "line"], "left_anti"), "prefixes")
+    # The test for words looks at the text: one on the keys would be pushed down and make them a second time.
+    worded = lines.where(F.length(F.translate("content", " \t\x0b\x0c\r", "")) > 0)
+    sets = durable(_keyed(worded, counts).select(
+        "doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"),
+        F.xxhash64("keys").alias("set"), F.hash("keys").alias("check")), "sets")
+    order = F.struct("doc_id", "line")
+    same = ["set", "check", "n"]
+    heads = sets.groupBy(*same).agg(F.min(order).alias("head"), F.count("*").alias("copies")).where("copies > 1")
+    twins = durable(sets.select("doc_id", "line", *same).join(heads, same).where(order != F.col("head")).select("doc_id", "line"), "twins")
+    short = sets.drop("set", "check").join(twins, ["doc_id", "line"], "left_anti")
 
     runs = short.select("doc_id", "line", F.explode(F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("prefix") - _RUN, F.lit(0)), F.lit(_RUN)),
@@ -103,7 +115,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     first = runs.groupBy("run").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
     pairs = runs.join(first, "run").where(order != F.col("head")).select(
         "doc_id", "line", F.col("head.doc_id").alias("other_doc"), F.col("head.line").alias("other_line")).distinct()
-    found = durable(_verified(durable(pairs, "first-pairs"), sets, similarity).withColumn("found", F.lit(True)), "found")
+    found = durable(_verified(durable(pairs, "first-pairs"), lines, counts, similarity).withColumn("found", F.lit(True)), "found")
 
     marked = short.join(found, ["doc_id", "line"], "left").select(
         "doc_id", "line", "n", "parity", F.col("found").isNull().alias("open"), F.posexplode("prefix").alias("at", "word"))
@@ -115,7 +127,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         & (1 + F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) - 1 >= needed)
         & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= F.col("n") + F.col("other_n") - 2 * needed))
     pairs = met.select("doc_id", "line", F.col("other_doc_id").alias("other_doc"), F.col("other_line").alias("other_line")).distinct()
-    more = _verified(durable(pairs, "pairs"), sets, similarity)
+    more = _verified(durable(pairs, "pairs"), lines, counts, similarity)
     return twins.unionByName(found.select("doc_id", "line")).unionByName(more)
 
 
