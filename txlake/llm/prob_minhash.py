@@ -5,8 +5,10 @@ the shingle that arrives first. A shingle's arrivals end once they come later th
 agree in a register with the probability Jaccard similarity of the shingle weights, which verification computes exactly.
 
 Documents of the same word sequence are one text. In a bucket of equal bands each text is first verified against the
-bucket's smallest id only, so a bucket with a third of all documents gives one pair per document. Where that leaves
-a bucket in several components, signatures of all its texts are compared, in blocks, across components.
+bucket's smallest and largest id only, so a bucket with a third of all documents gives two pairs per document. Where that
+leaves a bucket in several components, signatures of all its texts are compared across components. Pairs of a small
+bucket are then verified like the first ones; a large bucket is cut into blocks, and each pair of blocks verifies its
+pairs where they are found and gives no more than the links that join components.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 GROUP = 64
-BLOCK = 1024
+LARGE = 256
+BLOCK = 512
 _SLACK = 5.0
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,7 +135,8 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
         "a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / GROUP)).alias("part"))
     wanted = salted.select(F.col("a").alias("doc"), "b", "part").unionByName(
         salted.select(F.col("b").alias("doc"), "b", "part").distinct())
-    rows = wanted.join(docs, F.col("doc") == F.col("doc_id")).select("b", "part", "doc", "text")
+    # Merge: the texts are shuffled at any size, so small inputs show what large ones cost.
+    rows = wanted.join(docs.hint("merge"), F.col("doc") == F.col("doc_id")).select("b", "part", "doc", "text")
 
     def work(group: pa.Table) -> pa.Table:
         hub = group.column("b")[0].as_py()
@@ -147,37 +151,83 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> D
     return rows.groupBy("b", "part").applyInArrow(work, "a long, b long, similarity double")
 
 
-def across(members: DataFrame, registers: int, similarity: float) -> DataFrame:
-    """Pairs of one bucket and different components whose signatures agree about as often as similar texts' do.
+def likely(marks: np.ndarray, one: np.ndarray, there: np.ndarray, band: int, bands: int, least: float) -> np.ndarray:
+    """Those of the texts whose signatures agree with ``one`` in at least ``least`` registers, and in no band before ``band``."""
+    same = marks[there] == one
+    there, same = there[same.sum(1) >= least], same[same.sum(1) >= least]
+    return there[same.reshape(len(there), bands, len(one) // bands).all(2).argmax(1) == band]
 
-    The bar lies five standard deviations under what ``similarity`` makes expect. A bucket is cut into blocks of texts,
-    and each pair of blocks is one group, so no group grows with the bucket.
+
+def least_agreement(registers: int, similarity: float) -> float:
+    """Agreements of a pair at ``similarity``, less five standard deviations."""
+    return registers * similarity - _SLACK * np.sqrt(registers * similarity * (1 - similarity))
+
+
+def band_of(marks: np.ndarray, bands: int) -> int:
+    """Which band of a bucket's members is equal: the first in which all agree with the first member."""
+    return int((marks == marks[0]).reshape(len(marks), bands, marks.shape[1] // bands).all((0, 2)).argmax())
+
+
+def across(members: DataFrame, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Pairs of one small bucket and different components whose signatures agree about as often as similar texts' do."""
+    least = least_agreement(bands * rows, similarity)
+
+    def work(group: pa.Table) -> pa.Table:
+        ids, parts = group.column("doc_id").to_numpy(), group.column("component").to_numpy()
+        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(len(ids), bands * rows)
+        band, found = band_of(marks, bands), []
+        for n in range(len(ids)):
+            there = np.flatnonzero((parts != parts[n]) & (ids > ids[n]))
+            found.extend((int(i), int(ids[n])) for i in ids[likely(marks, marks[n], there, band, bands, least)])
+        columns = list(zip(*found)) or [(), ()]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return members.groupBy("bucket").applyInArrow(work, "a long, b long").distinct()
+
+
+def joined_across(members: DataFrame, docs: DataFrame, size: int, bands: int, rows: int, similarity: float) -> DataFrame:
+    """Links between components of one large bucket. ``members`` has the bucket's size in ``n``.
+
+    A bucket is cut into blocks of texts, and each pair of blocks is one group with the texts in it, so no group grows
+    with the bucket. Pairs that a link in the group has joined meanwhile aren't compared any more.
     """
-    least = registers * similarity - _SLACK * np.sqrt(registers * similarity * (1 - similarity))
-    sizes = members.groupBy(F.col("bucket").alias("_bucket")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, F.col("bucket") == F.col("_bucket")).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).select(
-        "bucket", "doc_id", "component", "signature", "block",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("bucket", "doc_id", "component", "signature", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-
-    def work(rows: pa.Table) -> pa.Table:
-        ids, parts = rows.column("doc_id").to_numpy(), rows.column("component").to_numpy()
-        mine = rows.column("block").to_numpy()
-        marks = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(len(ids), registers)
-        x, y = rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
-        found = []
-        right = np.flatnonzero(mine == y)
+    least = least_agreement(bands * rows, similarity)
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "bucket", F.col("doc_id").alias("doc"), "component", "signature", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    texts = placed.join(docs.hint("merge"), F.col("doc") == F.col("doc_id")).drop("doc_id")
+
+    def work(group: pa.Table) -> pa.Table:
+        ids, parts = group.column("doc").to_numpy(), group.column("component").to_numpy().copy()
+        mine, x, y = group.column("block").to_numpy(), group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        marks = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u4").reshape(len(ids), bands * rows)
+        band, found = band_of(marks, bands), []
+        weighted = [shingles([(t.as_py() or "").encode()], size)[1:3] for t in group.column("text")]
+        vocabulary, at = np.unique(np.concatenate([k for k, _ in weighted]), return_inverse=True)
+        at = np.split(at, np.cumsum([len(k) for k, _ in weighted])[:-1])
+        plain = [int(c.max()) == 1 for _, c in weighted]
+        right, present = np.flatnonzero(mine == y), np.zeros(len(vocabulary), bool)
         for n in np.flatnonzero(mine == x):
             there = right[parts[right] != parts[n]]
-            if x == y:
-                there = there[ids[there] > ids[n]]
-            there = there[(marks[there] == marks[n]).sum(1) >= least]
-            found.extend((int(max(ids[n], i)), int(min(ids[n], i))) for i in ids[there])
+            there = likely(marks, marks[n], there[ids[there] > ids[n]] if x == y else there, band, bands, least)
+            present[at[n]] = True
+            for m in there:
+                if parts[m] == parts[n]:
+                    continue
+                if plain[n] and plain[m]:
+                    both = np.count_nonzero(present[at[m]])
+                    alike = both / (len(at[n]) + len(at[m]) - both)
+                else:
+                    alike = probability_jaccard(weighted[n], weighted[m])
+                if alike >= similarity - 1e-12:
+                    found.append((int(max(ids[n], ids[m])), int(min(ids[n], ids[m]))))
+                    parts[parts == parts[m]] = parts[n]
+            present[at[n]] = False
         columns = list(zip(*found)) or [(), ()]
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
-    return placed.groupBy("bucket", "x", "y").applyInArrow(work, "a long, b long").distinct()
+    return texts.groupBy("bucket", "x", "y").applyInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -196,19 +246,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, size: int =
         F.col("doc_id").alias("a"), F.col("head").alias("b"))
     heads = marks.join(texts.select("head"), F.col("doc_id") == F.col("head"), "left_semi")
     banded = heads.select("doc_id", F.explode("buckets").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     members = durable(banded.join(shared, "bucket"), "buckets")
-    pairs = members.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = members.select(F.col("doc_id").alias("a"), F.explode(F.array("hub", "last")).alias("b")).where("a <> b").distinct()
     links = durable(verify(pairs, one, size, similarity), "links")
     found = components(links.select("a", "b"))
     labelled = members.join(found, F.col("doc_id") == F.col("id"), "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        "bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     loose = durable(labelled.join(mixed, "bucket").join(
         heads.select(F.col("doc_id").alias("_id"), "signature"), F.col("doc_id") == F.col("_id")).drop("_id"), "loose")
-    pairs = durable(across(loose, bands * rows, similarity), "pairs")
+    pairs = durable(across(loose.where(F.col("n") <= LARGE), bands, rows, similarity), "pairs")
     more = durable(verify(pairs, one, size, similarity), "links")
-    found = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(copies))
+    large = durable(joined_across(loose.where(F.col("n") > LARGE), one, size, bands, rows, similarity), "links")
+    found = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(large).unionByName(copies))
     return docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id"))
 
