@@ -1,5 +1,6 @@
 """Decontamination, licences, languages."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -97,6 +98,26 @@ def test_licences_of_documents(documents, edge):
     assert license_scan.licences(edge).collect() == []
 
 
+def test_licences_with_each_word_changed(spark):
+    """Every choice of changed words of a notice of up to 20 words that leaves 0.8 of them, and a word put in anywhere."""
+    templates = license_scan.TEMPLATES | {"fifteen": " ".join(f"w{n}" for n in range(15))}
+    texts, expected = [], set()
+    for name, notice in templates.items():
+        there = license_scan.plain(notice).decode().split()
+        if len(there) > 20:
+            continue
+        most = int(len(there) * 0.2 + 1e-9)
+        for changed in itertools.chain.from_iterable(itertools.combinations(range(len(there)), k) for k in range(most + 1)):
+            expected.add((len(texts), name, len(there) - len(changed)))
+            texts.append(" ".join(f"x{n}" if n in changed else word for n, word in enumerate(there)))
+        for n in range(1, len(there)):
+            expected.add((len(texts), name, len(there)))
+            texts.append(" ".join(there[:n] + ["really"] + there[n:]))
+    docs = spark.createDataFrame([(n, f"some words {t} and more") for n, t in enumerate(texts)], "doc_id long, text string")
+    rows = [(r.doc_id, r.template, r.matched) for r in license_scan.licences(docs, templates).collect()]
+    assert expected <= set(rows) and len(rows) == len(set(rows))
+
+
 def test_winnowing_keeps_one_of_each_window():
     grams = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     chosen = set(license_scan.winnow(grams).tolist())

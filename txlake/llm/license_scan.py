@@ -1,14 +1,23 @@
-"""Licence texts and notices in documents: winnowed fingerprints pick candidates, banded alignment decides.
+"""Licence texts and notices in documents: winnowed fingerprints and counted words pick candidates, banded alignment decides.
 
 Every template's three-word fingerprints are winnowed (of each four in a row the smallest stays) into an inverted index.
-Fingerprints of a document that are in the index propose a template and a place; hits on nearby diagonals are one
-candidate. A candidate is aligned with its template, word by word, inside a band around the diagonal, and reported with
-the share of the template's words that match and its span if that share is large enough.
+Fingerprints of a document that are in the index propose a template and a place. Winnowing is only sure to keep one of
+six equal words in a row, which a changed notice of few words need not have, and one changed word in the middle of five
+leaves no three in a row at all. So a place is also proposed wherever a template's length and ``BAND`` words more hold as
+many words of the template as must match. Hits on nearby diagonals are one candidate. A candidate is aligned with its
+template, word by word, inside a band around the diagonal, and reported with the share of the template's words that match
+and its span if that share is large enough.
+
+What can still be missed is a place with more than ``BAND`` words put in or taken out after its first matching word, if
+no kept fingerprint stands near enough to its middle, and one so broken up that its best local alignment and the words in
+place beside that are too few.
 """
 
 from __future__ import annotations
 
+import math
 import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +85,10 @@ def winnow(fingerprints: np.ndarray, window: int = WINNOW) -> np.ndarray:
 
 
 class Index:
-    """Winnowed fingerprints of all templates, sorted: of each the template and the place in it."""
+    """Winnowed fingerprints of all templates, sorted: of each the template and the place in it. Also all their words, and
+    of each template how many must match."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         _, _, hashes, first = words([plain(templates[name]) for name in self.names] or [b""])
         self.words = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
@@ -88,21 +98,59 @@ class Index:
         owners, places = np.repeat(np.arange(len(grams)), [len(c) for c in chosen]), np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
         order = np.argsort(fingerprints, kind="stable")
         self.fingerprints, self.owners, self.places = fingerprints[order], owners[order], places[order]
-
-    def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
-        """Template, and the first and the last word at which it may start, for each group of nearby diagonals."""
-        low, high = np.searchsorted(self.fingerprints, grams), np.searchsorted(self.fingerprints, grams, side="right")
-        hit = np.flatnonzero(high > low)
-        counts = (high - low)[hit]
-        at = np.repeat(low[hit] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        owners, starts = self.owners[at], np.repeat(hit, counts) - self.places[at]
+        self.vocabulary = np.unique(hashes)
+        self.bags = [Counter(w.tolist()) for w in self.words]
+        self.needed = [max(1, math.ceil(coverage * len(w) - 1e-9)) for w in self.words]
+
+    def by_fingerprint(self, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Document, template and word at which the template would start, of every kept fingerprint that is found."""
+        if not len(self.fingerprints):
+            return []
+        places, docs = window_owner(begins, GRAM)
+        grams = windows(hashes, GRAM)[places]
+        low = np.searchsorted(self.fingerprints, grams)
+        hit = np.flatnonzero(self.fingerprints[np.minimum(low, len(self.fingerprints) - 1)] == grams)
+        low = low[hit]
+        counts = np.searchsorted(self.fingerprints, grams[hit], side="right") - low
+        at = np.repeat(low - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        return [(np.repeat(docs[hit], counts), self.owners[at], np.repeat(places[hit], counts) - self.places[at])]
+
+    def by_words(self, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of every word that may be the first to match, as enough words of the template follow soon enough."""
+        if not len(self.vocabulary):
+            return []
+        numbers = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
+        places = np.flatnonzero(self.vocabulary[numbers] == hashes)
+        numbers = numbers[places]
+        docs = np.searchsorted(begins, places, side="right") - 1
+        found = []
+        for owner, (template, needed) in enumerate(zip(self.words, self.needed)):
+            if len(template) < GRAM:
+                continue
+            wanted = np.searchsorted(self.vocabulary, template)
+            mine = np.flatnonzero(np.isin(np.arange(len(self.vocabulary)), wanted)[numbers])
+            first, last = mine[:max(0, len(mine) - needed + 1)], mine[needed - 1:]
+            first = first[(places[last] - places[first] < len(template) + BAND) & (docs[last] == docs[first])]
+            for n in range(len(template) - needed + 1 if len(first) else 0):
+                at = first[numbers[first] == wanted[n]]
+                found.append((docs[at], np.full(len(at), owner), places[at] - n))
+        return found
+
+    def candidates(self, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Document, template, and the first and the last word of the document at which the template may start, for each
+        group of nearby diagonals."""
+        parts = self.by_fingerprint(hashes, begins) + self.by_words(hashes, begins)
+        if not parts:
+            return []
+        docs, owners, starts = (np.concatenate(p) for p in zip(*parts))
+        starts = starts - begins[docs]
         found: list[list[int]] = []
-        for n in np.lexsort((starts, owners)):
-            owner, start = int(owners[n]), int(starts[n])
-            if found and found[-1][0] == owner and start - found[-1][2] <= BAND // 2 and start - found[-1][1] <= BAND:
-                found[-1][2] = start
+        for n in np.lexsort((starts, owners, docs)):
+            doc, owner, start = int(docs[n]), int(owners[n]), int(starts[n])
+            if found and found[-1][:2] == [doc, owner] and start - found[-1][3] <= BAND // 2 and start - found[-1][2] <= BAND:
+                found[-1][3] = start
             else:
-                found.append([owner, start, start])
+                found.append([doc, owner, start, start])
         return [tuple(f) for f in found]
 
 
@@ -110,12 +158,13 @@ def align(template: np.ndarray, document: np.ndarray, low: int, high: int) -> tu
     """Best local alignment with the document's words, of which the template's first lies between ``low`` and ``high``
     give or take ``BAND``: number of equal words, first word, and the one after the last.
 
-    Equal words score 2, others and gaps -1; of equal scores the earliest end wins.
+    Equal words score 2, others and gaps -1; of equal scores the one with more equal words wins, then the earliest end.
+    Beyond either end, words of the template that stand in place, with no word put in or left out, are equal words too.
     """
     low, high = low - BAND, high + BAND
     width, size = high - low + 1, len(document)
-    empty = (0, 0, -1)  # score, equal words, first word
-    before, best, end = [empty] * (width + 1), empty, 0
+    empty = (0, 0, -1, 0)  # score, equal words, first word, its place in the template
+    before, best, end, last = [empty] * (width + 1), empty, 0, 0
     words_there, wanted = document.tolist() if size < 4096 else document, template.tolist()
     for i, word in enumerate(wanted):
         row = [empty] * (width + 1)
@@ -123,50 +172,60 @@ def align(template: np.ndarray, document: np.ndarray, low: int, high: int) -> tu
             j = low + i + k
             if j < 0 or j >= size:
                 continue
-            score, equal, first = before[k]
+            score, equal, first, place = before[k]
             same = words_there[j] == word
-            cell = (score + 2, equal + 1, j if first < 0 else first) if same else (score - 1, equal, first)
+            cell = (score + 2, equal + 1, *((j, i) if first < 0 else (first, place))) if same else (score - 1, equal, first, place)
             for other in (before[k + 1], row[k - 1] if k else empty):
                 if other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
+                    cell = (other[0] - 1, *other[1:])
             if cell[0] > 0:
                 row[k] = cell
-                if cell[0] > best[0]:
-                    best, end = cell, j + 1
+                if cell[:2] > best[:2]:
+                    best, end, last = cell, j + 1, i + 1
         before = row
-    return best[1], max(best[2], 0), end
+    _, equal, first, place = best
+    if not equal:
+        return 0, 0, 0
+    start, stop = first, end
+    for i in range(place):
+        j = start - place + i
+        if 0 <= j and words_there[j] == wanted[i]:
+            equal, first = equal + 1, min(first, j)
+    for i in range(last, len(wanted)):
+        j = stop - last + i
+        if j < size and words_there[j] == wanted[i]:
+            equal, end = equal + 1, j + 1
+    return equal, first, end
 
 
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
-    """A row for every place of a document at which at least ``coverage`` of a template's words stand in order.
+    """A row for every place of a document at which at least ``coverage`` of a template's words stand in order, as far as
+    its best alignment tells (see above for what that can miss).
 
     ``template``, ``coverage``, ``matched`` words, and the span in bytes of the UTF-8 text. Words are runs of other than
     ASCII white space and punctuation, ASCII letters in lower case. Templates are a parameter of fixed size; those of
     fewer than three words match nothing. A shorter template inside a longer one is reported beside it. Null and empty
     texts give no row; null ids are kept; repeated rows repeat; other columns are ignored.
     """
-    index = Index(TEMPLATES if templates is None else templates)
+    index = Index(TEMPLATES if templates is None else templates, coverage)
 
     def work(batches):
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for first, held in chunks(map(plain, batch.column(1).to_pylist())):
                 starts, ends, hashes, begins = words(held)
-                places, owners = window_owner(begins, GRAM)
-                grams = windows(hashes, GRAM)[places]
-                near = np.minimum(np.searchsorted(index.fingerprints, grams), max(0, len(index.fingerprints) - 1))
-                hit = index.fingerprints[near] == grams if len(index.fingerprints) else np.zeros(len(grams), bool)
                 offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
-                for n in np.unique(owners[hit]):
-                    a, b = begins[n], begins[n + 1]
-                    for owner, low, high in index.candidates(grams[owners == n]):
-                        template = index.words[owner]
-                        left = max(0, low - 2 * BAND)
-                        matched, x, y = align(template, hashes[a + left:min(b, a + high + len(template) + 2 * BAND)], low - left, high - left)
-                        if matched >= coverage * len(template) - 1e-9:
-                            out.append((
-                                ids[first + n], index.names[owner], matched / len(template), matched,
-                                int(starts[a + left + x] - offsets[n]), int(ends[a + left + y - 1] - offsets[n])))
+                for n, owner, low, high in index.candidates(hashes, begins):
+                    template, a = index.words[owner], begins[n]
+                    left = max(0, low - 2 * BAND)
+                    there = hashes[a + left:min(begins[n + 1], a + high + len(template) + 2 * BAND)]
+                    if (Counter(there.tolist()) & index.bags[owner]).total() < index.needed[owner]:
+                        continue  # no alignment can match more words than there are
+                    matched, x, y = align(template, there, low - left, high - left)
+                    if matched >= index.needed[owner]:
+                        out.append((
+                            ids[first + n], index.names[owner], matched / len(template), matched,
+                            int(starts[a + left + x] - offsets[n]), int(ends[a + left + y - 1] - offsets[n])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
