@@ -118,6 +118,37 @@ def test_licences_with_each_word_changed(spark):
     assert expected <= set(rows) and len(rows) == len(set(rows))
 
 
+def test_licences_that_repeat_close_by(spark):
+    """Each short notice two to five times in a row, whole, with words between, and with one of the copies changed."""
+    texts, expected = [], set()
+
+    def add(name, copies, between=""):
+        at, parts = len("before "), []
+        for copy in copies:
+            parts.append(copy)
+            expected.add((len(texts), name, at, at + len(copy)))
+            at += len(copy) + len(between) + 1
+        texts.append("before " + f" {between}".join(parts) + " after")
+
+    for name, notice in license_scan.TEMPLATES.items():
+        there = license_scan.plain(notice).decode().split()
+        if len(there) > 20:
+            continue
+        whole = " ".join(there)
+        for count in range(2, 6):
+            add(name, [whole] * count)
+            add(name, [whole] * count, "and again ")
+            for n in range(1, len(there) - 1) if len(there) > 4 else ():
+                changed = " ".join(there[:n] + ["x"] + there[n + 1:])
+                add(name, [changed] + [whole] * (count - 1))
+                add(name, [whole] * (count - 1) + [changed])
+                add(name, [changed] * count)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(r.doc_id, r.template, r.first_byte, r.end_byte) for r in license_scan.licences(docs).collect()]
+    rows = [r for r in rows if r[1] in {e[1] for e in expected if e[0] == r[0]}]
+    assert set(rows) == expected and len(rows) == len(expected)
+
+
 def test_winnowing_keeps_one_of_each_window():
     grams = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     chosen = set(license_scan.winnow(grams).tolist())

@@ -6,7 +6,8 @@ six equal words in a row, which a changed notice of few words need not have, and
 leaves no three in a row at all. So a place is also proposed wherever a template's length and ``BAND`` words more hold as
 many words of the template as must match. Hits on nearby diagonals are one candidate. A candidate is aligned with its
 template, word by word, inside a band around the diagonal, and reported with the share of the template's words that match
-and its span if that share is large enough.
+and its span if that share is large enough. Whole copies come first, each as its own place; the words of a reported place
+are taken, and the candidate is aligned again with what is left until too little is, so copies close by are all reported.
 
 What can still be missed is a place with more than ``BAND`` words put in or taken out after its first matching word, if
 no kept fingerprint stands near enough to its middle, and one so broken up that its best local alignment and the words in
@@ -18,6 +19,8 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -136,36 +139,36 @@ class Index:
                 found.append((docs[at], np.full(len(at), owner), places[at] - n))
         return found
 
-    def candidates(self, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Document, template, and the first and the last word of the document at which the template may start, for each
-        group of nearby diagonals."""
+    def candidates(self, hashes: np.ndarray, begins: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """Document, template, and the words of the document at which the template may start, for each group of nearby
+        diagonals."""
         parts = self.by_fingerprint(hashes, begins) + self.by_words(hashes, begins)
         if not parts:
             return []
         docs, owners, starts = (np.concatenate(p) for p in zip(*parts))
         starts = starts - begins[docs]
-        found: list[list[int]] = []
+        found: list[tuple[int, int, list[int]]] = []
         for n in np.lexsort((starts, owners, docs)):
             doc, owner, start = int(docs[n]), int(owners[n]), int(starts[n])
-            if found and found[-1][:2] == [doc, owner] and start - found[-1][3] <= BAND // 2 and start - found[-1][2] <= BAND:
-                found[-1][3] = start
+            if found and found[-1][:2] == (doc, owner) and start - found[-1][2][-1] <= BAND // 2 and start - found[-1][2][0] <= BAND:
+                found[-1][2].append(start)
             else:
-                found.append([doc, owner, start, start])
-        return [tuple(f) for f in found]
+                found.append((doc, owner, [start]))
+        return found
 
 
-def align(template: np.ndarray, document: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
+def align(template: np.ndarray, document: list[int | None], low: int, high: int) -> tuple[int, int, int]:
     """Best local alignment with the document's words, of which the template's first lies between ``low`` and ``high``
     give or take ``BAND``: number of equal words, first word, and the one after the last.
 
-    Equal words score 2, others and gaps -1; of equal scores the one with more equal words wins, then the earliest end.
+    None in the document equals no word. Equal words score 2, others and gaps -1; of equal scores the one with more equal words wins, then the earliest end.
     Beyond either end, words of the template that stand in place, with no word put in or left out, are equal words too.
     """
     low, high = low - BAND, high + BAND
     width, size = high - low + 1, len(document)
     empty = (0, 0, -1, 0)  # score, equal words, first word, its place in the template
     before, best, end, last = [empty] * (width + 1), empty, 0, 0
-    words_there, wanted = document.tolist() if size < 4096 else document, template.tolist()
+    wanted = template.tolist()
     for i, word in enumerate(wanted):
         row = [empty] * (width + 1)
         for k in range(width):
@@ -173,7 +176,7 @@ def align(template: np.ndarray, document: np.ndarray, low: int, high: int) -> tu
             if j < 0 or j >= size:
                 continue
             score, equal, first, place = before[k]
-            same = words_there[j] == word
+            same = document[j] == word
             cell = (score + 2, equal + 1, *((j, i) if first < 0 else (first, place))) if same else (score - 1, equal, first, place)
             for other in (before[k + 1], row[k - 1] if k else empty):
                 if other[0] - 1 > cell[0]:
@@ -189,15 +192,38 @@ def align(template: np.ndarray, document: np.ndarray, low: int, high: int) -> tu
     start, stop = first, end
     for i in range(place):
         j = start - place + i
-        if 0 <= j and words_there[j] == wanted[i]:
+        if 0 <= j and document[j] == wanted[i]:
             equal, first = equal + 1, min(first, j)
     for i in range(last, len(wanted)):
         j = stop - last + i
-        if j < size and words_there[j] == wanted[i]:
+        if j < size and document[j] == wanted[i]:
             equal, end = equal + 1, j + 1
     return equal, first, end
 
 
+def places(index: Index, hashes: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Document, template, first word, the one after the last, and number of equal words of every place."""
+    for (n, owner), group in groupby(index.candidates(hashes, begins), lambda c: c[:2]):
+        template, needed, bag = index.words[owner], index.needed[owner], index.bags[owner]
+        size, begin, stop = len(template), int(begins[n]), int(begins[n + 1])
+        group, free = list(group), np.ones(stop - begin, bool)
+        for start in sorted({s for c in group for s in c[2]}):
+            if start >= 0 and np.array_equal(hashes[begin + start:min(stop, begin + start + size)], template):
+                free[start:start + size] = False
+                yield n, owner, begin + start, begin + start + size, size
+        for _, _, starts in group:
+            left, right = max(0, starts[0] - 2 * BAND), min(stop - begin, starts[-1] + size + 2 * BAND)
+            while True:
+                there = [w if f else None for w, f in zip(hashes[begin + left:begin + right].tolist(), free[left:right].tolist())]
+                if (Counter(there) & bag).total() < needed:
+                    break  # no alignment can match more words than there are
+                matched, x, y = align(template, there, starts[0] - left, starts[-1] - left)
+                if matched < needed:
+                    break
+                free[left + x:left + y] = False
+                yield n, owner, begin + left + x, begin + left + y, matched
+
+
 def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """A row for every place of a document at which at least ``coverage`` of a template's words stand in order, as far as
     its best alignment tells (see above for what that can miss).
@@ -215,17 +241,10 @@ def licences(docs: DataFrame, templates: dict[str, str] | None = None, coverage:
             for first, held in chunks(map(plain, batch.column(1).to_pylist())):
                 starts, ends, hashes, begins = words(held)
                 offsets = np.cumsum([0, *(len(t) + 1 for t in held)])
-                for n, owner, low, high in index.candidates(hashes, begins):
-                    template, a = index.words[owner], begins[n]
-                    left = max(0, low - 2 * BAND)
-                    there = hashes[a + left:min(begins[n + 1], a + high + len(template) + 2 * BAND)]
-                    if (Counter(there.tolist()) & index.bags[owner]).total() < index.needed[owner]:
-                        continue  # no alignment can match more words than there are
-                    matched, x, y = align(template, there, low - left, high - left)
-                    if matched >= index.needed[owner]:
-                        out.append((
-                            ids[first + n], index.names[owner], matched / len(template), matched,
-                            int(starts[a + left + x] - offsets[n]), int(ends[a + left + y - 1] - offsets[n])))
+                for n, owner, x, y, matched in places(index, hashes, begins):
+                    out.append((
+                        ids[first + n], index.names[owner], matched / len(index.words[owner]), matched,
+                        int(starts[x] - offsets[n]), int(ends[y - 1] - offsets[n])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
