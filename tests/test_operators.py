@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from txlake.operators import adapters, alerts, cleaning, drift, enrich, kpis, listing, merge, privacy, profiles, quality, ranking
 from txlake.operators.anomaly import with_anomaly
 from txlake.sinks.history import new_history, rejected_history
@@ -156,6 +157,14 @@ def test_quality_rules_report_and_gate(spark):
     quality.enforce(quality.evaluate(rows.filter("transaction_id is null"), rules[1:]), "error")
 
 
+def test_rule_file_is_evaluated_whole(spark, small):
+    assert quality.rules_from_config(quality.RULE_FILE) == quality.GOVERNANCE_RULES
+    rows = entry_module.queries()["dq_rule_file"](spark, small).collect()
+    whole = spark.read.parquet(f"{small}/lineitem.parquet").count()
+    assert {(r["rule"], r["column"], r["severity"], r["evaluated"]) for r in rows} == {
+        (r.kind, r.column, r.severity, whole) for r in quality.GOVERNANCE_RULES} and len(rows) == 4
+
+
 def test_reports_without_data(spark):
     empty = spark.createDataFrame([], "transaction_id string, amount double, fraud_score double, is_fraud boolean, review_status string")
     assert quality.api_checks(empty).isEmpty()

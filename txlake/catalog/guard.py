@@ -85,6 +85,22 @@ def dq_governance(spark, folder):
     return quality.evaluate(sample.people(spark, folder), rules)
 
 
+@query("dq_rule_file", with_parts("tx", "people") + """
+, joined as (select transaction_id, amount, email from tx left join people on tx.user_id = people.user_id),
+counts as (select count(*) n, count(*) filter (amount is null) no_amount, count(*) filter (amount < 0 or amount > 1000000) outside,
+  count(transaction_id) ids, count(distinct transaction_id) kinds,
+  count(*) filter (not regexp_matches(email, '^[^@]+@[^@]+\\.[^@]+$')) odd_email from joined)
+select 'not_null' "rule", 'amount' "column", 'error' severity, n evaluated, no_amount failed, no_amount = 0 passed from counts
+union all select 'range', 'amount', 'warning', n, outside, outside = 0 from counts
+union all select 'unique', 'transaction_id', 'error', ids, ids - kinds, ids = kinds from counts
+union all select 'regex', 'email', 'warning', n, odd_email, odd_email = 0 from counts""")
+def dq_rule_file(spark, folder):
+    """All rules of the rule file, over every transaction with its holder's e-mail."""
+    holders = sample.people(spark, folder).select("user_id", "email")
+    rows = sample.transactions(spark, folder).join(holders, "user_id", "left")
+    return quality.evaluate(rows, quality.rules_from_config(quality.RULE_FILE))
+
+
 @query("dq_constraints", with_parts("tx") + """
 , counts as (select count(*) n, count(transaction_id) - count(distinct transaction_id) repeated, count(*) filter (amount is null) no_amount,
   count(*) filter (amount <= 0) not_positive from tx)

@@ -32,6 +32,14 @@ GOVERNANCE_RULES = [
     Rule("email", "regex", "warning", {"pattern": EMAIL_PATTERN}),
 ]
 
+# The rule file itself, parsed.
+RULE_FILE = [
+    {"column": "amount", "rules": [
+        {"type": "not_null", "severity": "error"}, {"type": "range", "min": 0, "max": 1_000_000, "severity": "warning"}]},
+    {"column": "transaction_id", "rules": [{"type": "uniqueness", "severity": "error"}]},
+    {"column": "email", "rules": [{"type": "regex", "pattern": EMAIL_PATTERN, "severity": "warning"}]},
+]
+
 # The expectation suite over landed transactions.
 LANDING_RULES = [
     Rule("transaction_id", "exists"),
