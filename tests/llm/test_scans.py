@@ -70,6 +70,16 @@ def test_leaks_by_blocks_of_the_benchmark(spark, documents, monkeypatch):
     assert key(decontaminate.leaks(documents, bench).collect()) == whole
 
 
+def test_each_row_is_decontaminated_by_its_own_text(spark):
+    item = " ".join(f"q{n}" for n in range(20))
+    docs = spark.createDataFrame(
+        [(None, item, "a"), (None, "clean", "b"), (1, item, "c"), (1, "clean too", "d"), (2, "see Tower of Hanoi.", "e"), (3, "Hanoi of tower", "f")],
+        "doc_id long, text string, name string")
+    bench = spark.createDataFrame([(7, item), (8, "tower of Hanoi"), (9, "?!")], "item_id long, text string")
+    assert sorted(r.name for r in decontaminate.clean(docs, bench).collect()) == ["a", "b", "d", "f"]
+    assert sorted((r.doc_id or 0, r.item_id) for r in decontaminate.leaks(docs, bench).collect()) == [(0, 7), (1, 7), (2, 8)]
+
+
 def test_leaks_edges(edge, spark):
     bench = spark.createDataFrame([(1, ROWS[0][1])], "item_id long, text string")
     assert sorted(r.doc_id or 0 for r in decontaminate.leaks(edge, bench).collect()) == [0, 1, 4]

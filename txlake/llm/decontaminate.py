@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from txlake.llm.schema_guard import fresh, pick, text_bytes
+from txlake.llm.schema_guard import pick, text_bytes
 from txlake.llm.text_hash import chunks, window_owner, windows, words
 
 MIN_TILE = 5
@@ -75,19 +76,34 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tuple
 
 
 class _Items:
-    """Benchmark items of one block: their words, and which items have a seed where."""
+    """Benchmark items whose smallest tile has ``least`` words: their words, and which items have a seed where."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], least: int):
-        self.ids = [r[0] for r in rows]
-        _, _, self.hashes, self.first = words([plain(r[1]) for r in rows] or [b""])
+    def __init__(self, ids: list[int], texts: list[bytes], least: int):
+        self.ids, self.least = ids, least
+        _, _, self.hashes, self.first = words(texts or [b""])
         places, owners = window_owner(self.first, least)
         seeds = windows(self.hashes, least)[places]
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.at, self.owner = seeds[order], places[order], owners[order]
 
 
-def _scan(docs: DataFrame, items: _Items, least: int, coverage: float) -> DataFrame:
-    def of_document(hashes: np.ndarray, seeds: np.ndarray, known: np.ndarray) -> list[tuple]:
+def _by_tile(rows: list[tuple[int, str | None]], least: int) -> list[_Items]:
+    """The items, put together by the words of their smallest tile: ``least``, or all words of an item that has fewer."""
+    groups: dict[int, tuple[list[int], list[bytes]]] = {}
+    for item, text in rows:
+        text = plain(text)
+        size = min(least, len(words([text])[0]))
+        if size:
+            ids, texts = groups.setdefault(size, ([], []))
+            ids.append(item)
+            texts.append(text)
+    return [_Items(*group, size) for size, group in sorted(groups.items())]
+
+
+def _finder(groups: list[_Items], coverage: float) -> Callable[[list[str | None]], Iterator[tuple]]:
+    """What finds items in texts: number of the text, and the columns of ``leaks`` beside the id."""
+    def of_document(items: _Items, hashes: np.ndarray, known: np.ndarray) -> list[tuple]:
+        least = items.least
         low = np.searchsorted(items.seeds, known)
         high = np.searchsorted(items.seeds, known, side="right")
         at = np.concatenate([np.arange(a, b) for a, b in zip(low, high)])
@@ -106,46 +122,76 @@ def _scan(docs: DataFrame, items: _Items, least: int, coverage: float) -> DataFr
                 rows.append((items.ids[n], int(b - a), covered, covered / int(b - a), [dict(zip(("item_word", "doc_word", "words"), t)) for t in tiles]))
         return rows
 
-    def work(batches):
-        for batch in batches:
-            ids, out = batch.column(0).to_pylist(), []
-            for first, held in chunks(map(plain, batch.column(1).to_pylist())):
-                _, _, hashes, begins = words(held)
-                places, owners = window_owner(begins, least)
-                found = windows(hashes, least)[places]
+    def find(texts: list[str | None]) -> Iterator[tuple]:
+        for first, held in chunks(map(plain, texts)):
+            _, _, hashes, begins = words(held)
+            for items in groups:
+                places, owners = window_owner(begins, items.least)
+                found = windows(hashes, items.least)[places]
                 near = np.searchsorted(items.seeds, found)
-                hit = (items.seeds[np.minimum(near, len(items.seeds) - 1)] == found) if len(items.seeds) else np.zeros(len(found), bool)
+                hit = items.seeds[np.minimum(near, len(items.seeds) - 1)] == found
                 for n in np.unique(owners[hit]):
                     known = np.unique(found[hit & (owners == n)])
-                    out.extend((ids[first + n], *row) for row in of_document(hashes[begins[n]:begins[n + 1]], found, known))
+                    for row in of_document(items, hashes[begins[n]:begins[n + 1]], known):
+                        yield first + n, *row
+
+    return find
+
+
+def _scan(docs: DataFrame, groups: list[_Items], coverage: float) -> DataFrame:
+    find = _finder(groups, coverage)
+
+    def work(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            out = [(ids[n], *row) for n, *row in find(batch.column(1).to_pylist())]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
     return docs.mapInArrow(work, _RESULT)
 
 
+def _drop(docs: DataFrame, groups: list[_Items], coverage: float) -> DataFrame:
+    find, at, ids = _finder(groups, coverage), docs.columns.index("text"), docs.columns.index("doc_id")
+
+    def work(batches):
+        for batch in batches:
+            keep, named = np.ones(batch.num_rows, bool), batch.column(ids).is_valid()
+            keep[[n for n, *_ in find(batch.column(at).cast(pa.string()).to_pylist()) if named[n].as_py()]] = False
+            yield from pa.Table.from_batches([batch]).filter(pa.array(keep)).to_batches()
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def _blocks(benchmark: DataFrame, least: int) -> Iterator[list[_Items]]:
+    """The benchmark in blocks of at most ``BLOCK_BYTES`` of text, or one item."""
+    benchmark = pick(benchmark, item_id="long", text="string")
+    total = benchmark.agg(F.sum(text_bytes(benchmark))).first()[0] or 0
+    count = max(1, math.ceil(2 * total / BLOCK_BYTES))
+    blocks = benchmark.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    for number in range(count):
+        rows = [(r["item_id"], r["text"]) for r in blocks.where(F.col("block") == number).orderBy("item_id", "text").collect()]
+        yield _by_tile(rows, least)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MIN_TILE) -> DataFrame:
     """A row for every document and benchmark item of which tiles cover at least ``coverage``, with the tiles.
 
     Words are runs of other than ASCII white space and punctuation, in lower case; a tile has at least ``least`` of them,
-    so items with fewer match nothing. The benchmark is the query set: it goes to every task in blocks of at most
+    or all words of an item that has fewer; items without words match nothing. The benchmark is the query set: it goes to every task in blocks of at most
     ``BLOCK_BYTES`` of text (or one item), one pass over the documents per block. Null texts are empty; null ids are kept
     as they are; repeated rows repeat; other columns are ignored.
     """
-    docs, benchmark = pick(docs, doc_id="long", text="string"), pick(benchmark, item_id="long", text="string")
-    total = benchmark.agg(F.sum(text_bytes(benchmark))).first()[0] or 0
-    count = max(1, math.ceil(2 * total / BLOCK_BYTES))
-    blocks = benchmark.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
-    found = None
-    for number in range(count):
-        rows = [(r["item_id"], r["text"]) for r in blocks.where(F.col("block") == number).orderBy("item_id", "text").collect()]
-        part = _scan(docs, _Items(rows, least), least, coverage)
+    docs, found = pick(docs, doc_id="long", text="string"), None
+    for groups in _blocks(benchmark, least):
+        part = _scan(docs, groups, coverage)
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The documents, with all their columns, in which no item is covered. Rows without an id stay."""
-    leak, = fresh(docs, "_leak")
-    ids = leaks(docs, benchmark, coverage).where("doc_id is not null").select(F.col("doc_id").alias(leak)).distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col(leak), "left_anti")
+    """The documents, with all their columns, in which no item is covered. Each row goes by its own text, also if other rows
+    have its id. Rows without an id stay, whatever they hold; ``leaks`` reports them."""
+    for groups in _blocks(benchmark, MIN_TILE):
+        docs = _drop(docs, groups, coverage)
+    return docs
