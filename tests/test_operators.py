@@ -339,3 +339,10 @@ def test_lookup_gives_all_rows_of_a_key(spark):
     from txlake.operators import listing
 
     assert listing.lookup(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string"), "k", 1).count() == 2
+
+
+def test_last_of_key_limits_rows_before_the_shuffle(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5)], "k string, w int")
+    last = merge.last_of_key(rows, "k", ["w"])
+    assert sorted((r["k"] or "", r["w"]) for r in last.collect()) == [("", 4), ("", 5), ("a", 2), ("b", 3)]
+    assert "WindowGroupLimit" in last._jdf.queryExecution().executedPlan().toString()

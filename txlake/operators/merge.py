@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def last_of_key(rows: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
     """One row per key: the last by ``order``, then by all columns. Rows without a key stay.
 
-    Spark keeps one row per key and task before it shuffles.
+    Spark keeps one row per key and task before it shuffles; it only does so for a filter on the place alone, so rows
+    without a key go past the window.
     """
     rest = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}).desc() for c in sorted(rows.columns) if c not in (key, *order)]
     place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in order], *rest, F.lit(0)))
-    return rows.withColumn("_place", place).filter((F.col("_place") == 1) | F.col(key).isNull()).drop("_place")
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+    return keyed.unionByName(rows.filter(F.col(key).isNull()))
 
 
 def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
