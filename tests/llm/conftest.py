@@ -45,3 +45,27 @@ def documents(spark):
 def small_blocks(monkeypatch):
     """Many blocks also for little text."""
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
+
+
+@pytest.fixture(scope="session")
+def by_sql():
+    """Rows of a query's SQL over a small frame given as its table, sorted by their text."""
+    import duckdb
+
+    from txlake.catalog.registry import ORACLES
+    from txlake.llm import queries  # noqa: F401  (registers the SQL)
+
+    def rows(query, table, frame):
+        connection = duckdb.connect()
+        connection.register("given", frame.toArrow())
+        connection.execute(f"create table {table} as select * from given")
+        result = connection.execute(ORACLES[query])
+        names = sorted(range(len(result.description)), key=lambda at: result.description[at][0])
+        return sorted((tuple(row[at] for at in names) for row in result.fetchall()), key=repr)
+
+    return rows
+
+
+def plain(frame):
+    """The rows of a frame in the same form."""
+    return sorted((tuple(row[c] for c in sorted(frame.columns)) for row in frame.collect()), key=repr)

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 from txlake.catalog.registry import ORACLES, QUERIES
 from txlake.llm import bpe, prob_minhash, queries
@@ -6,8 +8,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_one_query():
-    numbers = [int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in QUERIES and corpus_pipeline.ORACLE_SQL is None
+    numbers = [int(found[1]) for name in QUERIES if (found := re.match(r"op(\d+)_", name))]
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in QUERIES and corpus_pipeline.ORACLE_SQL is None
     assert {"op3_embedding_dedup", "op5_warc_revisit", "op6_substring_dedup"} <= set(ORACLES)
 
 

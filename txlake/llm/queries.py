@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
 from txlake.llm import (
-    bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, substring_dedup, suffix_dedup,
-    warc_revisit)
+    bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, source_mix, substring_dedup,
+    suffix_dedup, warc_revisit)
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
 
@@ -99,3 +99,31 @@ def op9_line_dedup(spark, folder):
 def op10_suffix_dedup(spark, folder):
     cut = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_source_mix", f"""
+with d as (select doc_id, source, len({_WORDS}) size, md5(coalesce(text, '')) g from documents),
+t as (select coalesce(sum(size), 0)::bigint total, greatest(1, least({source_mix.BLOCK}, coalesce(sum(size), 0)::bigint // ({source_mix.BLOCKS} * greatest(count(distinct coalesce(source, chr(0))), 1)))) b from d),
+c as (select *, row_number() over (partition by doc_id, source, size, g) - 1 i from d),
+s as (select source, sum(size)::bigint ss, count(*) n, row_number() over (order by source nulls last) - 1 place from d group by 1),
+w as (select *, place % 3 + 1 w from s),
+o as (select a.*, (select sum(least({source_mix.MOST} * b.ss::hugeint * a.w, {source_mix.MOST} * a.ss::hugeint * b.w)) from w b) < total::hugeint * a.w capped from w a, t),
+f as (select total - coalesce(sum({source_mix.MOST} * ss) filter (capped), 0) free, sum(w) filter (not capped) weight from o, t group by total),
+g as (select o.*, case when capped then ({source_mix.MOST} * ss)::double else free::double * w / weight::double end target from o, f),
+q as (select place, count(*) quota from (select place, row_number() over (order by target / (2 * k + 1) desc, place) nth
+  from (select place, target, unnest(range({source_mix.MOST} * ss // b + 2)) k from g, t where target > 0)), t where nth <= (2 * total + b) // (2 * b) group by 1),
+p as (select c.*, i - i % {source_mix.COPIES} piece, place, ss, target, coalesce(quota, 0) seats, ceil((ss + n) / {source_mix.SHARD})::bigint shards
+  from c join g on c.source is not distinct from g.source left join q using (place)),
+r as (select *, ('0x' || substr(md5(concat_ws('|', '0', coalesce(doc_id::varchar, '-'), g, piece)), 1, 8))::bigint draw from p),
+h as (select *, draw % shards shard, (sum(size) over (partition by place, draw % shards order by draw, doc_id nulls first, g, piece, i) - size)::bigint begin from r),
+l as (select place, shard, sum(size)::bigint line, any_value(seats) seats, ('0x' || substr(md5(concat_ws('|', '0', 'shard', place, shard)), 1, 8))::bigint draw from h group by 1, 2),
+u as (select place, shard, count(*) quota from (select place, shard, seats, row_number() over (partition by place order by line::double / (2 * k + 1) desc, shard) nth
+  from (select place, shard, line, seats, unnest(range({source_mix.MOST} * line // b + 3)) k from l, t where line > 0)) where nth <= seats group by 1, 2),
+v as (select place, shard, line, b, (line + b - 1) // b n, least(coalesce(quota, 0) * b, {source_mix.MOST} * line) tokens,
+  {list(source_mix.PRIMES)}[draw % {len(source_mix.PRIMES)} + 1]::hugeint a, draw // {len(source_mix.PRIMES)} % ((line + b - 1) // b) c from l left join u using (place, shard), t where line > 0),
+x as (select row_number() over () id, * exclude (c), v.c as c from h left join v using (place, shard)),
+y as (select id, sum(greatest(0, least(begin + size, j * b + greatest(0, least(b, tokens % line - (k * b - case when k > last then n * b - line else 0 end)))) - greatest(begin, j * b))) part
+  from (select *, (a * j + c) % n k, (a * (n - 1) + c) % n as last from (select *, unnest(range(begin // b, (begin + size - 1) // b + 1)) j from x where size > 0)) group by 1)
+select doc_id, source, size, ss source_size, target, (case when size > 0 then tokens // line * size + part else 0 end)::bigint taken from x left join y using (id)""")
+def op13_source_mix(spark, folder):
+    return source_mix.mix(table(spark, folder, "documents"))
