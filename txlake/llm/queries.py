@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
 from txlake.llm import (
-    bpe, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, source_mix, substring_dedup,
+    bpe, conversation_trie, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, source_mix, substring_dedup,
     suffix_dedup, warc_revisit)
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
@@ -101,6 +101,26 @@ def op10_suffix_dedup(spark, folder):
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op11_conversation_trie", """
+with t as (select conv_id, {r: coalesce(role, ''), t: coalesce(text, '')} v, turn,
+  sha256(octet_length(encode(coalesce(role, '')))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) g from conversations where conv_id is not null),
+w as (select conv_id, list(v order by turn nulls first, g) w, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(
+    string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 h from t group by 1),
+b as (select w.conv_id, coalesce(o.w, [])[1:w.h] || w.w[w.h + 1:] w from w left join w o on o.conv_id = w.conv_id - w.conv_id % 5),
+p as (select conv_id, d, w[1:d] k, case when d > 0 then octet_length(encode(w[d].t)) else 0 end bytes, len(w) = d ends from (select *, unnest(range(len(w) + 1)) d from b)),
+n as (select d, k, min(conv_id) conv, count(*) n, any_value(bytes) bytes, string_agg(conv_id::varchar, ',' order by conv_id) filter (ends) ids from p group by 1, 2),
+y as (select p.conv_id, p.d, n.conv from p join n on p.d = n.d and p.k = n.k),
+m as (select n.*, y.conv parent from n left join y on y.conv_id = n.conv and y.d = n.d - 1),
+c as (select parent conv, d - 1 d, count(*) children from m where d > 0 group by 1, 2),
+e as (select m.*, coalesce(children, 0) children from m left join c on c.conv = m.conv and c.d = m.d),
+s as (select y.conv, y.d, sum((e.children = 0)::int) leaves, sum((e.n - 1) * e.bytes) saved from e join y on y.conv_id = e.conv and y.d <= e.d group by 1, 2)
+select e.conv conv_id, e.d depth, parent parent_conv_id, n n_convs, children n_children, leaves::bigint n_leaves, saved::bigint saved_tokens,
+  sha256(coalesce(ids, '')) ends_sha256 from e join s on s.conv = e.conv and s.d = e.d""")
+def op11_conversation_trie(spark, folder):
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
 @query("op13_source_mix", f"""
 with d as (select doc_id, source, len({_WORDS}) size, md5(coalesce(text, '')) g from documents),
 t as (select coalesce(sum(size), 0)::bigint total, greatest(1, least({source_mix.BLOCK}, coalesce(sum(size), 0)::bigint // ({source_mix.BLOCKS} * greatest(count(distinct coalesce(source, chr(0))), 1)))) b from d),

@@ -43,16 +43,17 @@ def running(df: DataFrame, group: list[str], place: str, values: dict[str, str])
     """
     kinds = {"sum": F.sum, "xor": F.bit_xor}
     longest = df.agg(F.max(place)).first()[0]
-    cut = df.withColumn("_run", F.floor(F.col(place) / RUN))
-    window = Window.partitionBy(*group, "_run").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    run = f"{place}_run"
+    cut = df.withColumn(run, F.floor(F.col(place) / RUN))
+    window = Window.partitionBy(*group, run).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
     inside = cut.withColumns({name: kinds[kind](name).over(window) for name, kind in values.items()})
     if longest is None or longest < RUN:
         return inside.select(*df.columns)
-    totals = cut.groupBy(*group, "_run").agg(*[kinds[kind](name).alias(name) for name, kind in values.items()])
-    reached = running(totals, group, "_run", values)
+    totals = cut.groupBy(*group, run).agg(*[kinds[kind](name).alias(name) for name, kind in values.items()])
+    reached = running(totals, group, run, values)
     # The total after part r is what part r + 1 starts from.
-    reached = reached.select(*group, (F.col("_run") + 1).alias("_run"), *[F.col(name).alias(f"_before_{name}") for name in values])
-    joined = inside.join(reached, [*group, "_run"], "left")
+    reached = reached.select(*group, (F.col(run) + 1).alias(run), *[F.col(name).alias(f"_before_{name}") for name in values])
+    joined = inside.join(reached, [*group, run], "left")
 
     def with_before(name: str, kind: str) -> Column:
         before = F.coalesce(F.col(f"_before_{name}"), F.lit(0))
