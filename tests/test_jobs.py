@@ -1,5 +1,6 @@
 """Whole jobs: lake, profile store, streams, model."""
 
+import hashlib
 import json
 from types import SimpleNamespace
 
@@ -268,3 +269,63 @@ def test_model_round_trip(spark, labelled):
     assert row.filter("abs(model_score - least(1.0, 0.4 + 0.6 * probability)) > 1e-9").isEmpty()
     fixed = resolve_weights(spark, None).collect()
     assert fixed[0]["feature"] == "amount" and fixed[0]["percent"] == 28.0 and len(fixed) == 7
+
+
+def batches_of(spark, count, repeat_from=2):
+    """A log that grows by one file per micro-batch: one new transaction, one repeat of the first."""
+    path = scratch_path(spark, "log")
+    for n in range(count):
+        records = [{**RECORD, "transaction_id": f"t{n}"}] + [{**RECORD, "transaction_id": "t0"}] * (n >= repeat_from)
+        spark.createDataFrame([(json.dumps(r),) for r in records], "value string").coalesce(1).write.mode("append").text(path)
+    return path
+
+
+def test_no_batch_reads_the_history(spark, monkeypatch):
+    """Other runs' ids are read when a query starts; batch 50 takes in what batch 2 does."""
+    reads = []
+    read = ingest.stored_by_others
+    monkeypatch.setattr(ingest, "stored_by_others", lambda *a: (reads.append(a), read(*a))[1])
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        path, out = batches_of(spark, 51), scratch_path(spark, "out")
+        stored = spark.createDataFrame([("t0",), ("t7",), ("old",)], "transaction_id string")
+        stored.write.parquet(ingest.batch_folder(out, "another", 0))
+        events = ingest.good_events(read_event_log(spark, path, maxFilesPerTrigger="1"))
+        query = ingest.start_unique(events, out, scratch_path(spark, "ckpt"))
+        drain(query)
+        progress = {p["batchId"]: p for p in query.recentProgress if p["numInputRows"]}
+        assert len(progress) == 51 and len(reads) == 2, "at the start and with the first micro-batch"
+        rows = {n: sorted(s["numInputRows"] for s in p["sources"]) for n, p in progress.items()}
+        assert rows[0] == [1, 3] and rows[50] == rows[2] == [0, 2]
+        operator = progress[50]["stateOperators"][0]
+        assert operator["numRowsTotal"] == 52 and "rocksdbGetCount" in operator["customMetrics"]
+        assert operator["customMetrics"]["rocksdbGetCount"] <= 4
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    ids = [r[0] for r in spark.read.parquet(out).select("transaction_id").collect()]
+    assert sorted(ids) == sorted([*(f"t{n}" for n in range(51)), "old"]), "each once, those of the other run included"
+
+
+def test_run_folders_that_look_like_numbers(spark):
+    """Checkpoints whose hash reads as a number in exponent form, or as digits behind a zero; a retried batch writes the same."""
+    leading = next(n for n in range(10**6) if (h := hashlib.md5(f"/ckpt/{n}".encode()).hexdigest()[:12]).isdigit() and h[0] == "0")
+    for name in ("/ckpt/148", f"/ckpt/{leading}"):
+        path, out = batches_of(spark, 2, 0), scratch_path(spark, "out")
+        checkpoint = scratch_path(spark, "ckpt")
+        written = []
+
+        def write(rows, batch_id):
+            if len(written) == 1:
+                written.append(None)
+                raise RuntimeError("a lost executor")
+            rows.write.mode("overwrite").parquet(ingest.batch_folder(out, name, batch_id))
+            written.append(batch_id)
+
+        events = ingest.good_events(read_event_log(spark, path, maxFilesPerTrigger="1"))
+        with pytest.raises(Exception):
+            ingest.start_keyed(events, out, checkpoint, write).awaitTermination()
+        drain(ingest.start_keyed(events, out, checkpoint, write))
+        drain(ingest.start_keyed(events, out, checkpoint, write))
+        assert {r["run"] for r in spark.read.parquet(out).select("run").collect()} == {ingest.run_name(name)}
+        assert sorted(r[0] for r in spark.read.parquet(out).select("transaction_id").collect()) == ["t0", "t1"]

@@ -1,21 +1,28 @@
 """Event log to clean events, with a dead-letter sink.
 
-No event is lost: one that comes late is taken like any other, and one that comes again is recognized by the ids stored
-so far, however long ago and under whichever checkpoint, instead of by a state that forgets.
+No event is lost: one that comes late is taken like any other, and one that comes again, however much later, is known. The
+ids that a query has seen are its keyed state, kept by RocksDB on the executors' disks and in the checkpoint, so a
+micro-batch asks only for its own ids. What other runs have stored in the same sink is read once when a query starts and
+enters the state with its first micro-batch.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from txlake.functions.calendar import parse_instant
 from txlake.operators.adapters import CORRUPT, decode_messages
 from txlake.sinks.publish import as_messages, with_envelope
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def _event_time() -> Column:
     return F.coalesce(parse_instant("timestamp"), parse_instant("event_timestamp")).cast("timestamp")
 
@@ -32,38 +39,78 @@ def good_events(messages: DataFrame) -> DataFrame:
     return decoded(messages).filter("_usable").drop("_usable", CORRUPT)
 
 
+def run_name(checkpoint: str) -> str:
+    """The run of a checkpoint. The letter keeps partition discovery from taking digits for a number."""
+    return f"r-{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"
+
+
 def batch_folder(base: str, checkpoint: str, batch_id: int) -> str:
     """Where a micro-batch writes: one folder per checkpoint and batch, overwritten when the batch is retried."""
-    return f"{base}/run={hashlib.md5(checkpoint.encode()).hexdigest()[:12]}/batch_id={batch_id}"
+    return f"{base}/run={run_name(checkpoint)}/batch_id={batch_id}"
+
+
+STORED_IDS = "transaction_id string, run string, batch_id long"
 
 
-def new_events(events: DataFrame, stored: str, own: str) -> DataFrame:
-    """Each transaction of a micro-batch once, its earliest event, without those that other batches stored.
+def stored_by_others(spark: SparkSession, stored: str, checkpoint: str) -> DataFrame:
+    """Ids that runs with other checkpoints have stored in a sink."""
+    try:
+        # A stated schema: run folders are text, whatever they look like.
+        known = spark.read.schema(STORED_IDS).parquet(stored)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+            raise
+        return spark.createDataFrame([], "transaction_id string")
+    return known.filter(F.col("run") != run_name(checkpoint)).select("transaction_id").distinct()
 
-    Only ids are read back. ``stored`` is the sink's folder, ``own`` this batch's, which an earlier try may have filled.
+
+def start_keyed(events: DataFrame, stored: str, checkpoint: str, write: Callable[[DataFrame, int], None],
+                once: bool = True) -> StreamingQuery:
+    """Run ``write`` with the events of each micro-batch whose transactions neither this query nor the sink ``stored`` has.
+
+    Every start writes the ids of other runs that it has not written before beside the checkpoint; they come as a second
+    source, whose rows only fill the state. The micro-batch that brings them is also joined against the sink, as its events
+    may come before them. Later ones read nothing but their own events and states. Of rows of one transaction in one
+    micro-batch one is kept. Runs that write the same transactions at the same time don't see each other until they start again.
     """
-    others = [c for c in sorted(events.columns) if c not in ("transaction_id", "event_time")]
-    order = Window.partitionBy("transaction_id").orderBy("event_time", *[F.to_json(F.struct(c)) for c in others])
-    first = events.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    spark = events.sparkSession
+    seeds = f"{checkpoint.rstrip('/')}-ids"
+    others = stored_by_others(spark, stored, checkpoint)
     try:
-        known = events.sparkSession.read.parquet(stored)
+        before = spark.read.schema("transaction_id string").parquet(f"{seeds}/*")
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in (error.getCondition() or "") and "UNABLE_TO_INFER_SCHEMA" not in (error.getCondition() or ""):
+        if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
             raise
-        return first
-    run, batch = own.rstrip("/").split("/")[-2:]
-    elsewhere = (F.col("run").cast("string") != run.partition("=")[2]) | (F.col("batch_id") != int(batch.partition("=")[2]))
-    return first.join(known.filter(elsewhere).select("transaction_id"), "transaction_id", "left_anti")
+        before = None
+    fresh = others if before is None else others.join(before, "transaction_id", "left_anti")
+    if before is None or not fresh.isEmpty():
+        fresh.write.parquet(f"{seeds}/{uuid.uuid4().hex}")
+    known = spark.readStream.schema("transaction_id string").parquet(f"{seeds}/*").withColumn("_known", F.lit(True))
+    keyed = events.withColumn("_known", F.lit(False)).unionByName(known, allowMissingColumns=True).dropDuplicates(["transaction_id"])
+    first = [True]
+
+    def new_only(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.filter(~F.col("_known")).select(*events.columns)
+        if first[0]:
+            rows = rows.join(stored_by_others(spark, stored, checkpoint), "transaction_id", "left_anti").select(*events.columns)
+        write(rows, batch_id)
+        first[0] = False
+
+    provider, usual = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        writer = keyed.writeStream.foreachBatch(new_only).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        spark.conf.set(provider, usual)
 
 
 def start_unique(events: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Write usable events to files, each transaction once over all runs and checkpoints that share ``path``."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        own = batch_folder(path, checkpoint, batch_id)
-        new_events(batch, path, own).select(*events.columns).write.mode("overwrite").parquet(own)
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(batch_folder(path, checkpoint, batch_id))
 
-    writer = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return start_keyed(events, path, checkpoint, write, once)
 
 
 def dead_letters(messages: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from txlake.operators.alerts import session_alerts
 from txlake.plans.scoring import analyze
 from txlake.sinks.history import history_rows
 from txlake.sinks.publish import as_messages, notifications
-from txlake.streaming.ingest import batch_folder, new_events
+from txlake.streaming.ingest import batch_folder, start_keyed
 
 logger = logging.getLogger(__name__)
 
@@ -22,14 +22,13 @@ def score_events(events: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def fan_out(base: str, profiles: DataFrame, checkpoint: str):
-    """``foreachBatch`` function: the batch's new events are scored in a batch plan, whose joins adapt to skew, and go to
+    """What to do with a micro-batch of new events: they are scored in a batch plan, whose joins adapt to skew, and go to
     history, alerts and notifications. A failing notification is logged only."""
 
-    def write(events: DataFrame, batch_id: int) -> None:
+    def write(fresh: DataFrame, batch_id: int) -> None:
         def put(rows: DataFrame, name: str) -> None:
             rows.write.mode("overwrite").parquet(batch_folder(f"{base}/{name}", checkpoint, batch_id))
 
-        fresh = new_events(events, f"{base}/history", batch_folder(f"{base}/history", checkpoint, batch_id))
         scored = score_events(fresh, profiles).persist()
         try:
             # History goes last: until it is there, a retry takes the same events again.
@@ -48,6 +47,4 @@ def fan_out(base: str, profiles: DataFrame, checkpoint: str):
 def start_scoring(events: DataFrame, profiles: DataFrame, base: str, checkpoint: str,
                   once: bool = True) -> StreamingQuery:
     """Score a stream of usable events; each transaction is stored and alerted once, under any number of checkpoints."""
-    writer = events.writeStream.foreachBatch(fan_out(base, profiles, checkpoint))
-    writer = writer.option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return start_keyed(events, f"{base}/history", checkpoint, fan_out(base, profiles, checkpoint), once)
