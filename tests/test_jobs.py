@@ -14,10 +14,10 @@ from txlake.plans.profile_batch import run_profile_batch
 from txlake.plans.scoring import analyze
 from txlake.schemas import SCORED_TRANSACTION, USER_PROFILE
 from txlake.session import scratch_path, scratch_root
+from txlake.sinks.keyed import KeyedTable
 from txlake.sinks.lake import lake_readiness
 from txlake.sinks.layout import LakeLayout
 from txlake.sinks.publish import as_messages, notifications, publish, with_envelope
-from txlake.sinks.versioned import VersionedTable
 from txlake.sources import sample
 from txlake.sources.events import read_event_log, replay_event_log
 from txlake.sources.landing import EmptyLandingError, load_normalized, read_by_format, read_landing_json
@@ -81,7 +81,7 @@ def test_medallion_runs_again_over_itself(spark, small):
 
 def test_profile_store_is_replaced_by_user(spark, small):
     tx = sample.transactions(spark, small)
-    store = VersionedTable(spark, scratch_path(spark, "store"), USER_PROFILE)
+    store = KeyedTable(spark, scratch_path(spark, "store"), USER_PROFILE, "user_id")
     runs = scratch_path(spark, "runs")
     assert store.read().isEmpty()
     everyone = run_profile_batch(tx, store, runs).count()

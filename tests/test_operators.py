@@ -346,3 +346,14 @@ def test_last_of_key_limits_rows_before_the_shuffle(spark):
     last = merge.last_of_key(rows, "k", ["w"])
     assert sorted((r["k"] or "", r["w"]) for r in last.collect()) == [("", 4), ("", 5), ("a", 2), ("b", 3)]
     assert "WindowGroupLimit" in last._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chi_square_tail_on_a_grid():
+    """Against the finite sums of the tail: exp(-x/2) (x/2)^k / k! for even freedoms, from erfc on for odd ones."""
+    for freedom in (1, 2, 3, 7, 12, 13, 14, 20, 51, 200, 501, 2000, 4999, 10_000):
+        for place in (0.3, 0.8, 1.0, 1.05, 1.3, 2.5):
+            x = freedom * place
+            even = freedom % 2 == 0
+            logs = [k * math.log(x / 2) - x / 2 - math.lgamma(k + 1) for k in (range(freedom // 2) if even else [n + 0.5 for n in range(freedom // 2)])]
+            wanted = (0.0 if even else math.erfc(math.sqrt(x / 2))) + math.fsum(map(math.exp, logs))
+            assert math.isclose(drift._chi2_tail(x, freedom), min(1.0, wanted), rel_tol=1e-9, abs_tol=1e-11), (freedom, place)

@@ -175,18 +175,35 @@ def drift_ks(spark, folder):
     return rows.select("column", F.round("ks", 9).alias("ks"))
 
 
-@query("drift_chi2", with_parts("clean") + _SIDES + _BINS + """
-, shares as (select rr, cr, (rr + cr) * (sum(rr) over ())::double / (sum(rr) over () + sum(cr) over ()) re,
-  (rr + cr) * (sum(cr) over ())::double / (sum(rr) over () + sum(cr) over ()) ce from category_bins)
-select 'merchant_category' "column", round(sum((rr - re) ** 2 / re + (cr - ce) ** 2 / ce), 6) chi2, count(*) - 1 freedom from shares""")
+def _chi2_sql(column: str) -> str:
+    """Statistic, freedom and upper tail; the tail is 1 minus the power series of the lower incomplete gamma function."""
+    return f"""
+select *, 1 - list_sum(list_transform(range(500), lambda n: exp((freedom / 2.0::double + n) * ln(chi2 / 2) - chi2 / 2 - lgamma(freedom / 2.0::double + n + 1)))) p_value
+from (select '{column}' "column", sum((rr - re) ** 2 / re + (cr - ce) ** 2 / ce) chi2, count(*) - 1 freedom from (
+  select rr, cr, (rr + cr) * (sum(rr) over ())::double / (sum(rr) over () + sum(cr) over ()) re,
+    (rr + cr) * (sum(cr) over ())::double / (sum(rr) over () + sum(cr) over ()) ce from (
+    select {column}, count(*) filter (ref) rr, count(*) filter (not ref) cr from
+      (select {column}, true ref from r union all select {column}, false from c) group by 1)))"""
+
+
+@query("drift_chi2", with_parts("clean") + _SIDES + """
+select "column", round(chi2, 6) chi2, freedom, round(p_value, 6) p_value from (""" + _chi2_sql("merchant_category") + " union all " + _chi2_sql("payment_method") + ")")
 def drift_chi2(spark, folder):
-    rows = drift.chi_square(*_sides(spark, folder), ["merchant_category"])
-    return rows.select("column", F.round("chi2", 6).alias("chi2"), "freedom")
+    rows = drift.chi_square(*_sides(spark, folder), ["merchant_category", "payment_method"])
+    return rows.select("column", F.round("chi2", 6).alias("chi2"), "freedom", F.round("p_value", 6).alias("p_value"))
 
 
-@query("drift_share")
+@query("drift_share", with_parts("clean") + _SIDES + f"""
+, v as (select amount, count(*) filter (ref) rr, count(*) filter (not ref) cr from
+  (select amount, true ref from r union all select amount, false from c) group by 1),
+run as (select sum(rr) over (order by amount) ru, sum(cr) over (order by amount) cu from v),
+gap as (select max(abs(ru / n - cu / m)) * sqrt(n * m / (n + m)) s from run, (select count(*)::double n from r), (select count(*)::double m from c) group by n, m),
+p as (select 2 * list_sum(list_transform(range(1, 101), lambda j: (-1) ** (j - 1) * exp(-2 * j * j * s * s))) p_value from gap
+  union all select p_value from ({_chi2_sql("merchant_category")}) union all select p_value from ({_chi2_sql("payment_method")}))
+select count(*) columns_tested, count(*) filter (p_value < {drift.P_LIMIT}) columns_drifted, count(*) filter (p_value < {drift.P_LIMIT}) / count(*)::double drifted_share,
+  count(*) filter (p_value < {drift.P_LIMIT}) / count(*)::double >= {drift.DRIFTED_SHARE_LIMIT} dataset_drift from p""")
 def drift_share(spark, folder):
-    """Share of drifted columns; p-values have no SQL form."""
+    """Share of drifted columns."""
     return drift.drift_share(*_sides(spark, folder), ["amount"], ["merchant_category", "payment_method"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txlake.catalog.registry import profiles, query, scored, stored, text_time
+from txlake.catalog.registry import ORACLES, profiles, query, scored, stored, text_time
 from txlake.catalog.sqlparts import exact_mean, half_even, steady, with_parts
 from txlake.functions.calendar import hour_from_iso
 from txlake.functions.values import integer_or, number_or
@@ -15,7 +15,8 @@ from txlake.operators import adapters, cleaning, enrich, merge, profiles as prof
 from txlake.operators.kpis import run_summary
 from txlake.plans.medallion import run_medallion
 from txlake.session import scratch_path
-from txlake.sinks.history import history_rows, new_history, rejected_history
+from txlake.sinks.history import first_of_each_id, history_rows, new_history, rejected_history
+from txlake.sinks.keyed import KeyedTable
 from txlake.sinks.lake import append_json_lines, lake_readiness, write_quality_report
 from txlake.sinks.layout import LakeLayout
 from txlake.sinks.publish import as_messages, with_envelope
@@ -435,10 +436,9 @@ def run_log(spark, folder):
     """The profile job against an empty store; its run record."""
     from txlake.plans.profile_batch import run_profile_batch
     from txlake.schemas import USER_PROFILE
-    from txlake.sinks.versioned import VersionedTable
 
     runs = scratch_path(spark, "runs")
-    store = VersionedTable(spark, scratch_path(spark, "profile-store"), USER_PROFILE)
+    store = KeyedTable(spark, scratch_path(spark, "profile-store"), USER_PROFILE, "user_id")
     run_profile_batch(sample.transactions(spark, folder), store, runs)
     return spark.read.parquet(runs).select("job", "records_read", "profiles_written", "status")
 
@@ -468,6 +468,17 @@ def upsert_profiles(spark, folder):
     return merge.replace_by_key(old, new, "user_id").select("user_id", "tx_count", "avg_amount")
 
 
+def _scores_by_id(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of early and of late transactions, one row per id."""
+    from txlake.plans.scoring import score_rows
+
+    rows = score_rows(adapters.request_defaults(sample.transactions(spark, folder), F.col("timestamp")))
+    early, late = (part(rows).groupBy("transaction_id").agg(
+        F.max("amount").alias("amount"), F.max("fraud_score").alias("fraud_score"),
+        F.bool_or("is_fraud").alias("is_fraud"), F.lit(False).alias("updated")) for part in (before_split, after_split))
+    return early, late
+
+
 @query("upsert_partial", with_parts("heur") + """
 select coalesce(o.id, n.id) transaction_id, case when o.id is not null then o.amount else n.amount end amount,
   case when n.id is not null then n.fraud_score else o.fraud_score end fraud_score,
@@ -478,18 +489,8 @@ full join (select transaction_id id, max(amount) amount, max(fraud_score) fraud_
       where ts >= timestamp '1998-01-01' group by 1) n on o.id = n.id""")
 def upsert_partial(spark, folder):
     """Known ids take only score and flag from the incoming rows; new ids are inserted whole."""
-    from txlake.plans.scoring import score_rows
-
-    rows = score_rows(adapters.request_defaults(sample.transactions(spark, folder), F.col("timestamp")))
-
-    def by_id(part: DataFrame) -> DataFrame:
-        return part.groupBy("transaction_id").agg(
-            F.max("amount").alias("amount"), F.max("fraud_score").alias("fraud_score"),
-            F.bool_or("is_fraud").alias("is_fraud"), F.lit(False).alias("updated"))
-
-    return merge.upsert_columns(
-        by_id(before_split(rows)), by_id(after_split(rows)), "transaction_id", ["fraud_score", "is_fraud"],
-        touched={"updated": F.lit(True)})
+    old, new = _scores_by_id(spark, folder)
+    return merge.upsert_columns(old, new, "transaction_id", ["fraud_score", "is_fraud"], touched={"updated": F.lit(True)})
 
 
 @query("history_rows", with_parts("scored") + """
@@ -519,6 +520,37 @@ def history_rejects(spark, folder):
     return rejected_history(after_split(rows), before_split(rows).select("transaction_id").distinct())
 
 
+# The same merges through keyed tables: what two commits leave behind, read back.
+
+@query("store_profiles", ORACLES["upsert_profiles"])
+def store_profiles(spark, folder):
+    tx = sample.transactions(spark, folder)
+    old, new = (profile_ops.user_basics(profile_ops.profile_rows(part(tx))) for part in (before_split, after_split))
+    store = KeyedTable(spark, scratch_path(spark, "profile-store"), old.schema, "user_id")
+    store.upsert(old)
+    store.upsert(new)
+    return store.read().select("user_id", "tx_count", "avg_amount")
+
+
+@query("store_partial", ORACLES["upsert_partial"])
+def store_partial(spark, folder):
+    old, new = _scores_by_id(spark, folder)
+    store = KeyedTable(spark, scratch_path(spark, "score-store"), old.schema, "transaction_id")
+    store.insert(old)
+    store.upsert_columns(new, ["fraud_score", "is_fraud"], touched={"updated": F.lit(True)})
+    return store.read()
+
+
+@query("store_history", ORACLES["history_append"])
+def store_history(spark, folder):
+    """Early history, then late; the second insert of all of it adds nothing."""
+    rows = history_rows(scored(spark, folder))
+    store = KeyedTable(spark, scratch_path(spark, "history-store"), rows.schema, "transaction_id")
+    for part in (before_split(rows), after_split(rows), rows):
+        store.insert(first_of_each_id(part))
+    return store.read().groupBy("transaction_id").agg(F.count("*").alias("documents"))
+
+
 @query("event_envelope")
 def event_envelope(spark, folder):
     """Enveloped messages; the event id is random, so rows only."""

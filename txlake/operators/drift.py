@@ -113,14 +113,15 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
 
 
 def _chi2_tail(statistic: float, freedom: int) -> float:
-    """Upper tail of the chi-square distribution: the regularized incomplete gamma function, scaled by its logarithm.
+    """Upper tail of the chi-square distribution: the regularized incomplete gamma function.
 
-    Left of the mean by the power series of the lower part, right of it by the continued fraction of the upper one.
+    Left of the mean by the power series of the lower part, right of it by the continued fraction of the upper one; their
+    common factor, which may exceed 1 or be next to nothing, is put in as a logarithm.
     """
     x, a = statistic / 2.0, freedom / 2.0
     if freedom <= 0 or x <= 0:
         return 1.0
-    scale = math.exp(min(0.0, a * math.log(x) - x - math.lgamma(a)))
+    scale = a * math.log(x) - x - math.lgamma(a)
     if x < a + 1:
         term = total = 1.0 / a
         n = a
@@ -128,7 +129,7 @@ def _chi2_tail(statistic: float, freedom: int) -> float:
             n += 1
             term *= x / n
             total += term
-        return max(0.0, 1.0 - scale * total)
+        return max(0.0, 1.0 - math.exp(scale + math.log(total)))
     tiny = 1e-300
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
@@ -141,7 +142,7 @@ def _chi2_tail(statistic: float, freedom: int) -> float:
         c = b + step / c or tiny
         change = c * d
         fraction *= change
-    return min(1.0, scale * fraction)
+    return min(1.0, math.exp(scale + math.log(fraction)))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from txlake.operators.merge import replace_by_key
 from txlake.operators.profiles import build_profiles, profile_rows
 from txlake.session import durable
 from txlake.sinks.lake import append_run, run_record
-from txlake.sinks.versioned import VersionedTable
+from txlake.sinks.keyed import KeyedTable
 
 
-def run_profile_batch(history: DataFrame, store: VersionedTable, runs_path: str, input_name: str = "history",
+def run_profile_batch(history: DataFrame, store: KeyedTable, runs_path: str, input_name: str = "history",
                       job: str = "profile_batch") -> DataFrame:
     """Build profiles, replace stored ones of the same users, log the run, return the new store.
 
-    The narrow profile rows are stored once and then scanned five times; the store is written before
-    it is read back, so no step reads what it overwrites.
+    The narrow profile rows are stored once and then scanned five times. Only the store's files that hold users of these
+    rows are written anew, and runs over other users may go on at the same time.
     """
     spark = history.sparkSession
     rows = durable(profile_rows(history), "profile-rows")
     fresh = durable(build_profiles(rows), "profiles")
-    store.replace(replace_by_key(store.read(), fresh, "user_id"))
+    store.upsert(fresh)
     append_run(run_record(spark, job, input_name, rows.count(), fresh.count()), runs_path)
     return store.read()

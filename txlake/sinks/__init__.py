@@ -1 +1 @@
-"""Lake layers, versioned tables, logs and published messages."""
+"""Lake layers, keyed tables, logs and published messages."""
