@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry_module
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
-# Trained or whole-lake queries run in tests/test_jobs.py on smaller settings.
-SLOW = {"bronze_silver_gold", "ml_gbt", "ml_ensemble", "ml_metrics", "ml_importance", "ml_predict", "feature_weights"}
+# The whole lake runs in tests/test_jobs.py.
+SLOW = {"bronze_silver_gold"}
 NAMES = sorted(set(entry_module.queries()) - SLOW)
 
 

@@ -5,6 +5,7 @@ import json
 from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from txlake.ml import features, forest
@@ -233,7 +234,7 @@ def test_forest_scores_match_a_walk_through_its_nodes(spark, labelled):
     path = scratch_path(spark, "forest")
     forest.fit_forest(scaled, trees=40).write.parquet(path)
     trees = spark.read.parquet(path)
-    assert trees.select("tree").distinct().count() == 40
+    assert trees.select("tree").distinct().count() == 40 and {r[0] for r in trees.select("points").distinct().collect()} == {256}
     scored = scaled.select("transaction_id", "features", forest.anomaly_score(trees).alias("a")).cache()
     assert scored.filter("a <= 0 or a > 1").isEmpty()
 
@@ -253,6 +254,22 @@ def test_forest_scores_match_a_walk_through_its_nodes(spark, labelled):
     assert means["odd"] > means["rest"] + 0.05
 
 
+def test_tree_samples_reach_all_rows(spark, labelled):
+    """Where rows are few a tree takes from all of them; where they are many, from any of them, beyond a pool of fixed size."""
+    few = features.fit_features(labelled).transform(labelled.limit(100))
+    samples = forest.tree_samples(few, "transaction_id", trees=10)
+    assert {r["count"] for r in samples.groupBy("tree").count().collect()} == {100}
+    grown = forest.fit_forest(few, trees=3)
+    assert {r[0] for r in grown.select("points").distinct().collect()} == {100} and grown.agg(F.max("path")).first()[0] <= 7 + forest.usual_path(100)
+    many = spark.range(20000).select(F.col("id").alias("transaction_id"), F.array(F.col("id").cast("double")).alias("a")).select(
+        "transaction_id", array_to_vector("a").alias("features"))
+    drawn = forest.tree_samples(many, "transaction_id", trees=5, subsample=20).select("tree", F.col("v")[0].cast("long").alias("id"))
+    ids = {r["id"] for r in drawn.collect()}
+    assert {r["count"] for r in drawn.groupBy("tree").count().collect()} == {20} and len(ids) == 100
+    pool = many.orderBy(F.xxhash64(F.lit(42), "transaction_id")).limit(100).collect()
+    assert ids - {r["transaction_id"] for r in pool}, "no pool of the smallest hashes"
+
+
 def test_model_round_trip(spark, labelled):
     model = train(labelled, rounds=5, depth=4)
     assert model.metrics["auc_roc"] > 0.9 and model.metrics["recall"] > 0.8

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txlake.catalog.registry import ORACLES, profiles, query, scored, stored, text_time
@@ -14,15 +16,15 @@ from txlake.functions.vocabulary import (
 from txlake.operators import adapters, cleaning, enrich, merge, profiles as profile_ops, quality, ranking
 from txlake.operators.kpis import run_summary
 from txlake.plans.medallion import run_medallion
-from txlake.session import scratch_path
+from txlake.session import durable, scratch_path
 from txlake.sinks.history import first_of_each_id, history_rows, new_history, rejected_history
 from txlake.sinks.keyed import KeyedTable
-from txlake.sinks.lake import append_json_lines, lake_readiness, write_quality_report
+from txlake.sinks.lake import append_json_lines, lake_readiness, write_bronze, write_quality_report
 from txlake.sinks.layout import LakeLayout
 from txlake.sinks.publish import as_messages, with_envelope
 from txlake.sources import sample
-from txlake.sources.landing import read_by_format, read_landing_json
-from txlake.sources.oltp import as_oltp_transactions, with_profiles
+from txlake.sources.landing import load_normalized, read_by_format, read_landing_json
+from txlake.sources.oltp import as_oltp_transactions, read_table, with_profiles
 
 # Rows before this moment play the stored table, later ones the incoming batch.
 SPLIT = "1998-01-01"
@@ -181,14 +183,42 @@ def analyze_defaults(spark, folder):
                          "payment_method", "hour", "is_weekend", "is_international")
 
 
-@query("oltp_scan", with_parts("clean") + """
-select transaction_id, user_id, amount::decimal(19,2)::varchar amount, currency from clean where amount > 0""")
+@query("oltp_scan", with_parts("tx") + """
+select transaction_id, user_id, amount::decimal(19,2)::varchar amount, currency from tx""")
 def oltp_scan(spark, folder):
-    """Transactional rows: exact decimal amounts above zero."""
-    rows = as_oltp_transactions(cleaned(spark, folder).filter("amount > 0"))
+    """All rows of the transactional table, as its reader gives them: exact decimal amounts, missing and negative ones included."""
+    location = scratch_path(spark, "oltp")
+    sample.transactions(spark, folder).write.parquet(location)
+    rows = as_oltp_transactions(read_table(spark, location))
     return rows.select("transaction_id", "user_id", F.col("amount").cast("string").alias("amount"), "currency")
 
 
+@query("normalize_file", with_parts("tx") + "select * exclude (transaction_id) from (" + _SIMULATED.strip() + ")")
+def normalize_file(spark, folder):
+    """A landing file of JSON lines, loaded and normalized."""
+    path = scratch_path(spark, "landing")
+    append_json_lines(sample.landing(spark, folder), path)
+    return load_normalized(spark, path, array=False)
+
+
+@query("layer_paths", with_parts("clean") + """
+select name, layer, case layer when 'bronze' then (select count(*) from tx) when 'silver' then (select count(*) from clean)
+  else (select count(*) from clean where is_fraud is not null) end records
+from (values ('raw', 'bronze'), ('landing', 'bronze'), ('Bronze', 'bronze'), ('processed', 'silver'), ('SILVER', 'silver'),
+  ('curated', 'gold'), ('gold', 'gold')) n(name, layer)""")
+def layer_paths(spark, folder):
+    """Layers written under their names and read back under every name they go by."""
+    layout = LakeLayout(scratch_path(spark, "lake"))
+    rows = cleaned(spark, folder)
+    write_bronze(sample.transactions(spark, folder).select("transaction_id"), layout)
+    rows.select("transaction_id").write.parquet(layout.silver())
+    rows.where("is_fraud is not null").select("transaction_id").write.parquet(layout.gold())
+    frames = [spark.read.parquet(layout.path(name)).agg(F.count("*").alias("records")).select(
+        F.lit(name).alias("name"), F.lit(LakeLayout.layer(name)).alias("layer"), "records")
+        for name in ("raw", "landing", "Bronze", "processed", "SILVER", "curated", "gold")]
+    return reduce(DataFrame.unionByName, frames)
+
+
 @query("profile_lookup", with_parts("ev", "prof") + """
 select e.transaction_id, e.user_id profile_user_id, p.tx_count, p.avg_amount from ev e left join prof p on e.user_id = p.user_id""")
 def profile_lookup(spark, folder):
@@ -551,7 +581,12 @@ def store_history(spark, folder):
     return store.read().groupBy("transaction_id").agg(F.count("*").alias("documents"))
 
 
-@query("event_envelope")
+@query("event_envelope", with_parts("tx") + """
+select transaction_id, user_id "key", amount, merchant_category, 36 id_length, true fresh, true timed from tx""")
 def event_envelope(spark, folder):
-    """Enveloped messages; the event id is random, so rows only."""
-    return as_messages(with_envelope(sample.landing(spark, folder)))
+    """Enveloped messages, decoded: the event's fields, an id of its own that no other message has, and its time."""
+    messages = durable(as_messages(with_envelope(sample.landing(spark, folder))), "messages")
+    fields = F.from_json("value", "transaction_id string, amount double, merchant_category string, event_id string, event_timestamp string")
+    rows = messages.select("key", fields.alias("e")).select("key", "e.*")
+    fresh = rows.select(F.count_distinct("event_id") == F.count("*")).scalar()
+    return rows.select("transaction_id", "key", "amount", "merchant_category", F.length("event_id").alias("id_length"), fresh.alias("fresh"), F.col("event_timestamp").isNotNull().alias("timed"))

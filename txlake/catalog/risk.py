@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from txlake.catalog.lake import after_split, before_split, cleaned
 from txlake.catalog.registry import profiles, query, scored, text_time
-from txlake.catalog.sqlparts import POLICY, half_up, with_parts
+from txlake.catalog.sqlparts import POLICY, cpf_digits_sql, half_up, with_parts
 from txlake.functions.behaviour import NO_PROFILE_REASON
-from txlake.functions.identity import with_identity
+from txlake.functions.identity import CARD_PREFIXES, FIRST_NAMES, LAST_NAMES, with_identity
 from txlake.functions.risk import model_score_with_floor, policy_columns, seed_severity, severity
 from txlake.functions.values import round_half_up
 from txlake.operators import alerts as alert_ops, kpis, listing, ranking
@@ -313,7 +313,20 @@ def public_view(spark, folder):
     return rows.withColumn("anomaly_reasons", F.array_join("anomaly_reasons", " | "))
 
 
-@query("identity_backfill")
+def _drawn(salt: str) -> str:
+    return f"('0x' || left(md5(transaction_id || '|{salt}'), 13))::bigint"
+
+
+_HOLDERS = with_parts("tx") + f""", drawn as (select transaction_id, lpad(({_drawn('document')} % 1000000000)::varchar, 9, '0') d,
+  {CARD_PREFIXES}[{_drawn('prefix')} % {len(CARD_PREFIXES)} + 1] || lpad(({_drawn('card')} % 1000000000000000)::varchar, 15, '0') card,
+  {FIRST_NAMES}[{_drawn('first')} % {len(FIRST_NAMES)} + 1] || ' ' || {LAST_NAMES}[{_drawn('last')} % {len(LAST_NAMES)} + 1] card_holder_name from tx),
+nine as (select *, case when d = repeat(d[1], 9) then lpad(((d::bigint + 12) % 1000000000)::varchar, 9, '0') else d end base9 from drawn),
+holders as ({cpf_digits_sql('nine', 'base9', 'transaction_id, card, card_holder_name')})\n"""
+
+
+@query("identity_backfill", _HOLDERS + """
+select transaction_id, substr(digits, 1, 3) || '.' || substr(digits, 4, 3) || '.' || substr(digits, 7, 3) || '-' || substr(digits, 10, 2) holder_document,
+  substr(card, 1, 4) || ' ' || substr(card, 5, 4) || ' ' || substr(card, 9, 4) || ' ' || substr(card, 13, 4) card_number, card_holder_name from holders""")
 def identity_backfill(spark, folder):
     """Missing holder fields filled from the transaction id."""
     rows = sample.transactions(spark, folder)

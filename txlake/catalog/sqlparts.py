@@ -59,6 +59,12 @@ def _digit(total: str) -> str:
     return f"(case when 11 - ({total}) % 11 >= 10 then 0 else 11 - ({total}) % 11 end)"
 
 
+def cpf_digits_sql(source: str, base9: str, keep: str) -> str:
+    """Eleven ``digits`` from nine, of a table with the columns ``keep``."""
+    return f"""select {keep}, ten || {_digit(_CPF_2.format('ten') + ' + 2 * substr(ten, 10, 1)::int')} digits
+from (select *, {base9} || {_digit(_CPF_1.format(base9))} ten from {source})"""
+
+
 # name -> (body, names it reads)
 _PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "tx": (f"""

@@ -45,18 +45,27 @@ def cpf_is_valid(document: Column | str) -> Column:
     return F.coalesce(cpf_from_base(d.substr(1, 9)) == d, F.lit(False))
 
 
+def _number(seed: Column, salt: str) -> Column:
+    """52 bits of a hash that every engine has."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", seed, F.lit(salt))), 1, 13), 16, 10).cast("long")
+
+
 def _digits_of(seed: Column, salt: str, count: int) -> Column:
-    number = F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(10**count))
-    return F.lpad(number.cast("string"), count, "0")
+    return F.lpad((_number(seed, salt) % 10**count).cast("string"), count, "0")
 
 
 def _pick(seed: Column, salt: str, choices: list[str]) -> Column:
-    index = F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(len(choices))) + 1
-    return F.element_at(F.array(*[F.lit(c) for c in choices]), index.cast("int"))
+    return F.element_at(F.array(*[F.lit(c) for c in choices]), (_number(seed, salt) % len(choices) + 1).cast("int"))
+
+
+def not_one_digit(base9: Column) -> Column:
+    """Nine equal digits are no document: they are moved on to a number that has others."""
+    moved = F.lpad(((base9.cast("long") + 12) % 10**9).cast("string"), 9, "0")
+    return F.when(base9.rlike(r"^(\d)\1{8}$"), moved).otherwise(base9)
 
 
 def stand_in_document(seed: Column | str) -> Column:
-    return format_cpf(cpf_from_base(_digits_of(as_column(seed), "document", 9)))
+    return format_cpf(cpf_from_base(not_one_digit(_digits_of(as_column(seed), "document", 9))))
 
 
 def stand_in_card(seed: Column | str) -> Column:

@@ -1,23 +1,23 @@
-"""Isolation forest: bounded samples, trees grown in parallel tasks, vectorized scoring."""
+"""Isolation forest: a bounded sample per tree, trees grown in tasks of their own, vectorized scoring."""
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 # Task functions travel by value: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES = 100
 SUBSAMPLE = 256
-_NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, path double"
+_NODE_SCHEMA = "tree int, points int, node int, feature int, threshold double, left int, right int, path double"
+_STEP = 37
 _EULER = 0.5772156649015329
 
 
@@ -51,37 +51,39 @@ def _grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tupl
     return nodes
 
 
+def tree_samples(scaled: DataFrame, key: str, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 42) -> DataFrame:
+    """``tree`` and ``v``: the points of every tree, ``subsample`` of all rows by a hash of its own, or all if there are fewer.
+
+    A row is dealt to one tree by its key's hash, and where rows are few to as many as give each tree twice its sample; with
+    fewer than that, to all. Spark keeps ``subsample`` rows per tree and task before it shuffles.
+    """
+    count = scaled.count()
+    copies = min(trees, math.ceil(2 * subsample * trees / max(count, 1)))
+    # Steps without a common factor with the number of trees lead to different trees.
+    step = next(n for n in range(_STEP, _STEP + trees + 1) if math.gcd(n, trees) == 1)
+    first = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(trees))
+    dealt = scaled.select(F.col(key).alias("key"), vector_to_array("features").alias("v"), F.explode(
+        F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda n: ((first + n * step) % trees).cast("int"))).alias("tree"))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", "key"), "key", F.xxhash64("v")))
+    return dealt.withColumn("place", place).where(F.col("place") <= subsample).select("tree", "v")
+
+
 def fit_forest(scaled: DataFrame, key: str = "transaction_id", trees: int = TREES, subsample: int = SUBSAMPLE,
                seed: int = 42) -> DataFrame:
-    """Forest as rows, at most ``trees * 2 * subsample`` of them.
+    """Forest as rows, at most ``trees * 2 * subsample`` of them; every tree grows from its own sample, in a task of its own."""
+    def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        tree = int(key[0])
+        points = np.array(sorted(sample["v"].map(tuple)), dtype="float64")
+        nodes = _grow(points, np.random.default_rng([seed, tree]), math.ceil(math.log2(max(2, len(points)))))
+        frame = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
+        frame.insert(0, "points", len(points))
+        frame.insert(0, "tree", tree)
+        return frame
 
-    The sample is the ``trees * subsample`` rows with the smallest key hash, a fixed number whatever
-    the size of the table; each tree draws its own points from it.
-    """
-    spark = scaled.sparkSession
-    pool = (
-        scaled.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(trees * subsample)
-        .select(vector_to_array("features").alias("v")).toPandas()
-    )
-    points = spark.sparkContext.broadcast(np.array(pool["v"].tolist(), dtype="float64"))
-    limit = math.ceil(math.log2(max(2, subsample)))
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sample = points.value
-        for batch in batches:
-            for tree in batch["id"]:
-                rng = np.random.default_rng([seed, int(tree)])
-                chosen = rng.choice(len(sample), min(subsample, len(sample)), replace=False)
-                nodes = _grow(sample[chosen], rng, limit)
-                frame = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "path"])
-                frame.insert(0, "tree", int(tree))
-                yield frame
-
-    tasks = min(trees, spark.sparkContext.defaultParallelism)
-    return spark.range(0, trees, 1, tasks).mapInPandas(grow, _NODE_SCHEMA)
-
-
-def anomaly_score(forest: DataFrame, features: str = "features", subsample: int = SUBSAMPLE) -> Column:
+    return tree_samples(scaled, key, trees, subsample, seed).groupBy("tree").applyInPandas(grow, _NODE_SCHEMA)
+
+
+def anomaly_score(forest: DataFrame, features: str = "features") -> Column:
     """Anomaly in (0, 1], higher is stranger. Reads the bounded forest and ships it to the tasks."""
     nodes = forest.toPandas().sort_values(["tree", "node"])
     arrays = [
@@ -89,7 +91,8 @@ def anomaly_score(forest: DataFrame, features: str = "features", subsample: int
         for _, part in nodes.groupby("tree")
     ]
     model = forest.sparkSession.sparkContext.broadcast(arrays)
-    usual = usual_path(subsample)
+    # Of one point nothing can be told apart.
+    usual = usual_path(int(nodes["points"].max())) or 1.0
 
     @F.pandas_udf(T.DoubleType())
     def score(vectors: pd.Series) -> pd.Series:
