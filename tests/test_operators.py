@@ -357,3 +357,21 @@ def test_chi_square_tail_on_a_grid():
             logs = [k * math.log(x / 2) - x / 2 - math.lgamma(k + 1) for k in (range(freedom // 2) if even else [n + 0.5 for n in range(freedom // 2)])]
             wanted = (0.0 if even else math.erfc(math.sqrt(x / 2))) + math.fsum(map(math.exp, logs))
             assert math.isclose(drift._chi2_tail(x, freedom), min(1.0, wanted), rel_tol=1e-9, abs_tol=1e-11), (freedom, place)
+
+
+def test_codes_of_a_million_labels(spark, monkeypatch):
+    """Codes are alphabetical places; no list of labels reaches the driver."""
+    from pyspark.sql import DataFrame
+
+    from txlake.operators.dictionary import dense_codes, with_code
+
+    rows = spark.range(1_200_000).select(F.format_string("l%07d", F.col("id") * 7 % 1_000_000).alias("label"))
+
+    def no_collect(*_):
+        raise AssertionError("labels in the driver")
+
+    for name in ("collect", "toPandas", "toLocalIterator", "toArrow", "take", "head", "first"):
+        monkeypatch.setattr(DataFrame, name, no_collect)
+    coded = with_code(rows.unionByName(spark.sql("select null label union all select 'unknown'")), "label", dense_codes(rows, "label"), "code")
+    wrong = coded.where("code <> coalesce(try_cast(substr(label, 2) as int), -1)").count()
+    assert (wrong, coded.count(), coded.where("code = -1").count(), coded.select("code").distinct().count()) == (0, 1_200_002, 2, 1_000_001)

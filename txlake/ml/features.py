@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, functions as F
 
 from txlake.functions.calendar import weekend_flag
 from txlake.functions.vocabulary import crosses_border, training_category
+from txlake.operators.dictionary import dense_codes, with_code
 from txlake.operators.ranking import order_statistic
+from txlake.session import durable
 
 CATEGORICAL = ["merchant_category", "payment_method"]
 # Feature order of the model.
@@ -34,35 +36,30 @@ def stratified_split(rows: DataFrame, label: str, key: str = "transaction_id",
     """Train and test with the label's shares kept exactly, the same on every run.
 
     Rows are ordered by a hash of their key within each label; the cut is an order statistic, so no
-    label is gathered in one task, and the cut table has one row per label.
+    label is gathered in one task. The cuts, one per label, come as one map; nothing is joined on the label.
     """
     place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("double")
     placed = rows.withColumn("_place", place)
     cut = order_statistic(
         placed, [label], "_place", lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(train_share) + 0.5)), "_cut")
-    marked = placed.join(cut, label).withColumn("_train", F.col("_place") <= F.col("_cut"))
-    bare = [c for c in marked.columns if c not in ("_place", "_cut", "_train")]
-    return marked.filter("_train").select(*bare), marked.filter("not _train").select(*bare)
+    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(label, "_cut")))).scalar()
+    marked = placed.filter(F.col(label).isNotNull()).withColumn("_train", F.col("_place") <= F.try_element_at(cuts, F.col(label)))
+    return marked.filter("_train").select(*rows.columns), marked.filter("not _train").select(*rows.columns)
 
 
 @dataclass(frozen=True)
 class FeatureState:
-    """What was learnt from the training rows: sorted vocabularies, means and deviations."""
+    """What was learnt from the training rows: vocabularies (tables of label and code), means and deviations."""
 
-    vocabularies: dict[str, list[str]]
+    vocabularies: dict[str, DataFrame]
     means: dict[str, float]
     scales: dict[str, float]
 
     def encode(self, rows: DataFrame) -> DataFrame:
         """Add the encoded and derived columns. A label not seen in training becomes -1."""
-        def index(name: str) -> Column:
-            known = F.array(*[F.lit(v) for v in self.vocabularies[name]])
-            return F.array_position(known, F.col(name).cast("string")).cast("int") - 1
-
-        return rows.withColumns({
-            **{f"{name}_encoded": F.coalesce(index(name), F.lit(-1)) for name in CATEGORICAL},
-            "log_amount": F.log1p("amount"),
-        })
+        for name in CATEGORICAL:
+            rows = with_code(rows, name, self.vocabularies[name], f"{name}_encoded")
+        return rows.withColumn("log_amount", F.log1p("amount"))
 
     def scale(self, encoded: DataFrame) -> DataFrame:
         """Standardize every feature, missing ones counted as zero, and assemble the vector."""
@@ -76,17 +73,14 @@ class FeatureState:
         return self.scale(self.encode(rows))
 
 
-def learn_vocabularies(rows: DataFrame) -> dict[str, list[str]]:
-    """Distinct labels in alphabetical order, the model's own bounded state."""
-    indexer = StringIndexer(
-        inputCols=CATEGORICAL, outputCols=[f"{c}_index" for c in CATEGORICAL],
-        stringOrderType="alphabetAsc", handleInvalid="skip")
-    learnt = indexer.fit(rows.select(*[F.coalesce(c, F.lit("None")).alias(c) for c in CATEGORICAL]))
-    return dict(zip(CATEGORICAL, [list(labels) for labels in learnt.labelsArray]))
+def learn_vocabularies(rows: DataFrame) -> dict[str, DataFrame]:
+    """Distinct labels in alphabetical order with their codes; a missing one counts as the label ``None``."""
+    filled = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(c) for c in CATEGORICAL])
+    return {c: durable(dense_codes(filled, c), "vocabulary") for c in CATEGORICAL}
 
 
 def fit_features(train: DataFrame) -> FeatureState:
-    """Learn from training rows only. Reads one row of fourteen numbers besides the vocabularies."""
+    """Learn from training rows only. Reads one row of fourteen numbers; vocabularies stay tables."""
     vocabularies = learn_vocabularies(train)
     encoded = FeatureState(vocabularies, {}, {}).encode(train)
     filled = {n: F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in FEATURES}

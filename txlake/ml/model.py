@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from txlake.functions.risk import MODEL_VERSION, model_score_with_floor, policy_columns
 from txlake.functions.values import round_half_up
 from txlake.functions.vocabulary import FEATURE_WEIGHTS, feature_label, training_category
-from txlake.ml.features import FEATURES, FeatureState, fit_features, stratified_split
+from txlake.ml.features import CATEGORICAL, FEATURES, FeatureState, fit_features, stratified_split
 from txlake.ml.forest import anomaly_score, fit_forest
 from txlake.session import durable, ensure_checkpoint_dir
 
@@ -108,14 +108,17 @@ class FraudModel:
     def save(self, spark: SparkSession, path: str) -> None:
         self.boosted.write().overwrite().save(f"{path}/boosted")
         self.forest.coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
-        state = json.dumps({"features": asdict(self.features), "metrics": self.metrics})
+        for name, codes in self.features.vocabularies.items():
+            codes.write.mode("overwrite").parquet(f"{path}/vocabulary/{name}")
+        learnt = {"means": self.features.means, "scales": self.features.scales}
+        state = json.dumps({"features": learnt, "metrics": self.metrics})
         spark.range(1).select(F.lit(state).alias("value")).write.mode("overwrite").text(f"{path}/state")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FraudModel:
         state = json.loads(spark.read.text(f"{path}/state").first()["value"])
         return cls(
-            FeatureState(**state["features"]), GBTClassificationModel.load(f"{path}/boosted"),
+            FeatureState({name: spark.read.parquet(f"{path}/vocabulary/{name}") for name in CATEGORICAL}, **state["features"]), GBTClassificationModel.load(f"{path}/boosted"),
             spark.read.parquet(f"{path}/forest"), state["metrics"])
 
 
