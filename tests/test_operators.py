@@ -1,6 +1,7 @@
 """Operators on small frames, edge rows and skewed keys against brute force."""
 
 import math
+import re
 import random
 import statistics
 from datetime import datetime
@@ -375,3 +376,19 @@ def test_codes_of_a_million_labels(spark, monkeypatch):
     coded = with_code(rows.unionByName(spark.sql("select null label union all select 'unknown'")), "label", dense_codes(rows, "label"), "code")
     wrong = coded.where("code <> coalesce(try_cast(substr(label, 2) as int), -1)").count()
     assert (wrong, coded.count(), coded.where("code = -1").count(), coded.select("code").distinct().count()) == (0, 1_200_002, 2, 1_000_001)
+
+
+def test_a_page_reads_its_part_only(spark, tmp_path):
+    from txlake.operators.paging import OrderedTable
+
+    rows = spark.range(50_000).select(F.when(F.col("id") >= 3, F.col("id") * 7919 % 50_021).alias("k"), F.col("id"))
+    table = OrderedTable(spark, str(tmp_path / "ordered")).write(rows, ["k"], rows_per_part=1000)
+    wanted = sorted((r.k for r in rows.collect()), key=lambda k: (k is not None, k))
+    for number in (0, 1, 49, 1234, 2499, 2500, 10**6):
+        page = table.page(number)
+        assert [r.k for r in page.collect()] == wanted[number * 20:number * 20 + 20]
+        filters = re.findall(r"PartitionFilters: \[(.*)\]", page._jdf.queryExecution().executedPlan().toString())
+        parts = set(re.findall(r"page_part#\d+ = (\d+)", str(filters)))
+        assert len(parts) <= 2 and (parts or not page.count()), "its folders are all that is read"
+    assert [r.k for r in table.page(3, 5000).collect()] == wanted[15_000:20_000], "a page may span parts"
+    assert OrderedTable(spark, str(tmp_path / "none")).write(rows.limit(0), ["k"]).page().collect() == []

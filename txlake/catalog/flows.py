@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from txlake.catalog.registry import profiles, query
+from txlake.catalog.registry import ORACLES, profiles, query
 from txlake.catalog.sqlparts import POLICY, rule_score, with_parts
 from txlake.session import scratch_path
 from txlake.sinks.publish import as_messages, publish, with_envelope
@@ -180,8 +180,48 @@ from (select start, count(*) n, {counts} from (
   select date_trunc('minute', ts) - to_minutes(cast(k as bigint)) start, value from events cross join range(0, 5) r(k)) group by start)"""
 
 
+_SLICES = 6
+
+
+def _closed_windows(spark: SparkSession, folder: str, windowed) -> DataFrame:
+    """Windows that a stream over the event log closed in append mode.
+
+    The log comes in slices of time, one file and micro-batch each. Half of a slice's events lie half a slice back, so every
+    batch brings events older than those of the batch before; the watermark allows for a whole slice. Rows far in the future,
+    after which nothing is open any more, come last and are left out.
+    """
+    log, out = scratch_path(spark, "timed"), scratch_path(spark, "windows")
+    events = sample.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    width = max(1.0, (ends["high"] - ends["low"]).total_seconds() / _SLICES)
+    place = (F.col("ts").cast("double") - F.lit(ends["low"]).cast("timestamp").cast("double")) / width
+    sliced = events.withColumn("slice", F.floor(place + F.pmod(F.xxhash64("event_id"), F.lit(2)) / 2))
+    for number in range(_SLICES + 2):
+        sliced.where(F.col("slice") == number).drop("slice").coalesce(1).write.mode("append").parquet(log)
+    far = events.limit(1).withColumn("ts", F.lit(ends["high"]).cast("timestamp") + F.expr("interval 400 days"))
+    for _ in range(3):
+        far.coalesce(1).write.mode("append").parquet(log)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(log).withWatermark("ts", f"{int(width) + 1} seconds")
+    _drain(ingest.start(windowed(stream), out, scratch_path(spark, "ckpt")))
+    return spark.read.parquet(out).where(F.col("window_start") <= F.lit(ends["high"]).cast("timestamp"))
+
+
+@query("stream_rate_1m", ORACLES["rate_1m"])
+def stream_rate_1m(spark, folder):
+    """The rate per minute as a stream closes it, from micro-batches that are out of order."""
+    rows = _closed_windows(spark, folder, lambda stream: rates.request_rates(stream, "ts"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", F.round("rate", 6).alias("rate"))
+
+
 @query("p95_5m", _quantile_sql())
 def p95_5m(spark, folder):
     rows = rates.latency_quantile(sample.table(spark, folder, "events"), "ts", "value")
     return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests",
                        F.round("quantile", 6).alias("quantile"))
+
+
+@query("stream_p95_5m", ORACLES["p95_5m"])
+def stream_p95_5m(spark, folder):
+    """The sliding quantile as a stream closes it: counts per step, then per window, both in append mode."""
+    rows = _closed_windows(spark, folder, lambda stream: rates.latency_quantile(stream, "ts", "value"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "requests", F.round("quantile", 6).alias("quantile"))

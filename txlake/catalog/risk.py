@@ -13,7 +13,9 @@ from txlake.functions.risk import model_score_with_floor, policy_columns, seed_s
 from txlake.functions.values import round_half_up
 from txlake.operators import alerts as alert_ops, kpis, listing, ranking
 from txlake.operators.adapters import request_defaults
+from txlake.operators.paging import OrderedTable
 from txlake.plans.scoring import analyze, profile_context, score_rows
+from txlake.session import scratch_path
 from txlake.sinks.publish import notifications
 from txlake.sources import sample
 
@@ -371,6 +373,17 @@ def page(spark, folder):
     return ranking.page(cleaned(spark, folder), ["transaction_id"], 2, 20).select("transaction_id", "user_id", "amount")
 
 
+@query("page_indexed", with_parts("clean") + """
+select 2 number, transaction_id, user_id, amount from (select * from clean order by transaction_id limit 20 offset 40)
+union all select 100, transaction_id, user_id, amount from (select * from clean order by transaction_id limit 20 offset 2000)
+union all select 1000000, transaction_id, user_id, amount from (select * from clean order by transaction_id limit 20 offset 20000000)""")
+def page_indexed(spark, folder):
+    """Three pages, the last far beyond the end, of a table that was put in order once."""
+    table = OrderedTable(spark, scratch_path(spark, "ordered")).write(cleaned(spark, folder).select("transaction_id", "user_id", "amount"), ["transaction_id"])
+    first, later, beyond = (table.page(n).select(F.lit(n).alias("number"), "*") for n in (2, 100, 1_000_000))
+    return first.unionByName(later).unionByName(beyond)
+
+
 @query("preview", with_parts("tx") + """
 select transaction_id, user_id, amount from tx order by transaction_id, ts, amount nulls first, merchant_id limit 5""")
 def preview(spark, folder):
