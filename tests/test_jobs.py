@@ -13,6 +13,7 @@ from txlake.ml.model import FraudModel, resolve_weights, train
 from txlake.plans.medallion import run_medallion
 from txlake.plans.profile_batch import run_profile_batch
 from txlake.plans.scoring import analyze
+from txlake.plans.serving import ServingView
 from txlake.schemas import SCORED_TRANSACTION, USER_PROFILE
 from txlake.session import scratch_path, scratch_root
 from txlake.sinks.keyed import KeyedTable
@@ -346,3 +347,32 @@ def test_run_folders_that_look_like_numbers(spark):
         drain(ingest.start_keyed(events, out, checkpoint, write))
         assert {r["run"] for r in spark.read.parquet(out).select("run").collect()} == {ingest.run_name(name)}
         assert sorted(r[0] for r in spark.read.parquet(out).select("transaction_id").collect()) == ["t0", "t1"]
+
+
+def test_serving_view_between_batches(spark):
+    """No gap, no overlap: refreshed in the middle, with a micro-batch that isn't whole, and by two jobs at once."""
+    out = scratch_path(spark, "out")
+    view = ServingView(spark, out, scratch_path(spark, "serving"))
+    assert view.read().collect() == []
+
+    def store(run, number, ids):
+        rows = spark.createDataFrame([(i, f"u{int(i) % 2}", float(i)) for i in ids], "transaction_id string, user_id string, amount double")
+        rows.withColumn("event_time", F.timestamp_seconds(F.col("amount"))).write.parquet(ingest.batch_folder(out, run, number))
+
+    def served():
+        return {r.user_id: (r.tx_count, int(r.amount_sum)) for r in view.read().collect()}
+
+    store("a", 0, "12")
+    assert served() == {"u0": (1, 2), "u1": (1, 1)} and view.refresh() and served() == {"u0": (1, 2), "u1": (1, 1)}
+    store("a", 1, "3")
+    store("b", 0, "4")
+    assert served() == {"u0": (2, 6), "u1": (2, 4)}
+    offsets = view.offsets()
+    other = ServingView(spark, out, view.base)
+    other.offsets = lambda: offsets  # it looked before the next refresh
+    assert view.refresh() and not other.refresh(), "one view per number"
+    spark.createDataFrame([("9", "u1", 9.0)], "transaction_id string, user_id string, amount double").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(ingest.batch_folder(out, "b", 1))
+    store("a", 2, "56")
+    assert served() == {"u0": (3, 12), "u1": (3, 9)} and view.refresh() and served() == {"u0": (3, 12), "u1": (3, 9)}
+    assert sorted(view.offsets()[1].values()) == [0, 2]

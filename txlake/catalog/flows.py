@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txlake.catalog.registry import ORACLES, profiles, query
 from txlake.catalog.sqlparts import POLICY, rule_score, with_parts
+from txlake.plans.serving import ServingView
 from txlake.session import scratch_path
 from txlake.sinks.publish import as_messages, publish, with_envelope
 from txlake.sources import sample
@@ -114,6 +115,29 @@ def replay(spark, folder):
     return _good_view(_ingested(spark, log))
 
 
+@query("lambda_view", with_parts("ev") + """
+select user_id, count(*) tx_count, round(sum(coalesce(amount, 0.0::double)::decimal(28,6)), 2)::double amount, strftime(max(ts), '%Y-%m-%d %H:%M:%S') last_time,
+  true whole from ev where merchant_category <> 'error' group by 1""")
+def lambda_view(spark, folder):
+    """Activity per user from a batch view and the micro-batches beyond it, while both go on: before the first view, after each
+    part of the log, and with a run that starts anew. ``whole`` says that each time every stored event counted once."""
+    log, out, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "events"), scratch_path(spark, "ckpt")
+    sent, view = _published(spark, folder), ServingView(spark, out, scratch_path(spark, "serving"))
+    part = F.pmod(F.xxhash64("value"), F.lit(3))
+    whole = True
+    for number in range(3):
+        spark.read.text(sent).filter(part == number).repartition(2).write.mode("append").text(log)
+        _drain(ingest.start_unique(ingest.good_events(read_event_log(spark, log, maxFilesPerTrigger="1")), out, checkpoint))
+        if number == 1:  # another run over the same log finds nothing new
+            _drain(ingest.start_unique(ingest.good_events(read_event_log(spark, log)), out, scratch_path(spark, "ckpt")))
+        counted = view.read().agg(F.sum("tx_count")).first()[0]
+        whole = whole and counted == spark.read.parquet(out).count()
+        if number < 2:
+            view.refresh()
+    return view.read().select("user_id", "tx_count", F.round("amount_sum", 2).cast("double").alias("amount"),
+                              F.date_format("last_time", "yyyy-MM-dd HH:mm:ss").alias("last_time"), F.lit(whole).alias("whole"))
+
+
 def _scored_stream(spark: SparkSession, folder: str) -> str:
     base = scratch_path(spark, "online")
     events = ingest.good_events(read_event_log(spark, _published(spark, folder)))

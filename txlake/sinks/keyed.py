@@ -31,7 +31,7 @@ class CommitConflict(RuntimeError):
     """Other writers kept changing the same buckets."""
 
 
-class _Folder:
+class Folder:
     """The little that Spark's own readers and writers don't offer: names in a folder, and a file that must not exist yet."""
 
     def __init__(self, spark: SparkSession, base: str):
@@ -72,7 +72,7 @@ class KeyedTable:
 
     def __init__(self, spark: SparkSession, base: str, schema: T.StructType, key: str, buckets: int = BUCKETS):
         self.spark, self.base, self.schema, self.key, self.buckets = spark, base.rstrip("/"), schema, key, buckets
-        self.folder = _Folder(spark, self.base)
+        self.folder = Folder(spark, self.base)
 
     # -- the log ------------------------------------------------------------------
 
