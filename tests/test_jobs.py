@@ -376,3 +376,18 @@ def test_serving_view_between_batches(spark):
     store("a", 2, "56")
     assert served() == {"u0": (3, 12), "u1": (3, 9)} and view.refresh() and served() == {"u0": (3, 12), "u1": (3, 9)}
     assert sorted(view.offsets()[1].values()) == [0, 2]
+
+
+def test_profile_state_adds_up(spark, small):
+    """Three days into the state, one of them twice, equal the profiles of all rows; odd amounts included."""
+    from txlake.operators.profiles import build_profiles, profile_rows
+    from txlake.plans.profile_state import ProfileState
+
+    tx = sample.transactions(spark, small).withColumn("amount", F.when(F.crc32(F.col("transaction_id").cast("binary")) % 50 == 0, F.col("amount") / 3).otherwise(F.col("amount")))
+    rows = profile_rows(tx.withColumn("user_id", F.when(F.col("user_id").endswith("1"), "hot").otherwise(F.col("user_id"))))
+    state = ProfileState(spark, scratch_path(spark, "state"), 4)
+    day = F.pmod(F.xxhash64("amount", "hour"), F.lit(3))
+    for n in (0, 1, 1, 2):
+        state.add(rows.where(day == n), f"day-{n}")
+    wanted, got = (sorted(map(str, p.drop("updated_at").collect())) for p in (build_profiles(rows), state.profiles()))
+    assert got == wanted

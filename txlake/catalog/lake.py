@@ -16,6 +16,7 @@ from txlake.functions.vocabulary import (
 from txlake.operators import adapters, cleaning, enrich, merge, profiles as profile_ops, quality, ranking
 from txlake.operators.kpis import run_summary
 from txlake.plans.medallion import run_medallion
+from txlake.plans.profile_state import ProfileState
 from txlake.session import durable, scratch_path
 from txlake.sinks.history import first_of_each_id, history_rows, new_history, rejected_history
 from txlake.sinks.keyed import KeyedTable
@@ -404,10 +405,19 @@ def _profile_view(rows: DataFrame) -> DataFrame:
 
 @query("user_profiles", with_parts("prof") + f"select {_PROFILE}, 'batch-v1' profile_version, 'historical_json' source from prof")
 def user_profiles(spark, folder):
-    rows = profile_ops.profile_rows(sample.transactions(spark, folder))
+    rows = durable(profile_ops.profile_rows(sample.transactions(spark, folder)), "profile-rows")  # the source is scanned once
     return _profile_view(profile_ops.build_profiles(rows)).drop("updated_at")
 
 
+@query("profile_state", ORACLES["user_profiles"])
+def profile_state(spark, folder):
+    """Profiles from the state after early rows, late rows, and the late rows again under the same tag."""
+    tx, state = sample.transactions(spark, folder), ProfileState(spark, scratch_path(spark, "profile-state"))
+    for tag, part in (("early", before_split), ("late", after_split), ("late", after_split)):
+        state.add(profile_ops.profile_rows(part(tx)), tag)
+    return _profile_view(state.profiles()).drop("updated_at")
+
+
 @query("user_p95", with_parts("p95") + "select user_id, p95_amount from p95")
 def user_p95(spark, folder):
     return profile_ops.user_p95(profile_ops.profile_rows(sample.transactions(spark, folder)))
@@ -480,7 +490,8 @@ select (select count(*) from tx where ts >= timestamp '1998-01-01') records_read
 from (select distinct user_id u from tx where ts >= timestamp '1998-01-01')""")
 def run_summary_query(spark, folder):
     tx = sample.transactions(spark, folder)
-    existing, incoming = before_split(tx), after_split(tx)
+    narrow = durable(tx.select("user_id", "amount", "merchant_category", "payment_method", "user_country", "merchant_country", "is_fraud", "timestamp"), "narrow")
+    existing, incoming = before_split(narrow), after_split(narrow)
     written = profile_ops.user_basics(profile_ops.profile_rows(incoming))
     return run_summary(incoming, existing.select("user_id").distinct(), written)
 

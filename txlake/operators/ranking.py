@@ -18,21 +18,22 @@ BUCKET_BITS = 16
 
 
 def order_statistics(
-    rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]],
+    rows: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Callable[[Column], Column]], copies: str | None = None,
 ) -> DataFrame:
     """Per key, one row per entry of ``ranks``: its name in ``statistic`` and in ``value`` the value at
     position ``rank(number of rows)`` in ascending order (1-based).
 
-    ``keys`` may be empty for statistics over all rows. Rows with a null value or key are left out.
+    ``keys`` may be empty for statistics over all rows. Rows with a null value or key are left out. ``copies`` names a column
+    that says how many rows a row stands for.
     """
     keys = list(keys)
-    values = rows.select(*keys, F.col(value).cast("double").alias("value"))
+    values = rows.select(*keys, F.col(value).cast("double").alias("value"), *([F.col(copies).alias("_of")] if copies else []))
     # Spelled as plain null checks, so that both uses below are the same plan and share one shuffle.
     for name in [*keys, "value"]:
         values = values.filter(F.col(name).isNotNull())
     # Equal values become one row before anything is shuffled by key: a user whose amounts are mostly
     # the same leaves few rows.
-    counted = values.groupBy(*keys, "value").agg(F.count("*").alias("_copies")).withColumn(
+    counted = values.groupBy(*keys, "value").agg((F.sum("_of") if copies else F.count("*")).alias("_copies")).withColumn(
         "_bucket", magnitude_bucket("value", BUCKET_BITS))
     all_of_key, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")
 

@@ -152,6 +152,10 @@ class KeyedTable:
         if last == number:
             files.coalesce(1).write.mode("ignore").parquet(f"{self.base}/snapshots/{number:020d}")
 
+    def merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
+        """Replace the rows that share files with incoming keys by ``combine(those rows, incoming)``, which keeps the other keys' rows."""
+        return self._merge(incoming, combine, True)
+
     def upsert(self, incoming: DataFrame, order: Sequence[str] = ()) -> int:
         """Incoming rows replace those of the same key whole; of several of one key the last by ``order``. The commit's number."""
         return self._merge(incoming, lambda old, new: replace_by_key(old, new, self.key, order), True)
