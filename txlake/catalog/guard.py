@@ -9,7 +9,8 @@ from txlake.catalog.registry import query, scored
 from txlake.catalog.sqlparts import half_even, half_up, with_parts
 from txlake.functions import masking
 from txlake.functions.identity import cpf_from_base
-from txlake.operators import alerts as alert_ops, drift, listing, privacy, quality
+from txlake.operators import alerts as alert_ops, drift, drift_preset, listing, privacy, quality
+from txlake.operators.cleaning import add_time_features
 from txlake.functions.rendering import transaction_line
 from txlake.plans.medallion import run_medallion
 from txlake.session import scratch_path
@@ -206,6 +207,50 @@ def drift_share(spark, folder):
     """Share of drifted columns."""
     return drift.drift_share(*_sides(spark, folder), ["amount"], ["merchant_category", "payment_method"])
 
+_TAIL = "1 - list_sum(list_transform(range(500), lambda i: exp((freedom / 2.0::double + i) * ln(x2 / 2) - x2 / 2 - lgamma(freedom / 2.0::double + i + 1))))"
+_PRESET_COLUMNS = (["amount", "transaction_hour", "is_weekend"], ["merchant_category", "payment_method"])
+
+
+def _preset_sql(small: int) -> str:
+    numeric, categorical = _PRESET_COLUMNS
+    cells = " union all ".join(
+        [f"select '{c}' col, true num, {c}::double v, null::varchar l, ref from both_sides where {c} is not null" for c in numeric]
+        + [f"select '{c}', false, null, {c}, ref from both_sides" for c in categorical])
+    return with_parts("featured") + f""", both_sides as (select *, ts < timestamp '1998-01-01' ref from featured), cell as ({cells}),
+k as (select col, num, v, l, count(*) filter (ref) r, count(*) filter (not ref) c from cell group by all),
+t as (select col, num, sum(r)::double n, sum(c)::double m, count(*) vals, sum(v * r) / sum(r) mean from k group by all),
+o as (select col, max(gap) ks, coalesce(sum(gap * (nxt - v)), 0) area, sqrt(sum((v - mean) ** 2 * r) / sum(r)) sd from (
+  select k.*, t.mean, abs(sum(r) over w / n - sum(c) over w / m) gap, lead(v) over w nxt from k join t using (col) where k.num window w as (partition by k.col order by v)) group by 1),
+s as (select col, sqrt(greatest(sum(case when r > 0 then r / n * ln(r / n / ((r / n + c / m) / 2)) else 0 end + case when c > 0 then c / m * ln(c / m / ((r / n + c / m) / 2)) else 0 end) / 2, 0)) js,
+  sum((r - (r + c) / (n + m) * n) ** 2 / ((r + c) / (n + m) * n) + (c - (r + c) / (n + m) * m) ** 2 / ((r + c) / (n + m) * m)) chi2,
+  max(abs(r / n - c / m) / sqrt((r + c) / (n + m) * (1 - (r + c) / (n + m)) * (1 / n + 1 / m))) z from k join t using (col) group by 1),
+q as (select *, case when n > {small} then case when num and vals > 5 then 'wasserstein' else 'jensen_shannon' end
+  when num and vals > 5 then 'ks' when vals = 2 then 'two_proportions' else 'chi_square' end test from t join s using (col) left join o using (col)),
+f as (select *, case test when 'wasserstein' then area / greatest(sd, 0.001) when 'jensen_shannon' then js when 'ks' then ks when 'two_proportions' then z else chi2 end statistic,
+  case test when 'two_proportions' then z * z when 'chi_square' then chi2 end x2, case test when 'two_proportions' then 1 else vals - 1 end freedom from q),
+p as (select *, case test when 'ks' then 2 * list_sum(list_transform(range(1, 101), lambda j: (-1) ** (j - 1) * exp(-2 * j * j * ks * ks * n * m / (n + m))))
+  when 'two_proportions' then {_TAIL} when 'chi_square' then {_TAIL} end p_value from f)
+select col "column", test, round(statistic, 6) statistic, round(p_value, 6) p_value, coalesce(p_value < 0.05, statistic >= 0.1) drifted from p"""
+
+
+def _preset(spark, folder, small: int) -> DataFrame:
+    rows = add_time_features(cleaned(spark, folder))
+    rows = drift_preset.preset(before_split(rows), after_split(rows), *_PRESET_COLUMNS, small=small)
+    return rows.withColumns({"statistic": F.round("statistic", 6), "p_value": F.round("p_value", 6)})
+
+
+@query("drift_preset", _preset_sql(drift_preset.SMALL))
+def drift_preset_query(spark, folder):
+    """Every column by the test for many rows: distances."""
+    return _preset(spark, folder, drift_preset.SMALL)
+
+
+@query("drift_preset_tests", _preset_sql(10**12))
+def drift_preset_tests(spark, folder):
+    """The same columns by the tests for few rows: p-values."""
+    return _preset(spark, folder, 10**12)
+
+
 
 # -- privacy --------------------------------------------------------------------
 

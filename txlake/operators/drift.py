@@ -86,7 +86,7 @@ def psi(reference: DataFrame, current: DataFrame, numeric: list[str], categorica
     return reduce(DataFrame.unionByName, parts)
 
 
-def _ks_p(scaled: Column) -> Column:
+def ks_p_value(scaled: Column) -> Column:
     """Limit distribution of the scaled two-sample statistic, as a series."""
     def term(j: Column) -> Column:
         sign = F.when(j % 2 == 1, 2.0).otherwise(-2.0)
@@ -108,7 +108,7 @@ def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFram
         n, m = sizes.select("n").scalar(), sizes.select("m").scalar()
         gap = counts.agg(F.max(F.abs(F.try_divide(F.col("r"), n) - F.try_divide(F.col("c"), m))).alias("ks")).select("ks", n.alias("n"), m.alias("m"))
         scaled = gap.withColumn("scaled", F.col("ks") * F.sqrt(F.try_divide(F.col("n") * F.col("m"), F.col("n") + F.col("m"))))
-        parts.append(scaled.select(F.lit(column).alias("column"), "ks", _ks_p(F.col("scaled")).alias("p_value")))
+        parts.append(scaled.select(F.lit(column).alias("column"), "ks", ks_p_value(F.col("scaled")).alias("p_value")))
     return reduce(DataFrame.unionByName, parts)
 
 
