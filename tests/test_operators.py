@@ -392,3 +392,20 @@ def test_a_page_reads_its_part_only(spark, tmp_path):
         assert len(parts) <= 2 and (parts or not page.count()), "its folders are all that is read"
     assert [r.k for r in table.page(3, 5000).collect()] == wanted[15_000:20_000], "a page may span parts"
     assert OrderedTable(spark, str(tmp_path / "none")).write(rows.limit(0), ["k"]).page().collect() == []
+
+
+def test_quality_scans_once(spark, small):
+    from txlake.operators import quality
+
+    path = f"{small}/lineitem.parquet"
+    rows = spark.read.parquet(path).selectExpr(
+        "concat(l_orderkey, '-', l_linenumber % 3) transaction_id", "l_extendedprice amount", "l_returnflag = 'R' is_fraud", "l_linestatus currency")
+    rules = [quality.Rule("transaction_id", "unique", "error", {}), quality.Rule("amount", "range", "error", {"min": 0, "max": 20_000}),
+             quality.Rule("amount", "mean_range", "error", {"min": 1, "max": 2}), quality.Rule("currency", "in_set", "error", {"values": ["O"]})]
+    for frame in (quality.evaluate(rows, rules), quality.batch_counters(rows)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+    together = {(r["rule"], r["column"]): (r["evaluated"], r["failed"]) for r in quality.evaluate(rows, rules).collect()}
+    alone = {(r["rule"], r["column"]): (r["evaluated"], r["failed"]) for rule in rules for r in quality.evaluate(rows, [rule]).collect()}
+    assert together == alone and len(together) == 4
+    assert {r["failed"] for r in quality.evaluate(rows.limit(0), rules).collect()} == {0, 1}, "only the mean of nothing is out of range"

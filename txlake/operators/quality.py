@@ -118,28 +118,46 @@ def _result(rule: Rule, evaluated: Column, failed: Column) -> Column:
 def evaluate(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     """One result row per rule.
 
-    All row and mean rules share one pass that leaves one row per task. Uniqueness counts per key on
-    its own, so that only the key column is shuffled.
+    All rules share one scan. With a uniqueness rule, its counts per key carry those of the row and mean rules along, and are
+    summed up then; without one, a row per task is left. Further uniqueness rules count per key on their own.
     """
-    total = F.count("*")
-    results, unique = [], []
+    unique = [r for r in rules if r.kind == "unique" and r.column in rows.columns]
+    carried: dict[str, Column] = {}
+
+    def summed(name: str, column: Column) -> Column:
+        """A count or sum over all rows: taken per key and then over keys where keys are counted anyway."""
+        if not unique:
+            return column
+        carried[name] = column
+        return F.sum(name)
+
+    total = F.coalesce(summed("_n", F.count("*")), F.lit(0))
+    results = []
     for rule in rules:
         if rule.kind == "exists":
             results.append(_result(rule, F.lit(1), F.lit(0 if rule.column in rows.columns else 1)))
         elif rule.column not in rows.columns:
             results.append(_result(rule, F.lit(0), F.lit(1)))
         elif rule.kind == "unique":
-            unique.append(rule)
+            continue
         elif rule.kind == "mean_range":
-            mean = F.avg(rule.column)
+            at = len(results)
+            mean = F.try_divide(summed(f"_sum_{at}", F.sum(rule.column)), summed(f"_of_{at}", F.count(rule.column))) if unique else F.avg(rule.column)
             outside = ~F.coalesce(mean.between(rule.args["min"], rule.args["max"]), F.lit(False))
             results.append(_result(rule, total, outside.cast("int")))
         else:
-            results.append(_result(rule, total, F.count_if(_violation(rule))))
+            failed = summed(f"_failed_{len(results)}", F.count_if(_violation(rule)))
+            results.append(_result(rule, total, F.coalesce(failed, F.lit(0))))
     frames = []
-    if results:
+    if unique:
+        key = F.col(unique[0].column)
+        known = F.coalesce(F.sum(F.when(F.col("_key").isNotNull(), F.col("_n"))), F.lit(0))
+        results.append(_result(unique[0], known, known - F.count("_key")))
+        per_key = rows.groupBy(key.alias("_key")).agg(*[c.alias(n) for n, c in carried.items()])
+        frames.append(per_key.agg(F.array(*results).alias("_r")).select(F.inline("_r")))
+    elif results:
         frames.append(rows.agg(F.array(*results).alias("_r")).select(F.inline("_r")))
-    for rule in unique:
+    for rule in unique[1:]:
         copies = rows.select(rule.column).dropna().groupBy(rule.column).agg(F.count("*").alias("_n"))
         evaluated = F.coalesce(F.sum("_n"), F.lit(0))
         one = copies.agg(_result(rule, evaluated, evaluated - F.count("*")).alias("_r"))
@@ -189,9 +207,13 @@ def _one_row(*facts: DataFrame) -> DataFrame:
 
 def batch_counters(rows: DataFrame) -> DataFrame:
     """Counters of the batch check on bronze rows."""
-    labelled = F.count_if("is_fraud") if "is_fraud" in rows.columns else F.lit(0)
-    plain = rows.agg(F.count_if(F.col("amount").isNull()).alias("null_amount"), labelled.alias("fraud_labeled"))
-    merged = _one_row(plain, duplicate_count(rows))
+    labelled = F.count_if("is_fraud") if "is_fraud" in rows.columns else F.count_if(F.lit(False))
+    # One scan: what is counted over all rows is carried along with the counts per id.
+    per_id = rows.groupBy("transaction_id").agg(
+        F.count("*").alias("_n"), F.count_if(F.col("amount").isNull()).alias("_null"), labelled.alias("_fraud"))
+    merged = per_id.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (
+        ("total_records", "_n"), ("null_amount", "_null"), ("fraud_labeled", "_fraud"))], F.count("*").alias("_ids")).withColumn(
+        "duplicate_ids", F.col("total_records") - F.col("_ids"))
     rate = round_half_even(F.col("fraud_labeled") / F.col("total_records"), 4)
     return merged.select(
         "total_records", "null_amount", "duplicate_ids", "fraud_labeled",
