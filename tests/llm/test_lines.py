@@ -51,3 +51,16 @@ def test_edges(edge, empty):
 def test_main_path_is_native(documents):
     plan = line_dedup.remove_lines(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_thousands_of_variants_and_very_many_lines(spark):
+    """2,000 variants of one line, similar in chains, and a document of 100,000 lines that loses half of them."""
+    words = [f"w{n}" for n in range(24)]
+    rows = [(n, " ".join(f"x{n % (5 + k)}" if (n * 7 + k) % 24 < 6 else words[k] for k in range(24))) for n in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.line) for r in line_dedup.similar_lines(frame).collect()}
+    assert found == later([(doc, 0, text) for doc, text in rows])
+    text = "\n".join(f"number{n // 2} only" for n in range(100_000))
+    (row,) = line_dedup.remove_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (row.n_lines, row.n_removed) == (100_000, 50_000)
+    assert row.text == "\n".join(f"number{n} only" for n in range(50_000))

@@ -9,6 +9,11 @@ verified on the whole sets.
 Rarity is counted over all lines, in ``RARITY`` buckets of word fingerprints; any order gives the same result, a good one
 gives fewer pairs. Lines of equal sets are one. So that thousands of variants of one line don't meet pairwise, lines are
 first compared with the earliest that shares a run of prefix words; only lines which that leaves open go through the join.
+The join itself gives no pairs: only whether some earlier line is similar matters, so it is a semi-join with the comparison
+in its condition, and gives a line at most once per prefix word.
+
+Words are compared by name: 44 bits of their hash behind their rarity. Two different words of one line pair share a name with
+a probability of 2^-44 times the pairs of words.
 """
 
 from __future__ import annotations
@@ -117,18 +122,60 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         "doc_id", "line", F.col("head.doc_id").alias("other_doc"), F.col("head.line").alias("other_line")).distinct()
     found = durable(_verified(durable(pairs, "first-pairs"), lines, counts, similarity).withColumn("found", F.lit(True)), "found")
 
-    marked = short.join(found, ["doc_id", "line"], "left").select(
-        "doc_id", "line", "n", "parity", F.col("found").isNull().alias("open"), F.posexplode("prefix").alias("at", "word"))
-    other = marked.select("word", *[F.col(c).alias(f"other_{c}") for c in ("doc_id", "line", "n", "parity", "at")])
-    needed = least_shared(F.col("n"), F.col("other_n"), similarity)
-    met = marked.join(other, (marked.word == other.word) & F.col("open")
-        & ((F.col("other_doc_id") < F.col("doc_id")) | (F.col("other_doc_id") == F.col("doc_id")) & (F.col("other_line") < F.col("line")))
-        & (F.least("n", "other_n") >= F.greatest("n", "other_n") * similarity - 1e-9)
-        & (1 + F.least(F.col("n") - F.col("at"), F.col("other_n") - F.col("other_at")) - 1 >= needed)
-        & (F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= F.col("n") + F.col("other_n") - 2 * needed))
-    pairs = met.select("doc_id", "line", F.col("other_doc_id").alias("other_doc"), F.col("other_line").alias("other_line")).distinct()
-    more = _verified(durable(pairs, "pairs"), lines, counts, similarity)
-    return twins.unionByName(found.select("doc_id", "line")).unionByName(more)
+    # Written first: the joins below then read plain rows, which are shuffled once for all their sides.
+    marked = durable(short.join(found, ["doc_id", "line"], "left").select(
+        "doc_id", "line", "n", "parity", F.col("found").isNull().alias("open"), F.posexplode("prefix").alias("at", "word")), "words")
+    met = durable(_meetings(marked, similarity), "meetings")
+    more = _with_similar(met, lines, counts, similarity)
+    # Written, so that what these joins shuffled is gone before whole texts are.
+    return durable(twins.unionByName(found.select("doc_id", "line")).unionByName(more), "similar")
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select("word", *[F.col(c).alias(f"other_{c}") for c in df.columns if c != "word"])
+
+
+def _earlier() -> Column:
+    return (F.col("other_doc_id") < F.col("doc_id")) | (F.col("other_doc_id") == F.col("doc_id")) & (F.col("other_line") < F.col("line"))
+
+
+def _meetings(marked: DataFrame, similarity: float) -> DataFrame:
+    """Words where an open line meets an earlier one that the filters leave, of the open lines (``mine``) and of the earlier ones.
+
+    Two semi-joins: a line is given once per word, whatever the number of lines that it meets there. All four sides are the
+    same rows, so they are shuffled once; whether a line is open stands beside its size for that, in one number.
+    """
+    mark = (F.col("n") * 2 + F.col("open").cast("int")).alias("mark")
+    # None of them is null; said so, no side gets a filter of its own.
+    rows = marked.select("word", "doc_id", "line", mark, "parity", "at")
+    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
+    other = _renamed(rows)
+    n, other_n = F.shiftright("mark", 1), F.shiftright("other_mark", 1)
+    needed = least_shared(n, other_n, similarity)
+    # Of both sides, or it would be pushed below one of them.
+    is_open = F.when(F.col("other_mark") > 0, F.col("mark").bitwiseAND(1) == 1)
+    fits = (rows["word"] == other["word"]) & is_open & _earlier() & (
+        F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
+        F.least(n - F.col("at"), other_n - F.col("other_at")) >= needed) & (
+        F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= n + other_n - 2 * needed)
+    later = rows.join(other, fits, "left_semi").select("word", "doc_id", "line", F.lit(True).alias("mine"))
+    earlier = other.join(rows, fits, "left_semi").select("word", F.col("other_doc_id").alias("doc_id"), F.col("other_line").alias("line"), F.lit(False).alias("mine"))
+    return later.unionByName(earlier)
+
+
+def _with_similar(met: DataFrame, lines: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """Ids of the open lines of which an earlier line, met at one of their words, is similar: whole sets, compared in the join,
+    which gives a line once per word at most."""
+    key = ["doc_id", "line"]
+    wanted = met.select(*key).distinct()
+    sets = durable(_keyed(lines.join(wanted.hint("merge"), key, "left_semi"), counts), "wanted")
+    whole = met.join(sets, key)
+    mine = whole.where("mine").select("word", *key, "keys")
+    other = _renamed(whole.where("not mine").select("word", *key, "keys"))
+    n, other_n = F.size("keys"), F.size("other_keys")
+    similar = (mine["word"] == other["word"]) & _earlier() & (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
+        F.size(F.array_intersect("keys", "other_keys")) >= least_shared(n, other_n, similarity))
+    return mine.join(other, similar, "left_semi").select(*key).distinct()
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -150,7 +197,10 @@ def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     at = F.transform(F.filter(gone, lambda line: F.shiftright(line, 32) == F.col(copy)), lambda line: line.bitwiseAND(0xFFFFFFFF).cast("int"))
     joined = joined.withColumn(mine, F.when(F.col(gone).isNotNull(), at))
     lines = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, n: ~F.array_contains(F.col(mine), n)), "\n")
+    # Linear in the lines, also of a document that loses many of very many; in an array of one, they are split only once.
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(mine))
+    whole = F.transform(F.array(F.struct(lines.alias("lines"), places.alias("places"))), lambda x: F.transform(x["places"], lambda n: F.get(x["lines"], n)))
+    left = F.array_join(F.get(whole, F.lit(0)), "\n")
     some = F.coalesce(F.size(mine) > 0, F.lit(False)) & F.col("text").isNotNull()
     return joined.select(
         *[F.when(some, left).otherwise(F.col("text")).alias("text") if c == "text" else f"`{c}`" for c in kept],
