@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from txlake.ml import features, forest
+from txlake.ml import model as ml_model
 from txlake.ml.model import FraudModel, resolve_weights, train
 from txlake.plans.medallion import run_medallion
 from txlake.plans.profile_batch import run_profile_batch
@@ -271,6 +272,31 @@ def test_tree_samples_reach_all_rows(spark, labelled):
     assert ids - {r["transaction_id"] for r in pool}, "no pool of the smallest hashes"
 
 
+def test_boosting_rounds_read_points_not_rows(spark, labelled, monkeypatch):
+    """Every row thirty times, as rows of their own: the rounds see no more points, and the points stand for all rows."""
+    seen, fit = [], ml_model.GBTClassifier.fit
+    monkeypatch.setattr(ml_model.GBTClassifier, "fit", lambda self, points: seen.append(points) or fit(self, points))
+    rows = labelled.select("*", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("copy")).withColumn(
+        "transaction_id", F.concat_ws("-", "transaction_id", "copy")).drop("copy")
+    model = train(rows, rounds=2, depth=3)
+    assert seen[0].count() <= labelled.count() and seen[0].agg(F.sum("copies")).first()[0] == round(rows.count() * 0.8)
+    # a tree over points tells rows apart exactly as one over the rows themselves
+    scaled = model.features.transform(labelled)
+    points = ml_model.training_points(scaled, "label")
+    trees = [fit(ml_model.GBTClassifier(labelCol="label", featuresCol="bins", weightCol=w, maxIter=3, maxDepth=3, seed=1), part)
+             for part, w in ((points, "copies"), (scaled.withColumn("one", F.lit(1.0)), "one"))]
+    values = [{r["transaction_id"]: round(r["probability"][1], 9) for r in t.transform(scaled).select("transaction_id", "probability").collect()} for t in trees]
+    assert values[0] == values[1]
+
+
+def test_edges_part_few_values_each_and_many_by_quantiles(spark, labelled):
+    scaled = features.fit_features(labelled).transform(labelled)
+    edges = features.learn_edges(scaled)
+    hours = sorted(r[0] for r in scaled.select("hour_scaled").distinct().collect())
+    assert len(edges["hour"]) == len(hours) - 1 and all(a < e < b for a, e, b in zip(hours, edges["hour"], hours[1:]))
+    assert 20 < len(edges["amount"]) < features.BINS
+
+
 def test_model_round_trip(spark, labelled):
     model = train(labelled, rounds=5, depth=4)
     assert model.metrics["auc_roc"] > 0.9 and model.metrics["recall"] > 0.8

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from txlake.functions.calendar import weekend_flag
@@ -19,6 +20,8 @@ FEATURES = [
     "amount", "hour", "is_weekend", "is_international",
     "merchant_category_encoded", "payment_method_encoded", "log_amount",
 ]
+# Fixed value: bins per feature of the boosted trees, as many as they part a feature into by default.
+BINS = 32
 
 
 def training_rows(tx: DataFrame) -> DataFrame:
@@ -49,11 +52,13 @@ def stratified_split(rows: DataFrame, label: str, key: str = "transaction_id",
 
 @dataclass(frozen=True)
 class FeatureState:
-    """What was learnt from the training rows: vocabularies (tables of label and code), means and deviations."""
+    """What was learnt from the training rows: vocabularies (tables of label and code), means and deviations, and
+    the edges between the bins of every scaled feature."""
 
     vocabularies: dict[str, DataFrame]
     means: dict[str, float]
     scales: dict[str, float]
+    edges: dict[str, list[float]] = field(default_factory=dict)
 
     def encode(self, rows: DataFrame) -> DataFrame:
         """Add the encoded and derived columns. A label not seen in training becomes -1."""
@@ -69,8 +74,17 @@ class FeatureState:
         })
         return VectorAssembler(inputCols=[f"{n}_scaled" for n in FEATURES], outputCol="features").transform(scaled)
 
+    def bin(self, scaled: DataFrame) -> DataFrame:
+        """Add the vector ``bins``: of every feature the bin its value falls in, NaN in one of its own."""
+        names = [f"{n}_bin" for n in FEATURES]
+        parted = Bucketizer(
+            splitsArray=[[-math.inf, *self.edges[n], math.inf] for n in FEATURES], handleInvalid="keep",
+            inputCols=[f"{n}_scaled" for n in FEATURES], outputCols=names).transform(scaled)
+        return VectorAssembler(inputCols=names, outputCol="bins").transform(parted).drop(*names)
+
     def transform(self, rows: DataFrame) -> DataFrame:
-        return self.scale(self.encode(rows))
+        scaled = self.scale(self.encode(rows))
+        return self.bin(scaled) if self.edges else scaled
 
 
 def learn_vocabularies(rows: DataFrame) -> dict[str, DataFrame]:
@@ -92,3 +106,25 @@ def fit_features(train: DataFrame) -> FeatureState:
         vocabularies, {n: row[f"m_{n}"] for n in FEATURES},
         # A constant feature is left unscaled.
         {n: row[f"s_{n}"] or 1.0 for n in FEATURES})
+
+
+def learn_edges(scaled: DataFrame) -> dict[str, list[float]]:
+    """Edges between at most ``BINS`` bins per scaled feature, from all rows: halfway between neighbours where there are
+    no more values than bins, else quantiles within a thousandth of all rows."""
+    columns = {n: f"{n}_scaled" for n in FEATURES}
+    about = scaled.agg(*[F.approx_count_distinct(c).alias(n) for n, c in columns.items()]).first()
+    # The estimate may be off by some; sets of columns that may have few values are small.
+    few = [n for n in FEATURES if about[n] <= 2 * BINS]
+    # An aggregate of no column is none.
+    sets = scaled.agg(F.count("*").alias("_n"), *[F.sort_array(F.collect_set(columns[n])).alias(n) for n in few]).first()
+    edges = {}
+    for name in few:
+        values = [v for v in sets[name] if math.isfinite(v)]
+        if len(values) <= BINS:
+            edges[name] = [(a + b) / 2 for a, b in zip(values, values[1:])]
+    rest = [n for n in FEATURES if n not in edges]
+    if rest:
+        found = scaled.approxQuantile([columns[n] for n in rest], [i / BINS for i in range(1, BINS)], 0.001)
+        edges.update(zip(rest, found))
+    # A feature of one value is never parted; an edge anywhere leaves it whole.
+    return {n: sorted({e for e in edges[n] if math.isfinite(e)}) or [0.0] for n in FEATURES}

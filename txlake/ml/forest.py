@@ -83,13 +83,24 @@ def fit_forest(scaled: DataFrame, key: str = "transaction_id", trees: int = TREE
     return tree_samples(scaled, key, trees, subsample, seed).groupBy("tree").applyInPandas(grow, _NODE_SCHEMA)
 
 
+def _walkable(tree: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Arrays of one tree by node: feature, threshold, right and left child in turn, path, and the depth.
+
+    A leaf is its own child, so that every row takes as many steps as the tree is deep and none asks whether it is done.
+    """
+    feature, left, right = (tree[c].to_numpy(dtype="int64") for c in ("feature", "left", "right"))
+    leaf, own = feature < 0, np.arange(len(tree))
+    children = np.stack([np.where(leaf, own, right), np.where(leaf, own, left)], axis=1)
+    depth, level = 0, np.zeros(1, dtype="int64")
+    while not leaf[level].all():
+        level, depth = np.unique(children[level]), depth + 1
+    return np.maximum(feature, 0), tree["threshold"].to_numpy(dtype="float64"), children.ravel(), tree["path"].to_numpy(dtype="float64"), depth
+
+
 def anomaly_score(forest: DataFrame, features: str = "features") -> Column:
     """Anomaly in (0, 1], higher is stranger. Reads the bounded forest and ships it to the tasks."""
     nodes = forest.toPandas().sort_values(["tree", "node"])
-    arrays = [
-        tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path"))
-        for _, part in nodes.groupby("tree")
-    ]
+    arrays = [_walkable(part) for _, part in nodes.groupby("tree")]
     model = forest.sparkSession.sparkContext.broadcast(arrays)
     # Of one point nothing can be told apart.
     usual = usual_path(int(nodes["points"].max())) or 1.0
@@ -98,18 +109,15 @@ def anomaly_score(forest: DataFrame, features: str = "features") -> Column:
     def score(vectors: pd.Series) -> pd.Series:
         if len(vectors) == 0:
             return pd.Series([], dtype="float64")
-        x = np.array(vectors.tolist(), dtype="float64")
-        rows = np.arange(len(x))
-        total = np.zeros(len(x))
-        for feature, threshold, left, right, path in model.value:
-            at = np.zeros(len(x), dtype="int64")
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                goes_left = x[rows, np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-            total += path[at]
+        x = np.concatenate(vectors.to_numpy()).astype("float64", copy=False)
+        first = np.arange(len(vectors), dtype="int64") * (len(x) // len(vectors))
+        total = np.zeros(len(vectors))
+        for feature, threshold, children, path, depth in model.value:
+            at = np.zeros(len(vectors), dtype="int64")
+            for _ in range(depth):
+                goes_left = x.take(first + feature.take(at)) <= threshold.take(at)
+                at = children.take(2 * at + goes_left)
+            total += path.take(at)
         return pd.Series(np.power(2.0, -(total / len(model.value)) / usual))
 
     return score(vector_to_array(features))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from txlake.functions.risk import MODEL_VERSION, model_score_with_floor, policy_columns
 from txlake.functions.values import round_half_up
 from txlake.functions.vocabulary import FEATURE_WEIGHTS, feature_label, training_category
-from txlake.ml.features import CATEGORICAL, FEATURES, FeatureState, fit_features, stratified_split
+from txlake.ml.features import BINS, CATEGORICAL, FEATURES, FeatureState, fit_features, learn_edges, stratified_split
 from txlake.ml.forest import anomaly_score, fit_forest
 from txlake.session import durable, ensure_checkpoint_dir
 
@@ -38,7 +38,7 @@ class FraudModel:
         return scored.withColumns({
             "anomaly": anomaly_score(self.forest),
             "probability": vector_to_array("probability")[1],
-        }).drop("features", "rawPrediction", "prediction", *[f"{n}_scaled" for n in FEATURES])
+        }).drop("features", "bins", "rawPrediction", "prediction", *[f"{n}_scaled" for n in FEATURES])
 
     def ensemble(self, rows: DataFrame, normalize: str = "batch") -> DataFrame:
         """Add ``model_score`` = 0.4 * anomaly share + 0.6 * probability.
@@ -110,7 +110,7 @@ class FraudModel:
         self.forest.coalesce(1).write.mode("overwrite").parquet(f"{path}/forest")
         for name, codes in self.features.vocabularies.items():
             codes.write.mode("overwrite").parquet(f"{path}/vocabulary/{name}")
-        learnt = {"means": self.features.means, "scales": self.features.scales}
+        learnt = {"means": self.features.means, "scales": self.features.scales, "edges": self.features.edges}
         state = json.dumps({"features": learnt, "metrics": self.metrics})
         spark.range(1).select(F.lit(state).alias("value")).write.mode("overwrite").text(f"{path}/state")
 
@@ -129,6 +129,15 @@ def class_weight(train: DataFrame, label: str) -> float:
     return row["negative"] / max(row["positive"], 1)
 
 
+def training_points(binned: DataFrame, label: str) -> DataFrame:
+    """Rows of equal bins and label as one point with its number of rows in ``copies``.
+
+    Trees that part bins treat such rows alike in every round, so they learn the same from the point and its weight; the
+    number of points is bounded by the bins, not by the rows.
+    """
+    return binned.groupBy("bins", label).agg(F.count("*").alias("copies"))
+
+
 def train(rows: DataFrame, label: str = "label", key: str = "transaction_id", rounds: int = ROUNDS,
           depth: int = DEPTH, seed: int = 42) -> FraudModel:
     """Split, learn features, grow forest and boosted trees on the training part, evaluate on the rest."""
@@ -138,13 +147,15 @@ def train(rows: DataFrame, label: str = "label", key: str = "transaction_id", ro
     fit_part, test_part = stratified_split(stored, label, key)
     fit_part = durable(fit_part, "train")
     features = fit_features(fit_part)
+    features = replace(features, edges=learn_edges(features.transform(fit_part)))
     weight = class_weight(fit_part, label)
-    weighted = F.when(F.col(label) == 1, F.lit(weight)).otherwise(1.0)
-    scaled = features.transform(fit_part).select(key, "features", label, weighted.alias("weight"))
+    points = durable(training_points(features.transform(fit_part), label), "points")
+    weighted = F.col("copies") * F.when(F.col(label) == 1, F.lit(weight)).otherwise(1.0)
     booster = GBTClassifier(
-        labelCol=label, featuresCol="features", weightCol="weight", maxDepth=depth, maxIter=rounds,
+        labelCol=label, featuresCol="bins", weightCol="weight", maxDepth=depth, maxIter=rounds, maxBins=BINS,
         stepSize=LEARNING_RATE, seed=seed, cacheNodeIds=False, checkpointInterval=10)
-    boosted = booster.fit(scaled)
+    boosted = booster.fit(points.withColumn("weight", weighted))
+    scaled = replace(features, edges={}).transform(fit_part).select(key, "features")
     forest = durable(fit_forest(scaled, key, seed=seed), "forest")
     model = FraudModel(features, boosted, forest)
     model.metrics = model.evaluate(test_part, label).first().asDict()
