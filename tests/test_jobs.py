@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -417,3 +418,14 @@ def test_profile_state_adds_up(spark, small):
         state.add(rows.where(day == n), f"day-{n}")
     wanted, got = (sorted(map(str, p.drop("updated_at").collect())) for p in (build_profiles(rows), state.profiles()))
     assert got == wanted
+
+
+def test_oltp_scan_cleans_what_the_reader_gives(spark, tmp_path, monkeypatch):
+    from txlake.catalog import lake
+
+    rows = sample.transactions(spark, "/root/testdata/sf0.001").limit(1).withColumn("transaction_id", F.lit("a")).drop("amount")
+    amounts = spark.createDataFrame([(None,), (5.0,), (-7.25,)], "amount double")
+    dirty = rows.crossJoin(amounts).unionByName(rows.crossJoin(amounts.filter("amount < 0")).withColumn("transaction_id", F.lit("b")))
+    monkeypatch.setattr(lake.sample, "transactions", lambda s, f: dirty)
+    got = lake.oltp_scan(spark, str(tmp_path)).select("transaction_id", "amount").collect()
+    assert sorted(map(tuple, got)) == [("a", "5.00"), ("b", "0.00")]

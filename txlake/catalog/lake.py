@@ -184,13 +184,13 @@ def analyze_defaults(spark, folder):
                          "payment_method", "hour", "is_weekend", "is_international")
 
 
-@query("oltp_scan", with_parts("tx") + """
-select transaction_id, user_id, amount::decimal(19,2)::varchar amount, currency from tx""")
+@query("oltp_scan", with_parts("clean") + """
+select transaction_id, user_id, amount::decimal(19,2)::varchar amount, currency from clean""")
 def oltp_scan(spark, folder):
-    """All rows of the transactional table, as its reader gives them: exact decimal amounts, missing and negative ones included."""
+    """The transactional table as its reader gives it, cleaned: one row per id, exact decimal amounts, missing and negative ones as zero."""
     location = scratch_path(spark, "oltp")
     sample.transactions(spark, folder).write.parquet(location)
-    rows = as_oltp_transactions(read_table(spark, location))
+    rows = as_oltp_transactions(cleaning.clean(read_table(spark, location)))
     return rows.select("transaction_id", "user_id", F.col("amount").cast("string").alias("amount"), "currency")
 
 
