@@ -429,3 +429,19 @@ def test_oltp_scan_cleans_what_the_reader_gives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lake.sample, "transactions", lambda s, f: dirty)
     got = lake.oltp_scan(spark, str(tmp_path)).select("transaction_id", "amount").collect()
     assert sorted(map(tuple, got)) == [("a", "5.00"), ("b", "0.00")]
+
+
+def test_ordered_log_is_not_one_file(spark, tmp_path):
+    """Afternoons come in older files than mornings, each part in a file per task."""
+    from txlake.catalog import flows
+
+    log = str(tmp_path / "log")
+    lines = [f'{{"transaction_id": "t{n}", "timestamp": "2024-01-01T{n % 24:02d}:00:00.000000"}}' for n in range(480)]
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(4).write.text(log)
+    ordered, files = flows._afternoons_first(spark, log)
+    ages = sorted((Path(f.removeprefix("file://")).stat().st_mtime_ns, f) for f in spark.read.text(ordered).inputFiles())
+    assert files > 1 and len(ages) == 2 * files
+    hour = F.get_json_object("value", "$.timestamp").substr(12, 2).cast("int")
+    older = spark.read.text([f for _, f in ages[:files]]).select(hour.alias("h"))
+    assert older.count() == 240 and older.agg(F.min("h")).first()[0] == 12
+    assert sorted(r[0] for r in spark.read.text(ordered).collect()) == sorted(lines)

@@ -85,18 +85,26 @@ def stream_publish(spark, folder):
                        (F.col("event_id").isNotNull() & F.col("event_timestamp").isNotNull()).alias("enveloped"))
 
 
+def _afternoons_first(spark: SparkSession, log: str) -> tuple[str, int]:
+    """A copy of the log whose older files hold the afternoons, and how many these are: a stream that takes as many at once
+    reads the mornings after them. Every task writes a file of its own, so none grows with the log."""
+    ordered = scratch_path(spark, "log")
+    afternoon = F.coalesce(F.get_json_object("value", "$.timestamp").substr(12, 2) >= "12", F.lit(True))
+    spark.read.text(log).filter(afternoon).write.text(ordered)
+    files = len(spark.read.text(ordered).inputFiles())
+    spark.read.text(log).filter(~afternoon).write.mode("append").text(ordered)
+    return ordered, max(files, 1)
+
+
 @query("stream_accounting", with_parts("ev") + """
 select count(*) + count(*) filter (merchant_category = 'purchase') sent, count(*) filter (merchant_category <> 'error') good,
   count(*) filter (merchant_category = 'error') dead, count(*) filter (merchant_category = 'purchase') repeats from ev""")
 def stream_accounting(spark, folder):
-    """Every message sent is stored once, a dead letter, or a repeat, also when files arrive one by one, mornings after afternoons."""
+    """Every message sent is stored once, a dead letter, or a repeat, also when parts arrive one by one, mornings after afternoons."""
     log, out, dead = _published(spark, folder), scratch_path(spark, "events"), scratch_path(spark, "dead")
-    ordered = scratch_path(spark, "log")
-    afternoon = F.coalesce(F.get_json_object("value", "$.timestamp").substr(12, 2) >= "12", F.lit(True))
-    for late in (afternoon, ~afternoon):
-        spark.read.text(log).filter(late).coalesce(1).write.mode("append").text(ordered)
+    ordered, files = _afternoons_first(spark, log)
     for _ in range(2):  # the second run, under a new checkpoint, adds nothing
-        _drain(ingest.start_unique(ingest.good_events(read_event_log(spark, ordered, maxFilesPerTrigger="1")), out, scratch_path(spark, "ckpt")))
+        _drain(ingest.start_unique(ingest.good_events(read_event_log(spark, ordered, maxFilesPerTrigger=str(files))), out, scratch_path(spark, "ckpt")))
     _drain(ingest.start(ingest.dead_letters(read_event_log(spark, ordered)), dead, scratch_path(spark, "ckpt")))
     good = spark.read.parquet(out).agg(F.count("*").alias("good"), F.count_distinct("transaction_id").alias("ids"))
     sent = spark.read.text(log).agg(F.count("*").alias("sent"))
