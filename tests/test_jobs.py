@@ -445,3 +445,12 @@ def test_ordered_log_is_not_one_file(spark, tmp_path):
     older = spark.read.text([f for _, f in ages[:files]]).select(hour.alias("h"))
     assert older.count() == 240 and older.agg(F.min("h")).first()[0] == 12
     assert sorted(r[0] for r in spark.read.text(ordered).collect()) == sorted(lines)
+
+
+def test_profiles_and_scores_join_the_source_once(spark, tmp_path, small, monkeypatch):
+    from txlake.catalog import registry
+
+    folder, joins, whole = str(tmp_path), [], sample.transactions
+    monkeypatch.setattr(registry.sample, "transactions", lambda s, f: joins.append(f) or whole(s, small))
+    rows = registry.scored(spark, folder)
+    assert len(joins) == 1 and rows.count() == whole(spark, small).count()

@@ -51,6 +51,19 @@ def test_median_of_nothing(spark):
     assert ranking.exact_median(spark.createDataFrame([], "amount double"), "amount", "m").first()["m"] is None
 
 
+def test_ranks_of_large_and_small_keys_agree(spark, monkeypatch):
+    """Keys around the bound of values that are put in order at once give what they gave by buckets."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "wide").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"),
+        ((F.col("id") * 7919) % 997 - 300.5).alias("v"))
+    median = {"middle": lambda n: F.floor((n + 1) / 2), "last": lambda n: n}
+    found = {}
+    for bound in (0, 40, 10**6):
+        monkeypatch.setattr(ranking, "ORDERED_AT_ONCE", bound)
+        found[bound] = sorted(map(tuple, ranking.order_statistics(rows, ["k"], "v", median).select("k", "statistic", "value").collect()))
+    assert found[0] == found[40] == found[10**6] and len(found[0]) == 2 * 51
+
+
 @pytest.mark.parametrize("amounts,avg,std,p95", [
     ([100], 100, 0, 100), ([100, 200], 150, 50, 100), ([10, 20, 30, 40, 50], 30, 14.14, 40),
     (list(range(1, 21)), 10.5, 5.77, 19), (list(range(1, 41)), 20.5, 11.54, 38)])

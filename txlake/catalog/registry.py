@@ -51,21 +51,19 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return spark.read.parquet(_paths[key])
 
 
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """All landed transactions, joined once for the profiles and the scores."""
+    return stored(spark, folder, "landed", lambda: sample.transactions(spark, folder))
+
+
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
     """The profile store built from all landed transactions."""
-    def build() -> DataFrame:
-        rows = stored(spark, folder, "profile-rows", lambda: profile_rows(sample.transactions(spark, folder)))
-        return build_profiles(rows)
-
-    return stored(spark, folder, "profiles", build)
+    return stored(spark, folder, "profiles", lambda: build_profiles(profile_rows(landed(spark, folder))))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """The history of scored transactions: every landed transaction through the scoring flow."""
-    def build() -> DataFrame:
-        return analyze(sample.transactions(spark, folder), profiles(spark, folder), F.col("timestamp"))
-
-    return stored(spark, folder, "scored", build)
+    return stored(spark, folder, "scored", lambda: analyze(landed(spark, folder), profiles(spark, folder), F.col("timestamp")))
 
 
 def text_time(column: str) -> object:

@@ -1,7 +1,7 @@
-"""Exact ranks and order statistics that never gather one key's rows in one task.
+"""Exact ranks and order statistics that never gather many values of one key in one task.
 
-Values are counted per key and per bucket of values, with partial counts before each shuffle. The
-bounded bucket counts tell which bucket holds the wanted rank, and only that bucket is put in order.
+Values are counted, with partial counts before the shuffle. A key of few values is put in order as it is. For others, values
+are counted per bucket: the bounded bucket counts tell which bucket holds the wanted rank, and only that bucket is put in order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from txlake.functions.ordering import magnitude_bucket
 # Buckets per power of two, as bits. One key has at most some two million buckets however many rows
 # it has, and a bucket spans 1/65536 of its value: below sixteen distinct cents for amounts under a million.
 BUCKET_BITS = 16
+# Distinct values of one key that a task may put in order.
+ORDERED_AT_ONCE = 100_000
 
 
 def order_statistics(
@@ -33,18 +35,39 @@ def order_statistics(
         values = values.filter(F.col(name).isNotNull())
     # Equal values become one row before anything is shuffled by key: a user whose amounts are mostly
     # the same leaves few rows.
-    counted = values.groupBy(*keys, "value").agg((F.sum("_of") if copies else F.count("*")).alias("_copies")).withColumn(
-        "_bucket", magnitude_bucket("value", BUCKET_BITS))
-    all_of_key, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")
+    counted = values.groupBy(*keys, "value").agg((F.sum("_of") if copies else F.count("*")).alias("_copies"))
+    if not keys:
+        return _found_by_buckets(counted, keys, ranks)
+    # Few by their size: each has its share of all values.
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("_values"))
+    large = F.broadcast(sizes.filter(F.col("_values") > ORDERED_AT_ONCE).select(*keys))
+    return _found_in_order(counted.join(large, keys, "left_anti"), keys, ranks).unionByName(
+        _found_by_buckets(counted.join(large, keys, "left_semi"), keys, ranks))
+
+
+def _places(ranks: dict[str, Callable[[Column], Column]], before: Column | int = 0) -> Column:
+    return F.array(*[
+        F.struct(F.lit(name).alias("statistic"), (rank(F.col("_total")) - before).alias("_place"))
+        for name, rank in ranks.items()])
+
+
+def _found_in_order(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    of_key = Window.partitionBy(*keys)
+    upto = F.sum("_copies").over(of_key.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumns({"_upto": upto, "_total": F.sum("_copies").over(of_key)})
+    return ranked.select(*keys, "value", "_upto", "_copies", F.inline(_places(ranks))).filter(
+        (F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_copies") < F.col("_place"))
+    ).select(*keys, "statistic", "value")
+
 
+def _found_by_buckets(counted: DataFrame, keys: list[str], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    counted = counted.withColumn("_bucket", magnitude_bucket("value", BUCKET_BITS))
+    all_of_key, in_order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_bucket")
     histogram = counted.groupBy(*keys, "_bucket").agg(F.sum("_copies").alias("_held")).withColumns({
         "_before": F.sum("_held").over(in_order) - F.col("_held"),
         "_total": F.sum("_held").over(all_of_key),
     })
-    places = F.array(*[
-        F.struct(F.lit(name).alias("statistic"), (rank(F.col("_total")) - F.col("_before")).alias("_place"))
-        for name, rank in ranks.items()])
-    wanted = histogram.select(*keys, "_bucket", "_held", F.inline(places)).filter(
+    wanted = histogram.select(*keys, "_bucket", "_held", F.inline(_places(ranks, F.col("_before")))).filter(
         (F.col("_place") >= 1) & (F.col("_place") <= F.col("_held"))).drop("_held")
 
     group = [*keys, "statistic"]
