@@ -6,7 +6,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from txlake.ml import features, forest
@@ -290,6 +290,27 @@ def test_boosting_rounds_read_points_not_rows(spark, labelled, monkeypatch):
     assert values[0] == values[1]
 
 
+def test_the_parts_of_a_split_do_not_rank_all_rows_again(spark, labelled):
+    for part in features.stratified_split(labelled, "label"):
+        assert "Window" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boosted_trees_are_walked_once_per_vector_of_bins(spark):
+    walked = []
+
+    class Trees:
+        def transform(self, rows):
+            walked.append(rows.count())
+            sums = F.aggregate(vector_to_array("bins"), F.lit(0.0), lambda a, b: a + b)
+            return rows.withColumn("probability", array_to_vector(F.array(1 - sums, sums)))
+
+    vectors = [[0.0] * 6 + [float(n % 3)] for n in range(30)] + [[33.0] + [0.0] * 6] * 5
+    binned = spark.createDataFrame(list(enumerate(vectors)), "id int, v array<double>").select("id", array_to_vector("v").alias("bins"))
+    got = FraudModel(None, Trees(), None).with_probability(binned)
+    assert {r.id: r.probability for r in got.collect()} == {n: sum(v) for n, v in enumerate(vectors)}
+    assert got.count() == 35 and set(walked) == {4}
+
+
 def test_edges_part_few_values_each_and_many_by_quantiles(spark, labelled):
     scaled = features.fit_features(labelled).transform(labelled)
     edges = features.learn_edges(scaled)

@@ -113,8 +113,8 @@ def ml_forest_shape(spark, folder):
 def ml_gbt(spark, folder):
     """Fraud probability of every row by the boosted trees: within [0, 1], and frauds apart from the rest by half the scale."""
     trained = model(spark, folder)
-    scored = trained.boosted.transform(trained.features.transform(labelled(spark, folder)))
-    scored = durable(scored.select("transaction_id", "label", vector_to_array("probability")[1].alias("probability")), "probabilities")
+    scored = trained.with_probability(trained.features.transform(labelled(spark, folder)))
+    scored = durable(scored.select("transaction_id", "label", "probability"), "probabilities")
     fraud = F.col("label") == 1
     apart = scored.select(F.avg(F.when(fraud, F.col("probability"))) - F.avg(F.when(~fraud, F.col("probability"))) > 0.5).scalar()
     return scored.select("transaction_id", "label", F.col("probability").between(0, 1).alias("in_unit"), apart.alias("separates"))

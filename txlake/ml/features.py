@@ -39,13 +39,14 @@ def stratified_split(rows: DataFrame, label: str, key: str = "transaction_id",
     """Train and test with the label's shares kept exactly, the same on every run.
 
     Rows are ordered by a hash of their key within each label; the cut is an order statistic, so no
-    label is gathered in one task. The cuts, one per label, come as one map; nothing is joined on the label.
+    label is gathered in one task. The cuts, one per label, are stored as one map, so that the two parts don't rank all
+    rows again, each for itself; nothing is joined on the label.
     """
     place = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 12), 16, 10).cast("double")
     placed = rows.withColumn("_place", place)
     cut = order_statistic(
         placed, [label], "_place", lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(train_share) + 0.5)), "_cut")
-    cuts = cut.agg(F.map_from_entries(F.collect_list(F.struct(label, "_cut")))).scalar()
+    cuts = durable(cut.agg(F.map_from_entries(F.collect_list(F.struct(label, "_cut"))).alias("cuts")), "cuts").scalar()
     marked = placed.filter(F.col(label).isNotNull()).withColumn("_train", F.col("_place") <= F.try_element_at(cuts, F.col(label)))
     return marked.filter("_train").select(*rows.columns), marked.filter("not _train").select(*rows.columns)
 

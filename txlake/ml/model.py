@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import add
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from txlake.functions.risk import MODEL_VERSION, model_score_with_floor, policy_columns
 from txlake.functions.values import round_half_up
@@ -34,11 +36,19 @@ class FraudModel:
 
     def raw_scores(self, rows: DataFrame) -> DataFrame:
         """Rows with ``anomaly`` (higher is stranger) and ``probability`` of fraud."""
-        scored = self.boosted.transform(self.features.transform(rows))
-        return scored.withColumns({
-            "anomaly": anomaly_score(self.forest),
-            "probability": vector_to_array("probability")[1],
-        }).drop("features", "bins", "rawPrediction", "prediction", *[f"{n}_scaled" for n in FEATURES])
+        scored = self.with_probability(self.features.transform(rows))
+        return scored.withColumn("anomaly", anomaly_score(self.forest)).drop("features", "bins", *[f"{n}_scaled" for n in FEATURES])
+
+    def with_probability(self, binned: DataFrame) -> DataFrame:
+        """Add ``probability`` of fraud by the boosted trees.
+
+        The trees see nothing of a row but its bins, so they are walked once per vector of bins that occurs, and every
+        row takes what its vector got. How many vectors there are is bounded by the bins, not by the rows.
+        """
+        numbered = binned.withColumn("_point", point_number("bins"))
+        points = numbered.select("_point", "bins").dropDuplicates(["_point"])
+        scored = durable(self.boosted.transform(points).select("_point", vector_to_array("probability")[1].alias("probability")), "point-scores")
+        return numbered.drop("probability").join(scored, "_point").drop("_point")
 
     def ensemble(self, rows: DataFrame, normalize: str = "batch") -> DataFrame:
         """Add ``model_score`` = 0.4 * anomaly share + 0.6 * probability.
@@ -129,6 +139,12 @@ def class_weight(train: DataFrame, label: str) -> float:
     return row["negative"] / max(row["positive"], 1)
 
 
+def point_number(bins: str) -> Column:
+    """A vector of bins as one number: bins are counted from 0, and with the one of NaN there are fewer than 64 a feature."""
+    places = vector_to_array(bins)
+    return reduce(add, [F.shiftleft(F.get(places, F.lit(i)).cast("long"), 6 * i) for i in range(len(FEATURES))])
+
+
 def training_points(binned: DataFrame, label: str) -> DataFrame:
     """Rows of equal bins and label as one point with its number of rows in ``copies``.
 
