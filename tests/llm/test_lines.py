@@ -64,3 +64,12 @@ def test_thousands_of_variants_and_very_many_lines(spark):
     (row,) = line_dedup.remove_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert (row.n_lines, row.n_removed) == (100_000, 50_000)
     assert row.text == "\n".join(f"number{n} only" for n in range(50_000))
+
+
+def test_only_lines_with_other_white_space_are_translated(spark):
+    texts = ["a b", "a\tb", "\x0ba  b\r", "\x0c \t", "", "é\tü b"]
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, content string")
+    words = frame.select("n", line_dedup.line_words().alias("words"))
+    assert [r.words for r in words.orderBy("n").collect()] == [["a", "b"], ["a", "b"], ["a", "b"], [], [], ["é", "ü", "b"]]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("translate(")

@@ -42,7 +42,16 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def line_words(content: str = "content") -> Column:
     """Words of a line: runs without ASCII white space."""
-    return F.array_remove(F.split(F.translate(content, "\t\x0b\x0c\r", "    "), " ", -1), "")
+    return F.array_remove(F.split(_spaced(content), " ", -1), "")
+
+
+def _spaced(content: str = "content") -> Column:
+    """The line with spaces for its other white space. Translating goes character by character, so it is left to lines that need it."""
+    other = "\t\x0b\x0c\r"
+    needs = F.lit(False)
+    for mark in other:
+        needs = needs | F.contains(F.col(content), F.lit(mark))
+    return F.when(needs, F.translate(content, other, "    ")).otherwise(F.col(content))
 
 
 def rarity(lines: DataFrame) -> DataFrame:
@@ -104,7 +113,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     n = F.size("keys")
     prefix = F.slice("keys", 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
     # The test for words looks at the text: one on the keys would be pushed down and make them a second time.
-    worded = lines.where(F.length(F.translate("content", " \t\x0b\x0c\r", "")) > 0)
+    worded = lines.where(F.trim(_spaced()) != "")
     sets = durable(_keyed(worded, counts).select(
         "doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"),
         F.xxhash64("keys").alias("set"), F.hash("keys").alias("check")), "sets")
