@@ -24,6 +24,7 @@ EPOCHS = 6
 UNKNOWN = "und"
 MIN_SCORE = 0.4
 _BATCH = 64
+_ROWS = 512  # whose texts a task holds as Python strings at a time
 _SEED = 7
 _LETTER = regex.compile(r"\p{L}")
 _LETTER_BYTE = np.zeros(256, np.float32)
@@ -176,7 +177,7 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     names = docs.schema.names
 
     def work(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             table = pa.Table.from_batches([batch])
             texts = table.column(names.index("text")).cast(pa.string()).to_pylist()
             keep = np.zeros(len(texts), bool)
