@@ -63,13 +63,11 @@ def not_one_digit(base9: Column) -> Column:
     return F.when(base9 % 111_111_111 == 0, (base9 + 12) % 10**9).otherwise(base9)
 
 
-def _grouped(digits: Column, sizes: list[int], marks: list[str]) -> Column:
-    """Digits cut into groups of these sizes, with a mark between two."""
-    parts, at = [], 1
-    for size, mark in zip(sizes, [*marks, ""]):
-        parts += [F.substring(digits, at, size), F.lit(mark)]
-        at += size
-    return F.concat(*parts[:-1])
+def _marked(digits: Column, marks: dict[int, str]) -> Column:
+    """Digits with marks put in at these places; the digits are named once, so that plans stay small."""
+    for place, mark in marks.items():
+        digits = F.overlay(digits, F.lit(mark), F.lit(place), F.lit(0))
+    return digits
 
 
 def stand_in_document(seed: Column | str) -> Column:
@@ -79,13 +77,13 @@ def stand_in_document(seed: Column | str) -> Column:
     first = _check_digit(reduce(add, [d * (10 - i) for i, d in enumerate(digits)]))
     second = _check_digit(reduce(add, [d * (11 - i) for i, d in enumerate(digits)]) + first * 2)
     number = F.lpad((base9 * 100 + first * 10 + second).cast("string"), 11, "0")
-    return _grouped(number, [3, 3, 3, 2], [".", ".", "-"])
+    return _marked(number, {4: ".", 8: ".", 12: "-"})
 
 
 def stand_in_card(seed: Column | str) -> Column:
     seed = as_column(seed)
     d = F.concat(_pick(seed, "prefix", CARD_PREFIXES), _digits_of(seed, "card", 15))
-    return _grouped(d, [4, 4, 4, 4], [" ", " ", " "])
+    return _marked(d, {5: " ", 10: " ", 15: " "})
 
 
 def stand_in_name(seed: Column | str) -> Column:
