@@ -1,3 +1,5 @@
+import random
+
 from tests.llm.conftest import ROWS
 from txlake.llm import line_dedup
 
@@ -73,3 +75,28 @@ def test_only_lines_with_other_white_space_are_translated(spark):
     assert [r.words for r in words.orderBy("n").collect()] == [["a", "b"], ["a", "b"], ["a", "b"], [], [], ["é", "ü", "b"]]
     plan = words._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("CASE WHEN") < plan.index("translate(")
+
+
+def test_long_lines_of_other_words_are_no_candidates(spark, monkeypatch):
+    """Lines of 150 words of 400 differ in more words than 64 bits can tell; none of them needs its whole set compared."""
+    pick = random.Random(7)
+    rows = [(n, " ".join(pick.sample([f"w{k:03}" for k in range(400)], 150))) for n in range(40)]
+    sizes, durable = {}, line_dedup.durable
+
+    def counted(frame, label):
+        stored = durable(frame, label)
+        sizes[label] = sizes.get(label, 0) + stored.count()
+        return stored
+
+    monkeypatch.setattr(line_dedup, "durable", counted)
+    assert line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() == []
+    assert sizes["wanted"] == 0
+
+
+def test_similar_lines_on_either_side_of_long(spark):
+    """Sets just under and over the size from which a second half of the bits is made."""
+    words = [f"v{k}" for k in range(90)]
+    rows = [(n, " ".join(words[:size])) for n, size in enumerate((60, 71, 72, 73, 89, 57))]
+    rows += [(10 + n, " ".join(words[:size - 8] + [f"u{n}x{k}" for k in range(8)])) for n, size in enumerate((66, 72, 80))]
+    found = {(r.doc_id, r.line) for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == later([(doc, 0, text) for doc, text in rows])

@@ -3,17 +3,16 @@
 A line is the set of its words. With the words of every line in one order, rarest first, two sets of Jaccard similarity
 ``t`` or more share a word among the first ``n - ceil(t n) + 1`` of each (prefix filter). Pairs that meet there must have
 sizes within ``t`` of each other (length filter), places that leave enough words to share (positional filter), and a
-64-bit parity of their words that differs in no more bits than the sets may differ in words. The few that are left are
-verified on the whole sets.
+parity of their words, 64 bits or 128 for long lines, that differs in no more bits than the sets may differ in words. The
+few that are left are verified on the whole sets.
 
-Rarity is counted over all lines, in ``RARITY`` buckets of word fingerprints; any order gives the same result, a good one
-gives fewer pairs. Lines of equal sets are one. So that thousands of variants of one line don't meet pairwise, lines are
-first compared with the earliest that shares a run of prefix words; only lines which that leaves open go through the join.
-The join itself gives no pairs: only whether some earlier line is similar matters, so it is a semi-join with the comparison
-in its condition, and gives a line at most once per prefix word.
+Rarity is counted over all lines, in ``RARITY`` buckets of words, as a power of two; of equally rare words the longer come
+first. Any order gives the same result, a good one gives fewer pairs. Lines of equal sets are one. The join gives no pairs:
+only whether some earlier line is similar matters, so it is a semi-join with the filters in its condition, and gives a line
+at most once per prefix word.
 
-Words are compared by name: 44 bits of their hash behind their rarity. Two different words of one line pair share a name with
-a probability of 2^-44 times the pairs of words.
+Words are compared by name: 52 bits of their hash behind their rarity and length. Two different words of one line pair share
+a name with a probability of 2^-52 times the pairs of words at most.
 """
 
 from __future__ import annotations
@@ -23,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from txlake.llm.schema_guard import durable, fresh, pick
 
 SIMILARITY = 0.8
-RARITY = 1 << 20
-_MOST = (1 << 18) - 1
-_HASH_BITS = 44
-_RUN = 3
+RARITY = 1 << 16
+_MOST = 31
+_NAME_BITS = 58
+_MARKS = 1 << 18
+_LONG = 72
+_TWIN = -1
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -54,24 +55,39 @@ def _spaced(content: str = "content") -> Column:
     return F.when(needs, F.translate(content, other, "    ")).otherwise(F.col(content))
 
 
+def _dense(sparse: DataFrame, size: int, value: str) -> DataFrame:
+    """One row: column ``value`` of every ``bucket`` below ``size`` as an array, 0 where there is none."""
+    every = sparse.sparkSession.range(size).select(F.col("id").cast("int").alias("bucket")).join(sparse, "bucket", "left").select(
+        "bucket", F.coalesce(value, F.lit(0)).alias(value))
+    return every.agg(F.array_sort(F.collect_list(F.struct("bucket", value))).getField(value).alias("values"))
+
+
+def _name(word: Column) -> Column:
+    """A word's number, longer words first: 6 bits of its length, then 57 of its hash."""
+    short = F.lit(63) - F.least(F.octet_length(word), F.lit(63))
+    return F.shiftleft(short.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 7))
+
+
+def _bucket(name: Column) -> Column:
+    return name.bitwiseAND(RARITY - 1).cast("int")
+
+
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: for every bucket of word fingerprints how often its words occur. Its size is fixed."""
-    counts = lines.select(F.explode(line_words()).alias("word")).groupBy(
-        F.xxhash64("word").bitwiseAND(RARITY - 1).cast("int").alias("bucket")).count()
-    dense = lines.sparkSession.range(RARITY).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select(
-        "bucket", F.coalesce("count", F.lit(0)).alias("n"))
-    return dense.agg(F.array_sort(F.collect_list(F.struct("bucket", F.least("n", F.lit(_MOST)).cast("int").alias("n")))).getField("n").alias("counts"))
+    """One row: for every bucket of words how often they occur, as a power of two above ``_NAME_BITS``. Its size is fixed."""
+    counts = lines.select(F.explode(line_words()).alias("word")).groupBy(_bucket(F.shiftrightunsigned(F.xxhash64("word"), 7)).alias("bucket")).count()
+    power = F.least(F.floor(F.log2("count")), F.lit(_MOST)).cast("long")
+    return _dense(counts.select("bucket", F.shiftleft(power, _NAME_BITS).alias("power")), RARITY, "power")
 
 
 def word_keys(words: Column, counts: Column) -> Column:
-    """Distinct words as sorted numbers: how frequent, then a fingerprint."""
-    def key(hashed: Column) -> Column:
-        often = F.get(counts, hashed.bitwiseAND(RARITY - 1).cast("int")).cast("long")
-        return F.shiftleft(often, _HASH_BITS).bitwiseOR(F.shiftrightunsigned(hashed, 64 - _HASH_BITS))
+    """Distinct words as sorted numbers: how frequent, then the longer, then a fingerprint."""
+    def key(name: Column) -> Column:
+        # Never null, and said so: numbers without nulls are sorted as they are.
+        return F.coalesce(F.get(counts, _bucket(name)), F.lit(0)).bitwiseOR(F.shiftrightunsigned(name, 63 - _NAME_BITS))
 
-    # Two steps, as a function of an array's elements computes what it names twice twice.
-    hashes = F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    # Two steps, as a function of an array's elements computes what it names twice twice. What stands inside of one isn't
+    # compiled, so equal words are taken out last.
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, _name), key)))
 
 
 def parity(keys: Column) -> Column:
@@ -79,25 +95,27 @@ def parity(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, key: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(63).cast("int"))))
 
 
+def odd_parity(keys: Column) -> Column:
+    """The same of every other word only, for lines of ``_LONG`` words; 0 for others. With it, the words fall on 128 bits:
+    sets that may differ in many words would pass for similar on 64 bits by chance."""
+    def flip(bits: Column, key: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.shiftright(key, 6).bitwiseAND(1), key.bitwiseAND(63).cast("int")))
+
+    return F.when(F.size(keys) >= _LONG, F.aggregate(keys, F.lit(0).cast("long"), flip)).otherwise(F.lit(0).cast("long"))
+
+
 def least_shared(a: Column, b: Column, similarity: float) -> Column:
     """Words that sets of these sizes share at ``similarity``."""
     return F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-9)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
-    """Ids of the later lines of pairs (``doc_id``, ``line``, ``other_doc``, ``other_line``) that are similar.
-
-    Whole sets are made anew for the few lines that pairs need, which takes less disk than to keep those of all lines.
-    """
-    key = ["doc_id", "line"]
-    wanted = pairs.select(*key).unionByName(pairs.select(F.col("other_doc").alias("doc_id"), F.col("other_line").alias("line"))).distinct()
-    # Merge: lines are shuffled at any size, so small inputs show what large ones cost.
-    wanted = durable(_keyed(lines.join(wanted.hint("merge"), key, "left_semi"), counts), "wanted")
-    later = pairs.join(wanted, key)
-    other = wanted.select(F.col("doc_id").alias("other_doc"), F.col("line").alias("other_line"), F.col("keys").alias("other_keys"))
-    shared = F.size(F.array_intersect("keys", "other_keys"))
-    return later.join(other, ["other_doc", "other_line"]).where(
-        shared >= least_shared(F.size("keys"), F.size("other_keys"), similarity)).select(*key).distinct()
+def _maybe(df: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``df`` without most rows whose key isn't among ``wanted``, without a shuffle: a table of bits, whose size is fixed, tells
+    them. The more keys are wanted, the more others stay."""
+    hashed = F.xxhash64(*key)
+    bucket, bit = hashed.bitwiseAND(_MARKS - 1).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(hashed, 58).cast("int"))
+    marks = durable(_dense(wanted.groupBy(bucket.alias("bucket")).agg(F.bit_or(bit).alias("bits")), _MARKS, "bits"), "marks")
+    return df.withColumn("marks", marks.scalar()).where(F.get("marks", bucket).bitwiseAND(bit) != 0).drop("marks")
 
 
 def _keyed(lines: DataFrame, counts: DataFrame) -> DataFrame:
@@ -114,77 +132,83 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     prefix = F.slice("keys", 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
     # The test for words looks at the text: one on the keys would be pushed down and make them a second time.
     worded = lines.where(F.trim(_spaced()) != "")
-    sets = durable(_keyed(worded, counts).select(
-        "doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"),
-        F.xxhash64("keys").alias("set"), F.hash("keys").alias("check")), "sets")
-    order = F.struct("doc_id", "line")
-    same = ["set", "check", "n"]
-    heads = sets.groupBy(*same).agg(F.min(order).alias("head"), F.count("*").alias("copies")).where("copies > 1")
-    twins = durable(sets.select("doc_id", "line", *same).join(heads, same).where(order != F.col("head")).select("doc_id", "line"), "twins")
-    short = sets.drop("set", "check").join(twins, ["doc_id", "line"], "left_anti")
-
-    runs = short.select("doc_id", "line", F.explode(F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("prefix") - _RUN, F.lit(0)), F.lit(_RUN)),
-        lambda at: F.xxhash64(F.slice("prefix", at + 1, _RUN)))).alias("run"))
-    first = runs.groupBy("run").agg(F.min(order).alias("head"), F.count("*").alias("n")).where("n > 1")
-    pairs = runs.join(first, "run").where(order != F.col("head")).select(
-        "doc_id", "line", F.col("head.doc_id").alias("other_doc"), F.col("head.line").alias("other_line")).distinct()
-    found = durable(_verified(durable(pairs, "first-pairs"), lines, counts, similarity).withColumn("found", F.lit(True)), "found")
-
-    # Written first: the joins below then read plain rows, which are shuffled once for all their sides.
-    marked = durable(short.join(found, ["doc_id", "line"], "left").select(
-        "doc_id", "line", "n", "parity", F.col("found").isNull().alias("open"), F.posexplode("prefix").alias("at", "word")), "words")
-    met = durable(_meetings(marked, similarity), "meetings")
-    more = _with_similar(met, lines, counts, similarity)
+    sets = _keyed(worded, counts).select(
+        "doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"), odd_parity(F.col("keys")).alias("odd"),
+        F.xxhash64("keys").alias("set"), F.hash("keys").alias("check"))
+    # Of lines of equal sets the first one goes on; each other has one row, with a word that is no name. Equal lines are sorted
+    # in one task, outside its memory if they are many, and read one by one.
+    copy = F.row_number().over(Window.partitionBy("set", "check", "n").orderBy("doc_id", "line"))
+    # Written first: the joins below then read plain rows, which are shuffled once for both their sides.
+    words = durable(sets.withColumn("copy", copy).select(
+        "doc_id", "line", "n", "parity", "odd",
+        F.posexplode(F.when(F.col("copy") == 1, F.col("prefix")).otherwise(F.array(F.lit(_TWIN).cast("long")))).alias("at", "word")), "words")
+    twins = words.where(F.col("word") == _TWIN).select("doc_id", "line")
+    more = _with_similar(*_meetings(words.where(F.col("word") != _TWIN), similarity), lines, counts, similarity)
     # Written, so that what these joins shuffled is gone before whole texts are.
-    return durable(twins.unionByName(found.select("doc_id", "line")).unionByName(more), "similar")
+    return durable(twins.unionByName(more), "similar")
 
 
 def _renamed(df: DataFrame) -> DataFrame:
-    return df.select("word", *[F.col(c).alias(f"other_{c}") for c in df.columns if c != "word"])
+    return df.select(*[F.col(c).alias(f"other_{c}") for c in df.columns])
 
 
 def _earlier() -> Column:
     return (F.col("other_doc_id") < F.col("doc_id")) | (F.col("other_doc_id") == F.col("doc_id")) & (F.col("other_line") < F.col("line"))
 
 
-def _meetings(marked: DataFrame, similarity: float) -> DataFrame:
-    """Words where an open line meets an earlier one that the filters leave, of the open lines (``mine``) and of the earlier ones.
+def _meetings(words: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Words where a line meets an earlier one that the filters leave: those of the later lines and those of the earlier ones.
 
-    Two semi-joins: a line is given once per word, whatever the number of lines that it meets there. All four sides are the
-    same rows, so they are shuffled once; whether a line is open stands beside its size for that, in one number.
+    Two semi-joins: a line is given once per word, whatever the number of lines that it meets there. The second one looks
+    only for the lines that the first one found.
     """
-    mark = (F.col("n") * 2 + F.col("open").cast("int")).alias("mark")
     # None of them is null; said so, no side gets a filter of its own.
-    rows = marked.select("word", "doc_id", "line", mark, "parity", "at")
-    rows = rows.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns])
+    rows = words.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in ("word", "doc_id", "line", "n", "parity", "odd", "at")])
+
+    def fits(mine: DataFrame, other: DataFrame) -> Column:
+        n, other_n = mine["n"], other["other_n"]
+        needed = least_shared(n, other_n, similarity)
+        differs, odd = mine["parity"].bitwiseXOR(other["other_parity"]), mine["odd"].bitwiseXOR(other["other_odd"])
+        bits = F.when(F.least(n, other_n) >= _LONG, F.bit_count(differs.bitwiseXOR(odd)) + F.bit_count(odd)).otherwise(F.bit_count(differs))
+        return (mine["word"] == other["other_word"]) & _earlier() & (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
+            F.least(n - mine["at"], other_n - other["other_at"]) >= needed) & (
+            bits <= n + other_n - 2 * needed)
+
     other = _renamed(rows)
-    n, other_n = F.shiftright("mark", 1), F.shiftright("other_mark", 1)
-    needed = least_shared(n, other_n, similarity)
-    # Of both sides, or it would be pushed below one of them.
-    is_open = F.when(F.col("other_mark") > 0, F.col("mark").bitwiseAND(1) == 1)
-    fits = (rows["word"] == other["word"]) & is_open & _earlier() & (
-        F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
-        F.least(n - F.col("at"), other_n - F.col("other_at")) >= needed) & (
-        F.bit_count(F.col("parity").bitwiseXOR(F.col("other_parity"))) <= n + other_n - 2 * needed)
-    later = rows.join(other, fits, "left_semi").select("word", "doc_id", "line", F.lit(True).alias("mine"))
-    earlier = other.join(rows, fits, "left_semi").select("word", F.col("other_doc_id").alias("doc_id"), F.col("other_line").alias("line"), F.lit(False).alias("mine"))
-    return later.unionByName(earlier)
-
-
-def _with_similar(met: DataFrame, lines: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
-    """Ids of the open lines of which an earlier line, met at one of their words, is similar: whole sets, compared in the join,
-    which gives a line once per word at most."""
+    later = durable(rows.join(other, fits(rows, other), "left_semi"), "later")
+    other = _renamed(_maybe(rows, later, ["word"]))
+    earlier = durable(other.join(later, fits(later, other), "left_semi").select(
+        F.col("other_word").alias("word"), F.col("other_doc_id").alias("doc_id"), F.col("other_line").alias("line")), "earlier")
+    return later.select("word", "doc_id", "line"), earlier
+
+
+def _with_similar(later: DataFrame, earlier: DataFrame, lines: DataFrame, counts: DataFrame, similarity: float) -> DataFrame:
+    """Ids of the later lines of which an earlier line, met at one of their words, is similar: whole sets are compared.
+
+    First with the first line met at each word, which settles most lines that have many words with their like in common. What
+    that leaves is compared with all, in a join that gives a line once per word at most.
+    """
     key = ["doc_id", "line"]
-    wanted = met.select(*key).distinct()
-    sets = durable(_keyed(lines.join(wanted.hint("merge"), key, "left_semi"), counts), "wanted")
-    whole = met.join(sets, key)
-    mine = whole.where("mine").select("word", *key, "keys")
-    other = _renamed(whole.where("not mine").select("word", *key, "keys"))
+    wanted = durable(later.select(*key).unionByName(earlier.select(*key)).distinct(), "wanted-ids")
+    # Merge: lines are shuffled at any size, so small inputs show what large ones cost.
+    sets = durable(_keyed(_maybe(lines, wanted, key).join(wanted.hint("merge"), key, "left_semi"), counts), "wanted")
+    heads = earlier.groupBy("word").agg(F.min(F.struct(*key)).alias("head")).select(
+        "word", F.col("head.doc_id").alias("other_doc_id"), F.col("head.line").alias("other_line"))
+    pairs = later.join(heads, "word").where(_earlier()).drop("word").distinct()
+    others = _renamed(sets)
+    found = durable(pairs.join(sets, key).join(others, ["other_doc_id", "other_line"]).where(_alike(similarity)).select(*key).distinct(), "found")
+
+    left = durable(later.join(found, key, "left_anti"), "left")
+    mine = left.join(sets, key)
+    met = _renamed(earlier.join(left.select("word").distinct(), "word", "left_semi").join(sets, key))
+    similar = (mine["word"] == met["other_word"]) & _earlier() & _alike(similarity)
+    return found.unionByName(mine.join(met, similar, "left_semi").select(*key).distinct())
+
+
+def _alike(similarity: float) -> Column:
     n, other_n = F.size("keys"), F.size("other_keys")
-    similar = (mine["word"] == other["word"]) & _earlier() & (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
+    return (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
         F.size(F.array_intersect("keys", "other_keys")) >= least_shared(n, other_n, similarity))
-    return mine.join(other, similar, "left_semi").select(*key).distinct()
 
 
 def remove_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
