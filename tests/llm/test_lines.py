@@ -100,3 +100,21 @@ def test_similar_lines_on_either_side_of_long(spark):
     rows += [(10 + n, " ".join(words[:size - 8] + [f"u{n}x{k}" for k in range(8)])) for n, size in enumerate((66, 72, 80))]
     found = {(r.doc_id, r.line) for r in line_dedup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == later([(doc, 0, text) for doc, text in rows])
+
+
+def test_other_white_space_is_looked_for_once_and_bits_come_first(spark, monkeypatch):
+    """Each scan of a line and each test of a pair counts; lines of other white space only, however often, stay."""
+    rows = [(n, f"\t\x0b\n\r\n \na b\tc d e{n % 2}\nf{n}\tg") for n in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    plans, durable = {}, line_dedup.durable
+
+    def kept(frame, label):
+        plans.setdefault(label, frame._jdf.queryExecution().optimizedPlan().toString())
+        return durable(frame, label)
+
+    monkeypatch.setattr(line_dedup, "durable", kept)
+    found = {(r.doc_id, r.line) for r in line_dedup.similar_lines(frame).collect()}
+    assert found == later([(doc, n, line) for doc, text in rows for n, line in enumerate(text.split("\n"))]) == {(2, 3), (3, 3)}
+    assert plans["rarity"].count("Contains(") == 0 and plans["words"].count("Contains(") == 4
+    condition = plans["later"][plans["later"].index("Join LeftSemi"):].split("\n")[0]
+    assert condition.index("bit_count(") < condition.index("other_doc_id")

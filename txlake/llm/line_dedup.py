@@ -73,8 +73,11 @@ def _bucket(name: Column) -> Column:
 
 
 def rarity(lines: DataFrame) -> DataFrame:
-    """One row: for every bucket of words how often they occur, as a power of two above ``_NAME_BITS``. Its size is fixed."""
-    counts = lines.select(F.explode(line_words()).alias("word")).groupBy(_bucket(F.shiftrightunsigned(F.xxhash64("word"), 7)).alias("bucket")).count()
+    """One row: for every bucket of words how often they occur, as a power of two above ``_NAME_BITS``. Its size is fixed.
+
+    Only spaces end words here: rarity orders words and decides nothing, so lines aren't searched for other white space.
+    """
+    counts = lines.select(F.explode(F.split("content", " ", -1)).alias("word")).groupBy(_bucket(F.shiftrightunsigned(F.xxhash64("word"), 7)).alias("bucket")).count()
     power = F.least(F.floor(F.log2("count")), F.lit(_MOST)).cast("long")
     return _dense(counts.select("bucket", F.shiftleft(power, _NAME_BITS).alias("power")), RARITY, "power")
 
@@ -130,8 +133,9 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     counts = durable(rarity(lines), "rarity")
     n = F.size("keys")
     prefix = F.slice("keys", 1, (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
-    # The test for words looks at the text: one on the keys would be pushed down and make them a second time.
-    worded = lines.where(F.trim(_spaced()) != "")
+    # Looks at a line's ends only; a test on the keys would be pushed down and make them a second time. Lines of other white
+    # space go below, where they have no word.
+    worded = lines.where(F.trim("content") != "")
     sets = _keyed(worded, counts).select(
         "doc_id", "line", n.alias("n"), prefix.alias("prefix"), parity(F.col("keys")).alias("parity"), odd_parity(F.col("keys")).alias("odd"),
         F.xxhash64("keys").alias("set"), F.hash("keys").alias("check"))
@@ -141,7 +145,7 @@ def similar_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # Written first: the joins below then read plain rows, which are shuffled once for both their sides.
     words = durable(sets.withColumn("copy", copy).select(
         "doc_id", "line", "n", "parity", "odd",
-        F.posexplode(F.when(F.col("copy") == 1, F.col("prefix")).otherwise(F.array(F.lit(_TWIN).cast("long")))).alias("at", "word")), "words")
+        F.posexplode(F.when(F.col("copy") == 1, F.col("prefix")).when(F.col("n") > 0, F.array(F.lit(_TWIN).cast("long")))).alias("at", "word")), "words")
     twins = words.where(F.col("word") == _TWIN).select("doc_id", "line")
     more = _with_similar(*_meetings(words.where(F.col("word") != _TWIN), similarity), lines, counts, similarity)
     # Written, so that what these joins shuffled is gone before whole texts are.
@@ -170,7 +174,9 @@ def _meetings(words: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
         needed = least_shared(n, other_n, similarity)
         differs, odd = mine["parity"].bitwiseXOR(other["other_parity"]), mine["odd"].bitwiseXOR(other["other_odd"])
         bits = F.when(F.least(n, other_n) >= _LONG, F.bit_count(differs.bitwiseXOR(odd)) + F.bit_count(odd)).otherwise(F.bit_count(differs))
-        return (mine["word"] == other["other_word"]) & _earlier() & (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
+        # First what settles nearly all pairs: half of the bits, in no more places than ``needed`` leaves at any sizes.
+        unlike = (1 - similarity) / (1 + similarity)
+        return (mine["word"] == other["other_word"]) & (F.bit_count(differs) <= (n + other_n) * unlike + 1e-6) & _earlier() & (F.least(n, other_n) >= F.greatest(n, other_n) * similarity - 1e-9) & (
             F.least(n - mine["at"], other_n - other["other_at"]) >= needed) & (
             bits <= n + other_n - 2 * needed)
 
