@@ -17,7 +17,7 @@ from txlake.plans.profile_batch import run_profile_batch
 from txlake.plans.scoring import analyze
 from txlake.plans.serving import ServingView
 from txlake.schemas import SCORED_TRANSACTION, USER_PROFILE
-from txlake.session import scratch_path, scratch_root
+from txlake.session import durable, scratch_path, scratch_root
 from txlake.sinks.keyed import KeyedTable
 from txlake.sinks.lake import lake_readiness
 from txlake.sinks.layout import LakeLayout
@@ -475,3 +475,30 @@ def test_profiles_and_scores_join_the_source_once(spark, tmp_path, small, monkey
     monkeypatch.setattr(registry.sample, "transactions", lambda s, f: joins.append(f) or whole(s, small))
     rows = registry.scored(spark, folder)
     assert len(joins) == 1 and rows.count() == whole(spark, small).count()
+
+
+def tables_made(spark, folder, name, monkeypatch):
+    """The keyed tables that a query makes, and what it stores on the way to them."""
+    from txlake.catalog import lake
+    from txlake.plans import profile_state
+    from txlake.sinks import keyed
+
+    made, staged, whole = [], [], keyed.durable
+
+    def noted(*args):
+        made.append(KeyedTable(*args))
+        return made[-1]
+
+    monkeypatch.setattr(keyed, "durable", lambda df, label: staged.append(label) or whole(df, label))
+    monkeypatch.setattr(lake, "KeyedTable", noted)
+    monkeypatch.setattr(profile_state, "KeyedTable", noted)
+    getattr(lake, name)(spark, folder)
+    return made, staged
+
+
+def test_store_history_writes_new_documents_only(spark, small, monkeypatch):
+    """Early and late documents are written once, without being stored on the way; those that come again write nothing."""
+    (store,), staged = tables_made(spark, small, "store_history", monkeypatch)
+    assert len(store.folder.names("data")) == 2 and not staged
+    ids = store.read().select("transaction_id")
+    assert ids.count() == ids.distinct().count() == sample.transactions(spark, small).select("transaction_id").distinct().count()

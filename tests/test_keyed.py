@@ -102,3 +102,31 @@ def test_a_lost_race(spark, monkeypatch):
     monkeypatch.setattr(KeyedTable, "_write", rivalled("a", 9))
     with pytest.raises(CommitConflict):
         store.upsert(rows(spark, ["a"], 9))
+
+
+def test_insert_by_stored_keys(spark, monkeypatch):
+    """Rows that are unique already aren't stored on the way; null keys come in each time; known keys alone write nothing."""
+    store, staged, whole = table(spark), [], keyed.durable
+    monkeypatch.setattr(keyed, "durable", lambda df, label: staged.append(label) or whole(df, label))
+    first, more = rows(spark, ["a", "b"], 1), rows(spark, ["b", "c", None], 2)
+    assert store.insert(first, keys=first) == 1 and store.insert(more, keys=more) == 2
+    files = store.folder.names("data")
+    assert store.insert(first, keys=first) == 2 and store.folder.names("data") == files and not staged
+    assert content(store) == {"a": (1, "x"), "b": (1, "x"), "c": (2, "x"), None: (2, "x")} and store.read().count() == 4
+    # The same as rows that come in any order and in several copies.
+    other = table(spark)
+    for part in (first, more, first):
+        other.insert(part.unionByName(part.filter("id is not null")))
+    assert content(other) == content(store)
+
+
+def test_dealt_rows_fill_few_files(spark):
+    """A task of rows dealt by the key meets few buckets."""
+    store = table(spark, 8)
+    many = spark.range(4000).select(F.format_string("k%05d", "id").alias("id"), F.lit(1).cast("long").alias("n"), F.lit("x").alias("note"))
+    dealt = many.repartition(16, "id")
+    store.insert(dealt, keys=many)
+    files = store.files()[1].collect()
+    assert len(files) == 16 and len({r.bucket for r in files}) == 8 and sum(r.rows for r in files) == 4000
+    assert store.upsert(rows(spark, ["k00100"], 2)) == 2 and store.read().count() == 4000
+    assert [r.n for r in store.of_key("k00100").collect()] == [2] and store.of_key("z").isEmpty()

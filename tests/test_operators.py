@@ -64,6 +64,28 @@ def test_ranks_of_large_and_small_keys_agree(spark, monkeypatch):
     assert found[0] == found[40] == found[10**6] and len(found[0]) == 2 * 51
 
 
+def test_ranks_of_small_keys_take_one_shuffle(spark):
+    """Rows of a key are dealt once: counted and put in order by the task that then holds them."""
+    rows = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").cast("double").alias("v"))
+    few, _ = ranking.few_and_many(rows, ["k"])
+    plan = ranking._found_in_order(few.withColumnRenamed("v", "value").groupBy("k", "value").agg(F.count("*").alias("_copies")), ["k"], {"last": lambda n: n})
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("REPARTITION_BY_COL") == 1 and text.count("ENSURE_REQUIREMENTS") == 1, "the sizes have the other"
+    assert sorted(r["value"] for r in plan.collect()) == [93.0, 94.0, 95.0, 96.0, 97.0, 98.0, 99.0]
+
+
+def test_tidy_restores_the_setting(spark):
+    from txlake import session
+
+    before = spark.conf.get(session._CLEAN_UP)
+    one, two = session.tidy(spark), session.tidy(spark)
+    one.__enter__(), two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(session._CLEAN_UP) == "true", "another thread may still be inside"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(session._CLEAN_UP) == before
+
+
 @pytest.mark.parametrize("amounts,avg,std,p95", [
     ([100], 100, 0, 100), ([100, 200], 150, 50, 100), ([10, 20, 30, 40, 50], 30, 14.14, 40),
     (list(range(1, 21)), 10.5, 5.77, 19), (list(range(1, 41)), 20.5, 11.54, 38)])

@@ -588,7 +588,7 @@ def store_history(spark, folder):
     rows = history_rows(scored(spark, folder))
     store = KeyedTable(spark, scratch_path(spark, "history-store"), rows.schema, "transaction_id")
     for part in (before_split(rows), after_split(rows), rows):
-        store.insert(first_of_each_id(part))
+        store.insert(first_of_each_id(part), keys=part)
     return store.read().groupBy("transaction_id").agg(F.count("*").alias("documents"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from txlake.operators.profiles import build_profiles, profile_rows
 from txlake.plans.scoring import analyze
-from txlake.session import BASE_CONF, scratch_path
+from txlake.session import BASE_CONF, scratch_path, tidy
 from txlake.sources import sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +46,9 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _paths:
         path = scratch_path(spark, name)
-        build().write.parquet(path)
+        frame = build()
+        with tidy(spark):
+            frame.write.parquet(path)
         _paths[key] = path
     return spark.read.parquet(_paths[key])
 

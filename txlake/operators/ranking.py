@@ -1,7 +1,7 @@
 """Exact ranks and order statistics that never gather many values of one key in one task.
 
-Values are counted, with partial counts before the shuffle. A key of few values is put in order as it is. For others, values
-are counted per bucket: the bounded bucket counts tell which bucket holds the wanted rank, and only that bucket is put in order.
+A key of few rows is put in order as it is, in one shuffle. For others, values are counted, with partial counts before the
+shuffle, then per bucket: the bounded bucket counts tell which bucket holds the wanted rank, and only that bucket is put in order.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from txlake.functions.ordering import magnitude_bucket
 # Buckets per power of two, as bits. One key has at most some two million buckets however many rows
 # it has, and a bucket spans 1/65536 of its value: below sixteen distinct cents for amounts under a million.
 BUCKET_BITS = 16
-# Distinct values of one key that a task may put in order.
+# Rows of one key that a task may put in order.
 ORDERED_AT_ONCE = 100_000
 
 
@@ -30,19 +30,25 @@ def order_statistics(
     """
     keys = list(keys)
     values = rows.select(*keys, F.col(value).cast("double").alias("value"), *([F.col(copies).alias("_of")] if copies else []))
-    # Spelled as plain null checks, so that both uses below are the same plan and share one shuffle.
     for name in [*keys, "value"]:
         values = values.filter(F.col(name).isNotNull())
-    # Equal values become one row before anything is shuffled by key: a user whose amounts are mostly
-    # the same leaves few rows.
-    counted = values.groupBy(*keys, "value").agg((F.sum("_of") if copies else F.count("*")).alias("_copies"))
-    if not keys:
-        return _found_by_buckets(counted, keys, ranks)
-    # Few by their size: each has its share of all values.
-    sizes = counted.groupBy(*keys).agg(F.count("*").alias("_values"))
-    large = F.broadcast(sizes.filter(F.col("_values") > ORDERED_AT_ONCE).select(*keys))
-    return _found_in_order(counted.join(large, keys, "left_anti"), keys, ranks).unionByName(
-        _found_by_buckets(counted.join(large, keys, "left_semi"), keys, ranks))
+    few, many = few_and_many(values, keys) if keys else (None, values)
+    # Equal values become one row; of large keys before anything is shuffled by key, so that a user whose amounts are
+    # mostly the same leaves few rows.
+    few, many = (
+        None if part is None else part.groupBy(*keys, "value").agg((F.sum("_of") if copies else F.count("*")).alias("_copies"))
+        for part in (few, many))
+    found = _found_by_buckets(many, keys, ranks)
+    return found if few is None else _found_in_order(few, keys, ranks).unionByName(found)
+
+
+def few_and_many(rows: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys of few rows, dealt by key, so that grouping and ordering by key need no other shuffle; and rows of the
+    other keys, as they are. ``rows`` are read three times, the same each time."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    # Few by their size: each has its share of all rows.
+    large = F.broadcast(sizes.filter(F.col("_rows") > ORDERED_AT_ONCE).select(*keys))
+    return rows.join(large, list(keys), "left_anti").repartition(*keys), rows.join(large, list(keys), "left_semi")
 
 
 def _places(ranks: dict[str, Callable[[Column], Column]], before: Column | int = 0) -> Column:

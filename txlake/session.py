@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,9 @@ BASE_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _inside = threading.Lock(), []
+
 
 def build_session(app: str = "txlake", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs rely on. Keyword names use ``__`` for dots."""
@@ -65,11 +71,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside drop their shuffle files when they end, so that what is written and read again doesn't add up on disk.
+
+    Several threads may be inside; the last one out restores the setting.
+    """
+    with _lock:
+        _inside.append(spark.conf.get(_CLEAN_UP))
+        spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            # The first entry is the setting from outside; those above it are "true".
+            before = _inside.pop()
+            if not _inside:
+                spark.conf.set(_CLEAN_UP, before)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table of the scratch folder and read it back.
 
     Cuts the lineage for frames that several later scans share; the files outlive lost executors.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

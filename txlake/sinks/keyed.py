@@ -18,7 +18,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from txlake.operators.merge import insert_missing, last_of_key, replace_by_key, upsert_columns
-from txlake.session import durable
+from txlake.session import durable, tidy
 
 BUCKETS = 64
 SNAPSHOT_EVERY = 16
@@ -112,25 +112,41 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._rows([r["path"] for r in self.files()[1].select("path").collect()])
 
+    def of_key(self, key: str) -> DataFrame:
+        """The rows of a key, from the files that may hold it."""
+        bucket = F.pmod(F.hash(F.lit(key)), F.lit(self.buckets))
+        mine = self.files()[1].filter((F.col("bucket") == bucket) & (F.col("low") <= key) & (F.col("high") >= key))
+        return self._rows([r["path"] for r in mine.select("path").collect()]).filter(F.col(self.key) == key)
+
     def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        # The hash by which Spark deals rows to tasks, so that a task of rows dealt by the key holds few buckets.
+        return F.pmod(F.hash(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> list[dict]:
-        """New files, sorted by key, and what the log says of them. A large bucket may fill several files."""
+        """New files of rows that come in any order: they are dealt by bucket, and a large bucket may fill several files."""
+        return self._store(rows.withColumn("_bucket", self._bucket()).hint("rebalance", "_bucket"))
+
+    def _store(self, rows: DataFrame) -> list[dict]:
+        """New files, sorted by key, by the tasks that hold the rows, and what the log says of them."""
         folder = f"{self.base}/data/{uuid.uuid4().hex}"
-        placed = rows.select(*self.schema.fieldNames()).withColumn("_bucket", self._bucket())
-        placed.hint("rebalance", "_bucket").sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(folder)
+        placed = rows.select(*self.schema.fieldNames(), self._bucket().alias("_bucket")).sortWithinPartitions("_bucket", self.key)
+        with tidy(self.spark):
+            placed.write.option("compression", "zstd").partitionBy("_bucket").parquet(folder)
         schema = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
         text = F.col(self.key).cast("string")
         found = self.spark.read.schema(schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("path"), F.col("_bucket").alias("bucket")).agg(
             F.min(text).alias("low"), F.max(text).alias("high"), F.count("*").alias("rows"))
         return [r.asDict() for r in found.collect()]
 
-    def _merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame], replaces: bool) -> int:
-        incoming = durable(incoming.withColumn("_bucket", self._bucket()), "incoming")
+    def _merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame | None], replaces: bool,
+               dealt: bool = False, keys: DataFrame | None = None) -> int:
+        """``combine`` gives what is to be written, or ``None`` if nothing changes, from the rows of the files reached and the incoming
+        ones, which are stored first unless ``keys`` has their keys."""
+        incoming = durable(incoming, "incoming") if keys is None else incoming
         text = F.col(self.key).cast("string")
         # One row per bucket at most.
-        reach = incoming.groupBy(F.col("_bucket").alias("bucket")).agg(F.min(text).alias("first"), F.max(text).alias("last")).collect()
+        reach = (incoming if keys is None else keys).groupBy(self._bucket().alias("bucket")).agg(
+            F.min(text).alias("first"), F.max(text).alias("last")).collect()
         if not reach:
             return self.files()[0]
         reached = self.spark.createDataFrame(reach, "bucket int, first string, last string")
@@ -139,7 +155,10 @@ class KeyedTable:
             # A null end, of rows without a key, meets everything.
             meets = F.coalesce((F.col("high") >= F.col("first")) & (F.col("low") <= F.col("last")), F.lit(True))
             old = [r["path"] for r in files.join(reached, "bucket").filter(meets).select("path").collect()]
-            add = self._write(combine(self._rows(old), incoming.drop("_bucket")))
+            rows = combine(self._rows(old), incoming)
+            if rows is None:
+                return seen
+            add = self._store(rows) if dealt else self._write(rows)
             number = self._commit(seen, add, old if replaces else [], {r["bucket"] for r in reach})
             if number is not None:
                 if number % SNAPSHOT_EVERY == 0:
@@ -152,9 +171,10 @@ class KeyedTable:
         if last == number:
             files.coalesce(1).write.mode("ignore").parquet(f"{self.base}/snapshots/{number:020d}")
 
-    def merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame]) -> int:
-        """Replace the rows that share files with incoming keys by ``combine(those rows, incoming)``, which keeps the other keys' rows."""
-        return self._merge(incoming, combine, True)
+    def merge(self, incoming: DataFrame, combine: Callable[[DataFrame, DataFrame], DataFrame | None], dealt: bool = False) -> int:
+        """Replace the rows that share files with incoming keys by ``combine(those rows, incoming)``, which keeps the other keys' rows;
+        ``None`` leaves all as it is. ``dealt``: ``combine`` leaves its rows dealt to tasks by their key."""
+        return self._merge(incoming, combine, True, dealt)
 
     def upsert(self, incoming: DataFrame, order: Sequence[str] = ()) -> int:
         """Incoming rows replace those of the same key whole; of several of one key the last by ``order``. The commit's number."""
@@ -164,6 +184,24 @@ class KeyedTable:
         """New keys are inserted whole; known ones take the ``update`` columns and set the ``touched`` ones."""
         return self._merge(incoming, lambda old, new: upsert_columns(old, new, self.key, update, touched, order), True)
 
-    def insert(self, incoming: DataFrame, order: Sequence[str] = ()) -> int:
-        """Rows of keys that the table doesn't have, the last by ``order`` of each; files in force stay as they are."""
-        return self._merge(incoming, lambda old, new: insert_missing(last_of_key(new, self.key, order), old, [self.key]), False)
+    def insert(self, incoming: DataFrame, order: Sequence[str] = (), keys: DataFrame | None = None) -> int:
+        """Rows of keys that the table doesn't have, the last by ``order`` of each; files in force stay as they are.
+
+        For many rows give ``keys``, stored rows whose keys are those of ``incoming``. Then ``incoming``, with one row per key
+        and the same rows each time, is neither stored nor put in order: its keys alone are compared first, and its rows
+        are shuffled once, if any is new.
+        """
+        if keys is None:
+            return self._merge(incoming, lambda old, new: insert_missing(last_of_key(new, self.key, order), old, [self.key]), False)
+
+        def missing(old: DataFrame, new: DataFrame) -> DataFrame | None:
+            if not old.inputFiles():
+                return new
+            known = old.select(F.col(self.key).alias("_known")).filter(F.col("_known").isNotNull())
+            with tidy(self.spark):
+                if keys.select(self.key).distinct().join(known, F.col(self.key) == F.col("_known"), "left_anti").isEmpty():
+                    return None
+            # An outer join: an anti join would be moved below what makes the rows unique, and shuffle all of them.
+            return new.join(known, F.col(self.key) == F.col("_known"), "left").filter(F.col("_known").isNull()).drop("_known")
+
+        return self._merge(incoming, missing, False, dealt=True, keys=keys)
