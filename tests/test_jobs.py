@@ -502,3 +502,31 @@ def test_store_history_writes_new_documents_only(spark, small, monkeypatch):
     assert len(store.folder.names("data")) == 2 and not staged
     ids = store.read().select("transaction_id")
     assert ids.count() == ids.distinct().count() == sample.transactions(spark, small).select("transaction_id").distinct().count()
+
+
+def test_profile_state_of_hot_users_and_known_batches(spark, small, monkeypatch):
+    """Users of many rows are counted apart; a batch that comes again, or that another writer has just stored, writes nothing."""
+    from txlake.operators import ranking
+    from txlake.operators.profiles import build_profiles, profile_rows
+    from txlake.plans.profile_state import STATE, ProfileState
+
+    tx = profile_rows(sample.transactions(spark, small))
+    rows = durable(tx.withColumn("user_id", F.when(F.col("user_id").endswith("1"), "hot").otherwise(F.col("user_id"))), "rows")
+    wanted = sorted(map(str, build_profiles(rows).drop("updated_at").collect()))
+    monkeypatch.setattr(ranking, "ORDERED_AT_ONCE", 60)
+    state, day = ProfileState(spark, scratch_path(spark, "state"), 4), F.pmod(F.xxhash64("amount", "hour"), F.lit(2))
+    for n in (0, 1):
+        state.add(rows.where(day == n), f"day-{n}")
+    seen, files = state.store.files()[0], state.store.folder.names("data")
+    state.add(rows.where(day == 1), "day-1")
+    monkeypatch.setattr(KeyedTable, "of_key", lambda self, key: spark.createDataFrame([], STATE))  # it looked before the other's commit
+    state.add(rows.where(day == 1), "day-1")
+    assert state.store.files()[0] == seen and state.store.folder.names("data") == files
+    assert sorted(map(str, state.profiles().drop("updated_at").collect())) == wanted
+    facts = state.store.read()
+    assert facts.count() == facts.drop("n").distinct().count()
+
+
+def test_profile_state_stores_each_batch_once(spark, small, monkeypatch):
+    (store,), staged = tables_made(spark, small, "profile_state", monkeypatch)
+    assert len(store.folder.names("data")) == len(staged) == 2

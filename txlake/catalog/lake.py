@@ -412,7 +412,9 @@ def user_profiles(spark, folder):
 @query("profile_state", ORACLES["user_profiles"])
 def profile_state(spark, folder):
     """Profiles from the state after early rows, late rows, and the late rows again under the same tag."""
-    tx, state = sample.transactions(spark, folder), ProfileState(spark, scratch_path(spark, "profile-state"))
+    narrow = sample.transactions(spark, folder).select(
+        "user_id", "amount", "merchant_category", "payment_method", "user_country", "merchant_country", "is_fraud", "timestamp")
+    tx, state = durable(narrow, "narrow"), ProfileState(spark, scratch_path(spark, "profile-state"))
     for tag, part in (("early", before_split), ("late", after_split), ("late", after_split)):
         state.add(profile_ops.profile_rows(part(tx)), tag)
     return _profile_view(state.profiles()).drop("updated_at")

@@ -2,29 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from txlake.functions.values import round_half_even
 from txlake.operators.profiles import PROFILE_SOURCE, PROFILE_VERSION, TOP_CATEGORIES, TOP_PAYMENTS
-from txlake.operators.ranking import order_statistics
+from txlake.operators.ranking import few_and_many, order_statistics
 from txlake.sinks.keyed import KeyedTable
 
 NUMBERS = ["amount", "hour", "abroad", "fraud"]
 LABELS = ["merchant_category", "payment_method"]
 STATE = T.StructType([
-    T.StructField("fact", T.StringType()), T.StructField("user_id", T.StringType()), T.StructField("field", T.StringType()),
+    T.StructField("user_id", T.StringType()), T.StructField("field", T.StringType()),
     T.StructField("number", T.DoubleType()), T.StructField("label", T.StringType()), T.StructField("n", T.LongType())])
 _TAG = "tag"
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """How often each user has each value of each field of :func:`profile_rows`. Two such tables add up row by row."""
+    """How often each user has each value of each field of :func:`profile_rows`. Two such tables add up row by row.
+
+    Pass stored rows: they are read three times. Each is shuffled once; those of a user of many rows are counted before that.
+    """
     missing = F.lit(None)
     values = [F.struct(F.lit(c).alias("field"), F.col(c).cast("double").alias("number"), missing.cast("string").alias("label")) for c in NUMBERS]
     values += [F.struct(F.lit(c).alias("field"), missing.cast("double").alias("number"), F.col(c).cast("string").alias("label")) for c in LABELS]
-    counted = rows.select("user_id", F.inline(F.array(*values))).groupBy("user_id", "field", "number", "label").agg(F.count("*").alias("n"))
-    key = F.to_json(F.array("user_id", "field", F.coalesce(F.col("number").cast("string"), "label")))
-    return counted.select(key.alias("fact"), *STATE.fieldNames()[1:])
+    few, many = few_and_many(rows, ["user_id"])
+    return _summed(part.select("user_id", F.inline(F.array(*values)), F.lit(1).cast("long").alias("n")) for part in (few, many))
+
+
+def _summed(parts: Iterable[DataFrame]) -> DataFrame:
+    """Parts that share no user, each with one row per fact."""
+    return reduce(DataFrame.unionByName, [part.groupBy(*STATE.fieldNames()[:-1]).agg(F.sum("n").alias("n")) for part in parts])
 
 
 def profiles_from(state: DataFrame) -> DataFrame:
@@ -65,23 +75,27 @@ def profiles_from(state: DataFrame) -> DataFrame:
 
 
 class ProfileState:
-    """The stored state. Its size is that of the distinct values per user and field, not of the history."""
+    """The stored state, in buckets by user. Its size is that of the distinct values per user and field, not of the history."""
 
     def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
-        self.store = KeyedTable(spark, base, STATE, "fact", buckets)
+        self.store = KeyedTable(spark, base, STATE, "user_id", buckets)
 
     def add(self, rows: DataFrame, tag: str) -> None:
         """Count more rows of :func:`profile_rows`. ``tag`` names the batch and is stored in the same commit; a batch that comes
-        again, after a failed job or from another writer, changes nothing. Only files that the rows' facts reach are rewritten."""
-        spark = rows.sparkSession
-        mark = spark.createDataFrame([(f"{_TAG}:{tag}", None, _TAG, None, tag, 1)], STATE)
-
-        def count_up(old: DataFrame, new: DataFrame) -> DataFrame:
-            known = old.where((F.col("field") == _TAG) & (F.col("label") == tag)).select(F.col("label").alias("_tag"))
-            fresh = new.withColumn("_tag", F.lit(tag)).join(known, "_tag", "left_anti").select(*STATE.fieldNames())
-            return old.unionByName(fresh).groupBy(*STATE.fieldNames()[:-1]).agg(F.sum("n").alias("n"))
-
-        self.store.merge(facts(rows).unionByName(mark), count_up)
+        again, after a failed job or from another writer, changes nothing. Only files that the rows' users reach are rewritten."""
+        spark, mine = rows.sparkSession, (F.col("field") == _TAG) & (F.col("label") == tag)
+        key = f"{_TAG}:{tag}"
+        if not self.store.of_key(key).where(mine).isEmpty():
+            return
+        mark = spark.createDataFrame([(key, _TAG, None, tag, 1)], STATE)
+
+        def count_up(old: DataFrame, new: DataFrame) -> DataFrame | None:
+            # Another writer may have been first.
+            if not old.where((F.col("user_id") == key) & mine).isEmpty():
+                return None
+            return _summed(few_and_many(old.unionByName(new), ["user_id"]))
+
+        self.store.merge(facts(rows).unionByName(mark), count_up, dealt=True)
 
     def profiles(self) -> DataFrame:
         return profiles_from(self.store.read())
