@@ -77,13 +77,15 @@ def test_ranks_of_small_keys_take_one_shuffle(spark):
 def test_tidy_restores_the_setting(spark):
     from txlake import session
 
-    before = spark.conf.get(session._CLEAN_UP)
-    one, two = session.tidy(spark), session.tidy(spark)
-    one.__enter__(), two.__enter__()
+    before, branch = spark.conf.get(session._CLEAN_UP), spark.newSession()
+    one, two, other = session.tidy(spark), session.tidy(spark), session.tidy(branch)
+    one.__enter__(), other.__enter__(), two.__enter__()
     one.__exit__(None, None, None)
     assert spark.conf.get(session._CLEAN_UP) == "true", "another thread may still be inside"
     two.__exit__(None, None, None)
-    assert spark.conf.get(session._CLEAN_UP) == before
+    assert spark.conf.get(session._CLEAN_UP) == before and branch.conf.get(session._CLEAN_UP) == "true"
+    other.__exit__(None, None, None)
+    assert branch.conf.get(session._CLEAN_UP) == before
 
 
 @pytest.mark.parametrize("amounts,avg,std,p95", [

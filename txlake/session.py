@@ -28,7 +28,8 @@ BASE_CONF = {
 }
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_lock, _inside = threading.Lock(), []
+_lock = threading.Lock()
+_tidied: dict[int, tuple[str, int]] = {}
 
 
 def build_session(app: str = "txlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -75,18 +76,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Jobs started inside drop their shuffle files when they end, so that what is written and read again doesn't add up on disk.
 
-    Several threads may be inside; the last one out restores the setting.
+    Several threads of a session may be inside; the last one out restores its setting.
     """
+    session = spark._jsparkSession.hashCode()
     with _lock:
-        _inside.append(spark.conf.get(_CLEAN_UP))
+        before, inside = _tidied.get(session, (spark.conf.get(_CLEAN_UP), 0))
+        _tidied[session] = before, inside + 1
         spark.conf.set(_CLEAN_UP, "true")
     try:
         yield
     finally:
         with _lock:
-            # The first entry is the setting from outside; those above it are "true".
-            before = _inside.pop()
-            if not _inside:
+            before, inside = _tidied.pop(session)
+            if inside > 1:
+                _tidied[session] = before, inside - 1
+            else:
                 spark.conf.set(_CLEAN_UP, before)
 
 
