@@ -112,15 +112,16 @@ class KeyedTable:
     def read(self) -> DataFrame:
         return self._rows([r["path"] for r in self.files()[1].select("path").collect()])
 
-    def of_key(self, key: str) -> DataFrame:
+    def of_key(self, key: object) -> DataFrame:
         """The rows of a key, from the files that may hold it."""
-        bucket = F.pmod(F.hash(F.lit(key)), F.lit(self.buckets))
-        mine = self.files()[1].filter((F.col("bucket") == bucket) & (F.col("low") <= key) & (F.col("high") >= key))
-        return self._rows([r["path"] for r in mine.select("path").collect()]).filter(F.col(self.key) == key)
+        value = F.lit(key).cast(self.schema[self.key].dataType)
+        text = value.cast("string")
+        mine = self.files()[1].filter((F.col("bucket") == self._bucket(value)) & (F.col("low") <= text) & (F.col("high") >= text))
+        return self._rows([r["path"] for r in mine.select("path").collect()]).filter(F.col(self.key) == value)
 
-    def _bucket(self) -> Column:
+    def _bucket(self, key: Column | None = None) -> Column:
         # The hash by which Spark deals rows to tasks, so that a task of rows dealt by the key holds few buckets.
-        return F.pmod(F.hash(self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.hash(F.col(self.key) if key is None else key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> list[dict]:
         """New files of rows that come in any order: they are dealt by bucket, and a large bucket may fill several files."""
